@@ -44,13 +44,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage (runs a job).
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back (runs a job).
 
-    The result survives the loss of the executors that computed it.
+    Drops the lineage, survives lost executors, and gives later joins exact sizes
+    and column pruning.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_within(df: DataFrame, size: Column, limit: int = 64 << 20) -> DataFrame:
