@@ -46,14 +46,16 @@ def time_attribute(attrs: Column, text: Column) -> Column:
     First an attribute whose name holds a time word and whose value has a digit, then
     any attribute whose value has a digit, then the text if it has one, else empty.
     """
-    trimmed = F.transform(
-        attrs, lambda a: F.struct(F.lower(a["k"]).alias("k"), java_trim(a["v"]).alias("v"))
+    dated = F.filter(
+        F.transform(
+            attrs, lambda a: F.struct(F.lower(a["k"]).alias("k"), java_trim(a["v"]).alias("v"))
+        ),
+        lambda a: contains_digit(a["v"]),
     )
-    dated = F.filter(trimmed, lambda a: contains_digit(a["v"]))
     named = F.filter(dated, lambda a: a["k"].rlike("|".join(TIME_WORDS)))
-    text = java_trim(text)
+    shown = java_trim(text)
     return F.coalesce(
-        F.get(named, 0)["v"], F.get(dated, 0)["v"], F.when(contains_digit(text), text), F.lit("")
+        F.get(named, 0)["v"], F.get(dated, 0)["v"], F.when(contains_digit(shown), shown), F.lit("")
     )
 
 

@@ -1,21 +1,35 @@
-"""Links and article records out of page trees; map-only."""
+"""Links and article records out of page trees; map-only.
+
+Columns are staged over several selects: an expression used more than once is then
+computed once per page.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateline.functions.text import absolute_url, article_id, time_text
+from dateline.functions.text import absolute_url, article_id, base_parts, time_text
 from dateline.functions.times import parse_time, time_attribute
 from dateline.operators.markup import element_text
 from dateline.operators.selectors import Css, css, select_attr, select_first, select_text
 
 
-def base_of(dom: Column, url: Column) -> Column:
-    """What the page's links are relative to: its first ``base`` element or its URL."""
-    hrefs = F.filter(select_attr(dom, css("base[href]"), "href"), lambda h: h["value"] != "")
-    declared = absolute_url(url, F.get(hrefs, 0)["value"])
-    return F.coalesce(F.nullif(declared, F.lit("")), url)
+def with_base(pages: DataFrame) -> DataFrame:
+    """Add ``base``: what links are relative to, the first ``base`` element or the URL."""
+    declared = F.get(select_attr(F.col("dom"), css("base[href]"), "href"), 0)["value"]
+    return (
+        pages.withColumn("_own", base_parts(F.col("url")))
+        .withColumn("_declared", declared)
+        .withColumn("_declared", F.nullif(absolute_url(F.col("_own"), F.col("_declared")), F.lit("")))
+        .withColumn(
+            "base",
+            F.when(F.col("_declared").isNull(), F.col("_own")).otherwise(
+                base_parts(F.col("_declared"))
+            ),
+        )
+        .drop("_own", "_declared")
+    )
 
 
 def link_list(dom: Column, base: Column, selectors: Column | list[Css]) -> Column:
@@ -27,7 +41,7 @@ def link_list(dom: Column, base: Column, selectors: Column | list[Css]) -> Colum
             lambda hit: F.struct(
                 position.cast("int").alias("selector_idx"),
                 hit["elem_idx"].alias("elem_idx"),
-                F.when(hit["value"] == "", F.lit("")).otherwise(absolute_url(base, hit["value"])).alias("dst"),
+                absolute_url(base, hit["value"]).alias("dst"),
             ),
         )
 
@@ -42,39 +56,40 @@ def explode_links(
     pages: DataFrame, selectors: Column | list[Css], kind: str, *keys: str
 ) -> DataFrame:
     """One row per link of pages with ``url`` and ``dom``."""
-    based = pages.withColumn("base", base_of(F.col("dom"), F.col("url")))
     links = link_list(F.col("dom"), F.col("base"), selectors)
-    return based.select(
+    return with_base(pages).select(
         *keys, F.col("url").alias("src"), F.lit(kind).alias("kind"), F.inline(links)
     )
 
 
-def raw_time(dom: Column, steps: Column | Css | None) -> Column:
-    """Raw time of the first time element, empty where there is none."""
-    if steps is None:
-        return F.lit("")
-    first = select_first(dom, steps)
+def with_fields(
+    pages: DataFrame, title: Column | Css, body: Column | Css, time: Column | Css | None
+) -> DataFrame:
+    """Add ``page_title``, ``page_body`` and ``page_time`` (raw, empty when absent)."""
+    dom = F.col("dom")
+    pages = pages.withColumn("page_title", select_text(dom, title)).withColumn(
+        "page_body", select_text(dom, body)
+    )
+    if time is None:
+        return pages.withColumn("page_time", F.lit(""))
+    first = F.col("_first")
     found = time_attribute(first["attrs"], element_text(dom, first))
-    return F.when(first.isNull(), F.lit("")).otherwise(found)
+    return (
+        pages.withColumn("_first", select_first(dom, time))
+        .withColumn("page_time", F.when(first.isNull(), F.lit("")).otherwise(found))
+        .drop("_first")
+    )
 
 
-def article(
-    dom: Column,
-    url: Column,
-    source: Column,
-    run_ts: Column,
-    title: Column | Css,
-    body: Column | Css,
-    time: Column | Css | None,
-) -> Column:
-    """The seven article fields of one page."""
+def article_of(source: Column, run_ts: Column) -> Column:
+    """The seven stored article fields, from ``with_fields`` columns."""
     return F.struct(
-        article_id(url).alias("id"),
-        url.alias("url"),
-        select_text(dom, title).alias("title"),
-        select_text(dom, body).alias("body"),
+        article_id(F.col("url")).alias("id"),
+        F.col("url").alias("url"),
+        F.col("page_title").alias("title"),
+        F.col("page_body").alias("body"),
         source.alias("source"),
-        time_text(parse_time(raw_time(dom, time), run_ts)).alias("publishTime"),
+        time_text(parse_time(F.col("page_time"), run_ts)).alias("publishTime"),
         time_text(run_ts).alias("crawledAt"),
     )
 
@@ -89,5 +104,5 @@ def parse_articles(
     time: Column | Css | None = None,
 ) -> DataFrame:
     """Article rows of pages with ``url`` and ``dom``."""
-    record = article(F.col("dom"), F.col("url"), source, run_ts, title, body, time)
-    return pages.select(record.alias("a")).select("a.*")
+    fields = with_fields(pages, title, body, time)
+    return fields.select(article_of(source, run_ts).alias("a")).select("a.*")

@@ -73,29 +73,39 @@ def parse_selector(selector: str) -> list[Step] | None:
         at = found.end()
 
 
-@F.arrow_udf(T.ArrayType(STEP))
+_STEPS = pa.list_(
+    pa.struct(
+        [
+            ("tag", pa.string()),
+            (
+                "preds",
+                pa.list_(pa.struct([(name, pa.string()) for name in ("attr", "op", "value")])),
+            ),
+        ]
+    )
+)
+
+
+def _step_rows(selector: str | None) -> list[dict] | None:
+    steps = parse_selector(selector) if selector is not None else None
+    return steps and [
+        {"tag": tag, "preds": [{"attr": a, "op": op, "value": v} for a, op, v in preds]}
+        for tag, preds in steps
+    ]
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(STEP)))
 def _compile(selectors: pa.Array) -> pa.Array:
-    rows = []
-    for text in selectors.to_pylist():
-        steps = parse_selector(text) if text is not None else None
-        rows.append(
-            steps
-            and [
-                {
-                    "tag": tag,
-                    "preds": [dict(zip(("attr", "op", "value"), p, strict=True)) for p in preds],
-                }
-                for tag, preds in steps
-            ]
-        )
-    pred = pa.struct([("attr", pa.string()), ("op", pa.string()), ("value", pa.string())])
-    step = pa.struct([("tag", pa.string()), ("preds", pa.list_(pred))])
-    return pa.array(rows, pa.list_(step))
-
-
-def compiled(selector: Column) -> Column:
-    """A column of selectors to a column of steps; meant for a site table."""
-    return _compile(selector)
+    rows = [
+        None if texts is None else [_step_rows(text) for text in texts]
+        for texts in selectors.to_pylist()
+    ]
+    return pa.array(rows, pa.list_(_STEPS))
+
+
+def compiled(selectors: Column) -> Column:
+    """An array of selectors to an array of steps; meant for a site table."""
+    return _compile(selectors)
 
 
 @dataclass(frozen=True)
@@ -200,10 +210,10 @@ def select_first(dom: Column, steps: Column | Css) -> Column:
 
 
 def select_attr(dom: Column, steps: Column | Css, name: str) -> Column:
-    """``(elem_idx, value)`` of an attribute over the selected elements."""
+    """``(elem_idx, value)`` of an attribute over the selected elements; null if absent."""
     return F.transform(
         matched(dom, steps),
         lambda i: F.struct(
-            i.alias("elem_idx"), F.coalesce(_value(F.get(dom["els"], i), name), F.lit("")).alias("value")
+            i.alias("elem_idx"), _value(F.get(dom["els"], i), name).alias("value")
         ),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +48,8 @@ def site_table(configs: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("baseUrl").alias("site"),
         host_of(F.col("baseUrl")).alias("host"),
         F.col("maxDepth").alias("max_depth"),
-        *[_compiled_all(F.col(source)).alias(name) for name, source in lists.items()],
-        *[F.get(_compiled_all(F.array(source)), 0).alias(name) for name, source in singles.items()],
+        *[compiled(F.col(source)).alias(name) for name, source in lists.items()],
+        *[F.get(compiled(F.array(source)), 0).alias(name) for name, source in singles.items()],
     )
     usable = F.lit(True)
     for name in lists:
@@ -57,7 +57,3 @@ def site_table(configs: DataFrame, rules: DataFrame) -> DataFrame:
     for name in singles:
         usable = usable & F.col(name).isNotNull()
     return exploded.where(usable).join(rules, "host")
-
-
-def _compiled_all(selectors: Column) -> Column:
-    return compiled(selectors)
