@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dateline.functions.text import domain_label, host_of, robots_url
@@ -54,13 +54,18 @@ def headlines_per_host(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
     based = with_base(with_dom(inputs.pages(spark, folder)))
-    kinds = []
-    for kind, selectors in (("topic", [css(TOPICS)]), ("article", [css(FORMS["prefix"]), css(FORMS["regex"])])):
-        links = link_list(F.col("dom"), F.col("base"), selectors)
-        kinds.append(F.transform(links, lambda x, i, kind=kind: F.struct(
-            F.lit(kind).alias("kind"), i.alias("pos"), x["selector_idx"].alias("selector_idx"), x["dst"].alias("dst")
-        )))
-    return based.select("page_id", F.inline(F.concat(*kinds)))
+
+    def links(kind: str, *selectors: str) -> Column:
+        found = link_list(F.col("dom"), F.col("base"), [css(text) for text in selectors])
+        return F.transform(
+            found,
+            lambda link, i: F.struct(
+                F.lit(kind).alias("kind"), i.alias("pos"), link["selector_idx"], link["dst"]
+            ),
+        )
+
+    both = F.concat(links("topic", TOPICS), links("article", FORMS["prefix"], FORMS["regex"]))
+    return based.select("page_id", F.inline(both))
 
 
 def _sites(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +136,7 @@ def crawl_frontier(spark: SparkSession, folder: str) -> DataFrame:
     sites = F.array(F.lit("a"), F.lit("b"))
     targets = F.array((key * 7 + 1) % total, (key * 3 + 2) % total)
     links = ids.select(F.explode(sites).alias("site"), key.cast("string").alias("src"), targets.alias("t")).select(
-        "site", "src", F.explode("t").cast("string").alias("dst")
+        "site", "src", F.explode(F.col("t").cast("array<string>")).alias("dst")
     )
     roots = ids.where((key % 10).isin(0, 5)).select(
         F.when(key % 10 == 0, "a").otherwise("b").alias("site"), key.cast("string").alias("url")
@@ -207,9 +212,9 @@ def site_configs(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(
         "baseUrl",
         F.col("articleSelectors")[0].alias("selector"),
-        F.size("topicSelectors").cast("long").alias("n_topics"),
+        F.size("topicSelectors").alias("n_topics"),
         "articleTitle",
-        F.col("maxDepth").cast("long").alias("maxDepth"),
+        "maxDepth",
     ).where(F.size(F.array(*SITE_CONFIG.fieldNames()[3:6])) == 3)
 
 
@@ -246,7 +251,7 @@ _BODY = _plain("regexp_extract(html, '<article><h1>.*?</h1>(.*)</article>', 1, '
 _HREFS = "list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1), lambda h: replace(h, '&amp;', '&'))"
 _LINKS = f"""
 links AS (
-  SELECT page_id, url, {_HOST} AS host, unnest(range(len(hrefs))) AS pos, {_ORIGIN} || unnest(hrefs) AS dst,
+  SELECT page_id, url, {_HOST} AS host, unnest(range(len(hrefs)))::INTEGER AS pos, {_ORIGIN} || unnest(hrefs) AS dst,
          unnest(hrefs) AS href
   FROM (SELECT page_id, url, {_HREFS} AS hrefs FROM pages))"""
 
@@ -265,13 +270,13 @@ FROM pages""",
 SELECT * FROM (
   SELECT sha256(url) AS id, url, {_TITLE} AS title, {_HOST} AS source,
          string_split({_HOST}, '.')[-2] AS domain,
-         row_number() OVER (PARTITION BY {_HOST} ORDER BY url) AS rank
+         row_number() OVER (PARTITION BY {_HOST} ORDER BY url)::INTEGER AS rank
   FROM pages) WHERE rank <= 5""",
     "page_links": f"""
 WITH {_LINKS}
 SELECT page_id, 'topic' AS kind, pos, 0 AS selector_idx, dst FROM links
 UNION ALL
-SELECT page_id, 'article', row_number() OVER (PARTITION BY page_id ORDER BY s, pos) - 1, s, dst FROM (
+SELECT page_id, 'article', row_number() OVER (PARTITION BY page_id ORDER BY s, pos)::INTEGER - 1, s, dst FROM (
   SELECT *, 0 AS s FROM links WHERE lower(href) LIKE '/t%'
   UNION ALL SELECT *, 1 FROM links WHERE regexp_matches(href, '^/[A-Z]'))""",
     "links_per_host": f"""
@@ -288,7 +293,7 @@ WITH {_LINKS},
 firsts AS (
   SELECT *, row_number() OVER (PARTITION BY host, dst ORDER BY url, pos) AS k FROM links)
 SELECT * FROM (
-  SELECT host AS site, row_number() OVER (PARTITION BY host ORDER BY url, pos, dst) AS rank, url AS src, dst
+  SELECT host AS site, row_number() OVER (PARTITION BY host ORDER BY url, pos, dst)::INTEGER AS rank, url AS src, dst
   FROM firsts WHERE k = 1) WHERE rank <= 5""",
     "selector_match": f"""
 SELECT page_id, unnest([
@@ -358,7 +363,7 @@ found AS (
          row_number() OVER (PARTITION BY r.site, l.dst ORDER BY r.depth, p.url, l.i) AS k
   FROM reached r JOIN links l ON l.src = r.page AND l.kind = 's' JOIN pages p ON p.page_id = r.page),
 ranked AS (
-  SELECT site, dst, row_number() OVER (PARTITION BY site ORDER BY depth, src, i) AS rank FROM found WHERE k = 1)
+  SELECT site, dst, row_number() OVER (PARTITION BY site ORDER BY depth, src, i)::INTEGER AS rank FROM found WHERE k = 1)
 SELECT s.url AS site, rank, sha256(pages.url) AS id, pages.url AS url, {_TITLE.replace('html', 'pages.html')} AS title,
        {_HOST.replace('url', 's.url')} AS source, '{inputs.RUN_TIME}' AS "publishTime"
 FROM ranked JOIN pages ON pages.page_id = dst JOIN pages s ON s.page_id = site WHERE rank <= 7""",

@@ -13,24 +13,26 @@ _FIELDS = ARTICLE.fieldNames()
 _MARKED = T.StructType([*ARTICLE.fields, T.StructField("_corrupt_record", T.StringType())])
 
 
-def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    scan = spark.read.option("pathGlobFilter", "*.jsonl").text(paths)
+def _lines(spark: SparkSession, paths: str | list[str], suffix: str) -> DataFrame:
+    scan = spark.read.option("pathGlobFilter", suffix).text(paths)
     return scan.withColumn("file", F.input_file_name()).where(strip(F.col("value")) != "")
 
 
-def _parsed(spark: SparkSession, paths: str | list[str], mode: str) -> DataFrame:
+def _parsed(spark: SparkSession, paths: str | list[str], mode: str, suffix: str) -> DataFrame:
     row = F.from_json("value", _MARKED, {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"})
-    return _lines(spark, paths).withColumn("row", row)
+    return _lines(spark, paths, suffix).withColumn("row", row)
 
 
-def read_articles(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
-    """Articles with a body, cleaned, of all ``*.jsonl`` files directly in the folders.
+def read_articles(
+    spark: SparkSession, paths: str | list[str], strict: bool = False, suffix: str = "*.jsonl"
+) -> DataFrame:
+    """Articles with a body, cleaned, of all ``*.jsonl`` files in the folders.
 
     ``attrs`` holds every key of the line but ``body``, also keys outside the schema.
     ``strict`` fails on a malformed line; otherwise such lines are left to
     ``rejected_articles``.
     """
-    parsed = _parsed(spark, paths, "FAILFAST" if strict else "PERMISSIVE")
+    parsed = _parsed(spark, paths, "FAILFAST" if strict else "PERMISSIVE", suffix)
     if not strict:
         parsed = parsed.where("row._corrupt_record is null")
     attrs = F.map_filter(
@@ -45,9 +47,11 @@ def read_articles(spark: SparkSession, paths: str | list[str], strict: bool = Fa
     )
 
 
-def rejected_articles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def rejected_articles(
+    spark: SparkSession, paths: str | list[str], suffix: str = "*.jsonl"
+) -> DataFrame:
     """Malformed lines with the file they are in."""
-    parsed = _parsed(spark, paths, "PERMISSIVE")
+    parsed = _parsed(spark, paths, "PERMISSIVE", suffix)
     return parsed.where("row._corrupt_record is not null").select("file", F.col("value").alias("line"))
 
 
