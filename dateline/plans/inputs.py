@@ -198,7 +198,7 @@ placed AS (
                          WHEN 'view' THEN 'TECHNOLOGY' WHEN 'purchase' THEN 'HEALTH' END AS category,
          'Place ' || (user_id % 40) AS location, 'Story ' || event_id AS title,
          'src' || (user_id % 20) AS source, 'https://news.example.com/' || event_id AS url,
-         epoch_ms(ts) AS "timestamp", ts
+         epoch_us(ts) // 1000 AS "timestamp", ts
   FROM events)"""
 
 

@@ -136,7 +136,7 @@ SELECT event_id, raw, strftime(CASE k
   ELSE date_trunc('day', ts) END, {_STAMP}) AS at
 FROM (SELECT event_id, ts, TIMESTAMP '{inputs.RUN_TIME}' AS run, event_id % {_SHAPES} AS k,
   CASE event_id % {_SHAPES}
-    WHEN 0 THEN epoch_ms(ts)::VARCHAR
+    WHEN 0 THEN (epoch_us(ts) // 1000)::VARCHAR
     WHEN 1 THEN (epoch_us(ts) // 1000000)::VARCHAR
     WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
     WHEN 3 THEN strftime(ts, '%Y-%m-%dt%H:%M:%S.25+01:30')
