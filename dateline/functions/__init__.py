@@ -1,11 +1 @@
 """Column expressions. All are JVM-side: no Python runs per row."""
-
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Bind a value used several times, so that it is written and computed once."""
-    return F.get(F.transform(F.array(value), use), 0)

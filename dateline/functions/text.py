@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dateline.functions import let
-
 # The characters Python's str.strip() removes.
 UNICODE_BLANKS = "".join(
     map(
@@ -102,71 +100,3 @@ def batch_name(run_ts: Column, domain: Column, suffix: Column, per_site: bool =
 
 def display_name(ident: Column, source: Column, title: Column) -> Column:
     return F.format_string("(%s) %s - %s", ident, source, title)
-
-
-def _without_dot_segments(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` path segments; extra ``..`` at the root are dropped."""
-
-    def resolve(segments: Column) -> Column:
-        kept = F.aggregate(
-            F.slice(segments, 2, F.size(segments)),
-            F.expr("cast(array() as array<string>)"),
-            lambda done, seg: F.when(seg == ".", done)
-            .when(seg == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-            .otherwise(F.concat(done, F.array(seg))),
-        )
-        folder = F.element_at(segments, -1).isin(".", "..")
-        return let(
-            kept,
-            lambda k: F.concat(
-                F.lit("/"),
-                F.array_join(k, "/"),
-                F.when(folder & (F.size(k) > 0), F.lit("/")).otherwise(F.lit("")),
-            ),
-        )
-
-    return F.when(path.contains("/."), let(F.split(path, "/"), resolve)).otherwise(path)
-
-
-_ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
-
-
-def base_parts(url: Column) -> Column:
-    """The parts of a page's URL that its links are resolved against."""
-    path = F.regexp_extract(url, _ORIGIN + r"([^?#]*)", 2)
-    return F.struct(
-        url.alias("url"),
-        F.regexp_extract(url, _ORIGIN, 1).alias("origin"),
-        path.alias("path"),
-        F.when(path.contains("/"), F.regexp_extract(path, "^(.*/)", 1))
-        .otherwise(F.lit("/"))
-        .alias("folder"),
-    )
-
-
-def absolute_url(base: Column, ref: Column) -> Column:
-    """``ref`` resolved against ``base_parts``; empty where it cannot be resolved."""
-
-    def tidy(origin: Column, rest: Column) -> Column:
-        parts = F.struct(
-            F.regexp_extract(rest, r"^([^?#]*)", 1).alias("path"),
-            F.regexp_extract(rest, r"^[^?#]*(.*)$", 1).alias("tail"),
-        )
-        return let(parts, lambda p: F.concat(origin, _without_dot_segments(p["path"]), p["tail"]))
-
-    def resolve(r: Column) -> Column:
-        own = F.regexp_extract(r, _ORIGIN, 1)
-        scheme = F.regexp_extract(base["origin"], r"^([^/]*)//", 1)
-        return (
-            F.when(r.rlike("^(?i)https?://"), tidy(own, F.substr(r, F.length(own) + 1)))
-            .when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), r)
-            .when(base["origin"] == "", F.lit(""))
-            .when(r == "", base["url"])
-            .when(r.startswith("//"), F.concat(scheme, r))
-            .when(r.startswith("/"), tidy(base["origin"], r))
-            .when(r.startswith("?"), F.concat(base["origin"], base["path"], r))
-            .when(r.startswith("#"), F.concat(F.regexp_extract(base["url"], "^([^#]*)", 1), r))
-            .otherwise(tidy(base["origin"], F.concat(base["folder"], r)))
-        )
-
-    return F.coalesce(let(F.trim(ref), resolve), F.lit(""))

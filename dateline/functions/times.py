@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dateline.functions.text import java_trim
@@ -29,8 +29,8 @@ _SHORT = [name[:3] for name in MONTHS]
 _ANY_MONTH = "|".join(dict.fromkeys([*MONTHS, *_SHORT]))
 
 _ISO = (
-    r"^([0-9]{4})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]{0,9}))?"
-    r"(?:Z|([+-])([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?)$"
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{0,9})?"
+    r"(Z|[+-][0-9]{2}:[0-9]{2}(:[0-9]{2})?)$"
 )
 
 
@@ -67,85 +67,108 @@ def _month(name: Column) -> Column:
     return F.try_element_at(table, name)
 
 
-def _midnight(year: Column, month: Column, day: Column) -> Column:
-    """Start of a day; a day past the month's end (up to 31) is the month's last day."""
-    year, day = year.try_cast("int"), day.try_cast("int")
-    zero = F.lit(0)
-    first = F.try_make_timestamp(year, month, F.lit(1), zero, zero, F.lit(0).cast("decimal(8,6)"))
-    inside = F.least(day, F.dayofmonth(F.last_day(first.cast("date"))))
-    return F.when(
-        year.between(1, 9999) & day.between(1, 31),
-        F.try_make_timestamp(year, month, inside, zero, zero, F.lit(0).cast("decimal(8,6)")),
-    )
+# Below, a text that does not have the shape becomes null first. Its parts are then null
+# too, so no part of a failed shape is converted and no exception is raised and caught.
 
 
-def _iso_instant(text: Column) -> Column:
-    upper = F.upper(text)
+def _first_of_month(year: Column, month: Column) -> Column:
+    fits = year.between(1, 9999) & month.between(1, 12)
+    return F.make_date(F.when(fits, year), month, F.lit(1))
 
-    def part(index: int) -> Column:
-        return F.regexp_extract(upper, _ISO, index)
 
-    def number(index: int) -> Column:
-        return F.coalesce(part(index).try_cast("int"), F.lit(0))
-
-    hour, minute, second = number(4), number(5), number(6)
-    midnight = (hour == 24) & (minute == 0) & (second == 0) & (F.rpad(part(7), 1, "0").rlike("^0*$"))
-    leap = (hour == 23) & (minute == 59) & (second == 60)
-    fraction = F.rpad(part(7), 6, "0").try_cast("int")
-    day = F.try_make_timestamp(
-        number(1), number(2), number(3), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")
+def _midnight(year: Column, month: Column, day: Column) -> Column:
+    """Start of a day; a day past the month's end (up to 31) is the month's last day."""
+    first = _first_of_month(year.cast("int"), month)
+    number = day.cast("long")
+    inside = F.least(number, F.dayofmonth(F.last_day(first))).cast("int")
+    return F.when(number.between(1, 31), F.date_add(first, inside - 1)).cast("timestamp")
+
+
+def _iso_instant(fitting: Column) -> Column:
+    """An upper-case text known to have the ISO shape."""
+
+    def number(start: int, length: int = 2) -> Column:
+        return F.substring(fitting, start, length).cast("int")
+
+    hour, minute, second = number(12), number(15), number(18)
+    fraction = F.regexp_extract(fitting, r"^.{19}\.?([0-9]*)", 1)
+    zone = F.regexp_extract(fitting, "(Z|[+-][0-9:]+)$", 1)
+    shift = F.when(zone != "Z", zone)
+    away = (
+        F.substring(shift, 2, 2).cast("int") * 3600
+        + F.substring(shift, 5, 2).cast("int") * 60
+        + F.when(F.length(shift) == 9, F.substring(shift, 8, 2).cast("int")).otherwise(0)
     )
-    in_range = ((hour <= 23) & (minute <= 59) & (second <= 59)) | midnight | leap
-    shift = (number(9) * 3600 + number(10) * 60 + number(11)) * F.when(
-        part(8) == "-", -1
-    ).otherwise(1)
-    offset_ok = (number(10) <= 59) & (number(11) <= 59) & (F.abs(shift) <= 18 * 3600)
-    seconds = hour * 3600 + minute * 60 + F.least(second, F.lit(59)) - shift
-    micros = F.unix_micros(day) + seconds.cast("long") * 1000000 + F.coalesce(fraction, F.lit(0))
-    return F.when(upper.rlike(_ISO) & in_range & offset_ok, F.timestamp_micros(micros))
-
-
-def _english_date(text: Column) -> Column:
-    day_first = rf"^([0-9]{{1,19}}) ({_ANY_MONTH}) ([0-9]{{4}})$"
-    month_first = rf"^({_ANY_MONTH}) ([0-9]{{1,19}}), ([0-9]{{4}})$"
-    return F.coalesce(
-        _midnight(
-            F.regexp_extract(text, day_first, 3),
-            _month(F.regexp_extract(text, day_first, 2)),
-            F.regexp_extract(text, day_first, 1),
-        ),
-        _midnight(
-            F.regexp_extract(text, month_first, 3),
-            _month(F.regexp_extract(text, month_first, 1)),
-            F.regexp_extract(text, month_first, 2),
-        ),
+    zone_fits = (
+        F.substring(shift, 5, 2).between("00", "59")
+        & ((F.length(shift) < 9) | F.substring(shift, 8, 2).between("00", "59"))
+        & (away <= 18 * 3600)
     )
-
-
-def _embedded_date(text: Column) -> Column:
-    """The first date-like run inside a longer text; only short month names count."""
-    run = F.regexp_extract(text, r"([0-9]{1,2} [A-Za-z]{3,} [0-9]{4})", 1)
-    shape = rf"^([0-9]{{1,2}}) ({'|'.join(_SHORT)}) ([0-9]{{4}})$"
-    return _midnight(
-        F.regexp_extract(run, shape, 3),
-        _month(F.regexp_extract(run, shape, 2)),
-        F.regexp_extract(run, shape, 1),
+    clock_fits = (
+        ((hour <= 23) & (minute <= 59) & (second <= 59))
+        # The end of a day is the start of the next; a leap second is the one before.
+        | ((hour == 24) & (minute == 0) & (second == 0) & fraction.rlike("^0*$"))
+        | ((hour == 23) & (minute == 59) & (second == 60))
     )
-
-
-def parse_time(raw: Column, run_ts: Column) -> Column:
-    """Read a raw time: epoch ms, epoch s, ISO instant, English date, embedded date.
-
-    Anything else is the time of the run. Each shape is tried only where the ones
-    before it do not fit.
+    first = _first_of_month(number(1, 4), number(6))
+    day = number(9)
+    day_fits = day.between(1, F.dayofmonth(F.last_day(first)))
+    seconds = hour * 3600 + minute * 60 + F.least(second, F.lit(59))
+    offset = F.coalesce(F.when(shift.startswith("-"), -away).otherwise(away), F.lit(0))
+    micros = F.rpad(F.substring(fraction, 1, 6), 6, "0").cast("long")
+    at = (
+        F.unix_date(F.date_add(first, day - 1)).cast("long") * 86400 + seconds - offset
+    ) * 1000000 + micros
+    return F.when(day_fits & clock_fits & F.coalesce(zone_fits, F.lit(True)), F.timestamp_micros(at))
+
+
+def with_parsed_time(df: DataFrame, raw: str, run_ts: Column, out: str) -> DataFrame:
+    """Add ``out``: a raw time read as epoch milliseconds, epoch seconds, ISO instant,
+    English date, or the first date-like run inside a longer text (short month names
+    only), in that order; anything else is the time of the run.
+
+    The shapes are separate stages, so each pattern is matched once per row.
     """
-    text = java_trim(raw)
-    epoch = text.try_cast("long")
+    text = F.col("_text")
+    day = "0{0,17}[0-9]{1,2}"
+    day_first = F.when(text.rlike(f"^{day} ({_ANY_MONTH}) [0-9]{{4}}$"), F.split(text, " "))
+    month_first = F.when(text.rlike(f"^({_ANY_MONTH}) {day}, [0-9]{{4}}$"), F.split(text, ",? "))
+    embedded = F.regexp_extract(text, r"([0-9]{1,2} [A-Za-z]{3,} [0-9]{4})", 1)
     return (
-        F.when(F.coalesce(raw == "", F.lit(True)), run_ts)
-        .when(text.rlike("^[0-9]{13}$"), F.timestamp_millis(epoch))
-        .when(text.rlike("^[0-9]{10}$"), F.timestamp_seconds(epoch))
-        .otherwise(
-            F.coalesce(_iso_instant(text), _english_date(text), _embedded_date(text), run_ts)
+        df.withColumn("_text", java_trim(F.col(raw)))
+        .withColumns(
+            {
+                "_millis": F.when(text.rlike("^[0-9]{13}$"), text),
+                "_seconds": F.when(text.rlike("^[0-9]{10}$"), text),
+                "_iso": F.when(F.upper(text).rlike(_ISO), F.upper(text)),
+                "_month_first": month_first,
+                "_words": F.coalesce(day_first, F.split(F.nullif(embedded, F.lit("")), " ")),
+            }
+        )
+        .withColumns(
+            {
+                "_year": F.coalesce(F.get("_month_first", 2), F.get("_words", 2)),
+                "_month": F.coalesce(F.get("_month_first", 0), F.get("_words", 1)),
+                "_day": F.coalesce(F.get("_month_first", 1), F.get("_words", 0)),
+                # A run inside a longer text counts only with a short month name.
+                "_whole": F.col("_month_first").isNotNull()
+                | (F.array_join("_words", " ") == text)
+                | F.get("_words", 1).isin(_SHORT),
+            }
+        )
+        .withColumn("_month", F.when(F.col("_whole"), _month(F.col("_month"))))
+        .withColumn(
+            out,
+            F.coalesce(
+                F.timestamp_millis(F.col("_millis").cast("long")),
+                F.timestamp_seconds(F.col("_seconds").cast("long")),
+                _iso_instant(F.col("_iso")),
+                _midnight(F.col("_year"), F.col("_month"), F.col("_day")),
+                run_ts,
+            ),
+        )
+        .drop(
+            "_text", "_millis", "_seconds", "_iso", "_month_first", "_words", "_year", "_month",
+            "_day", "_whole",
         )
     )

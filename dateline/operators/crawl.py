@@ -6,13 +6,14 @@ bound, including those a depth-first walk meets too late to expand.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dateline.functions.text import host_of
-from dateline.operators.extract import article_of, link_list, with_base, with_fields
+from dateline.operators.extract import apply, base_stages, field_stages, link_stages, with_article
 from dateline.operators.markup import with_dom
 from dateline.operators.ranking import first_per_group
 from dateline.session import broadcast_within, cut
@@ -51,30 +52,34 @@ def pages_of_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
     return keyed.join(broadcast_within(sites, size), "host")
 
 
-def _visit(pages_with_site: DataFrame, run_ts: Column) -> DataFrame:
-    """Everything a round needs of a page: its links with their verdict, its record."""
+def _visitor(run_ts: Column) -> Callable[[DataFrame], DataFrame]:
+    """Everything a round needs of a page: its links with their verdict, its record.
 
-    def judged(selectors: str) -> Column:
-        return F.transform(
-            link_list(F.col("dom"), F.col("base"), F.col(selectors)),
-            lambda link: F.struct(
-                link["selector_idx"].alias("selector_idx"),
-                link["elem_idx"].alias("elem_idx"),
-                link["dst"].alias("dst"),
-                allowed(link["dst"], F.col("rules")).alias("allowed"),
-            ),
-        )
-
-    pages = with_fields(
-        with_base(with_dom(pages_with_site)), F.col("title"), F.col("body"), F.col("time")
-    )
-    return pages.select(
-        "site",
-        "url",
-        judged("topics").alias("topics"),
-        judged("links").alias("links"),
-        article_of(F.col("host"), run_ts).alias("article"),
-    )
+    The column expressions are built once and serve every round.
+    """
+    stages = [
+        *base_stages(),
+        *link_stages(topics=F.col("topics"), links=F.col("links")),
+        {
+            name: F.transform(
+                name,
+                lambda link: F.struct(
+                    link["selector_idx"],
+                    link["elem_idx"],
+                    link["dst"],
+                    allowed(link["dst"], F.col("rules")).alias("allowed"),
+                ),
+            )
+            for name in ("topics", "links")
+        },
+        *field_stages(F.col("title"), F.col("body"), F.col("time")),
+    ]
+
+    def visit(pages_with_site: DataFrame) -> DataFrame:
+        pages = with_article(apply(with_dom(pages_with_site), stages), F.col("host"), run_ts)
+        return pages.select("site", "url", "topics", "links", "article")
+
+    return visit
 
 
 @dataclass(frozen=True)
@@ -96,7 +101,8 @@ def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int)
     """
     sites = cut(sites, "sites")
     depth_limit = sites.agg(F.max("max_depth")).first()[0] or 0
-    own = cut(_visit(pages_of_sites(pages, sites), run_ts), "own-pages")
+    visit = _visitor(run_ts)
+    own = cut(visit(pages_of_sites(pages, sites)), "own-pages")
 
     def visits(wanted: DataFrame) -> DataFrame:
         """Visit rows of ``wanted(site, url, ...)``, on the site's host or off it."""
@@ -109,7 +115,7 @@ def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int)
         if away.isEmpty():
             return on_host
         foreign = away.join(sites, "site").join(pages, "url")
-        return on_host.unionByName(wanted.join(_visit(foreign, run_ts), ["site", "url"]))
+        return on_host.unionByName(wanted.join(visit(foreign), ["site", "url"]))
 
     def found(visited_pages: DataFrame, kind: str) -> DataFrame:
         rows = visited_pages.select("site", "depth", F.col("url").alias("src"), F.inline(kind))

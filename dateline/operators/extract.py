@@ -1,7 +1,7 @@
 """Links and article records out of page trees; map-only.
 
-Columns are staged over several selects: an expression used more than once is then
-computed once per page.
+Columns are staged: an expression used more than once is a column of its own, so it is
+computed once per page. A ``Stages`` list is built once and applied to any page table.
 """
 
 from __future__ import annotations
@@ -9,89 +9,102 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateline.functions.text import absolute_url, article_id, base_parts, time_text
-from dateline.functions.times import parse_time, time_attribute
+from dateline.functions.text import article_id, time_text
+from dateline.functions.times import time_attribute, with_parsed_time
+from dateline.functions.urls import absolute_url, base_parts
 from dateline.operators.markup import element_text
 from dateline.operators.selectors import Css, css, select_attr, select_first, select_text
 
+Stages = list[dict[str, Column]]
 
-def with_base(pages: DataFrame) -> DataFrame:
-    """Add ``base``: what links are relative to, the first ``base`` element or the URL."""
+
+def apply(pages: DataFrame, stages: Stages) -> DataFrame:
+    for stage in stages:
+        pages = pages.withColumns(stage)
+    return pages
+
+
+def base_stages() -> Stages:
+    """``base``: what links are relative to, the first ``base`` element or the URL."""
     declared = F.get(select_attr(F.col("dom"), css("base[href]"), "href"), 0)["value"]
-    return (
-        pages.withColumn("_own", base_parts(F.col("url")))
-        .withColumn("_declared", declared)
-        .withColumn("_declared", F.nullif(absolute_url(F.col("_own"), F.col("_declared")), F.lit("")))
-        .withColumn(
-            "base",
-            F.when(F.col("_declared").isNull(), F.col("_own")).otherwise(
-                base_parts(F.col("_declared"))
-            ),
-        )
-        .drop("_own", "_declared")
-    )
+    given = "_declared is null or _declared = ''"
+    return [
+        {"_own": F.expr(base_parts("url")), "_declared": declared},
+        {"_declared": F.expr(absolute_url("_own", "_declared"))},
+        {"base": F.expr(f"if({given}, _own, {base_parts('_declared')})")},
+    ]
 
 
-def link_list(dom: Column, base: Column, selectors: Column | list[Css]) -> Column:
-    """``(selector_idx, elem_idx, dst)`` of all resolvable links, in page order."""
+def link_stages(**selectors: Column | list[Css]) -> Stages:
+    """A column per keyword with ``(selector_idx, elem_idx, dst)`` of its links that
+    can be resolved, in page order."""
 
-    def one(steps: Column | Css, position: Column) -> Column:
+    def hits(steps: Column | Css, position: Column) -> Column:
         return F.transform(
-            select_attr(dom, steps, "href"),
+            select_attr(F.col("dom"), steps, "href"),
             lambda hit: F.struct(
-                position.cast("int").alias("selector_idx"),
-                hit["elem_idx"].alias("elem_idx"),
-                absolute_url(base, hit["value"]).alias("dst"),
+                position.cast("int").alias("selector_idx"), hit["elem_idx"], hit["value"]
             ),
         )
 
-    if isinstance(selectors, Column):
-        per_selector = F.transform(selectors, one)
-    else:
-        per_selector = F.array(*[one(s, F.lit(i)) for i, s in enumerate(selectors)])
-    return F.filter(F.flatten(per_selector), lambda link: link["dst"] != "")
+    found = {}
+    for name, several in selectors.items():
+        if isinstance(several, Column):
+            lists = F.transform(several, hits)
+        else:
+            lists = F.array(*[hits(steps, F.lit(i)) for i, steps in enumerate(several)])
+        found[name] = F.flatten(lists)
+    resolved = {
+        name: F.expr(
+            f"filter(transform({name}, h -> named_struct('selector_idx', h.selector_idx, "
+            f"'elem_idx', h.elem_idx, 'dst', {absolute_url('base', 'h.value')})), h -> h.dst <> '')"
+        )
+        for name in found
+    }
+    return [found, resolved]
+
+
+def with_links(pages: DataFrame, **selectors: Column | list[Css]) -> DataFrame:
+    """Add a column of links per keyword to pages with ``url`` and ``dom``."""
+    linked = apply(pages, base_stages() + link_stages(**selectors))
+    return linked.drop("_own", "_declared")
 
 
 def explode_links(
     pages: DataFrame, selectors: Column | list[Css], kind: str, *keys: str
 ) -> DataFrame:
     """One row per link of pages with ``url`` and ``dom``."""
-    links = link_list(F.col("dom"), F.col("base"), selectors)
-    return with_base(pages).select(
-        *keys, F.col("url").alias("src"), F.lit(kind).alias("kind"), F.inline(links)
+    return with_links(pages, found=selectors).select(
+        *keys, F.col("url").alias("src"), F.lit(kind).alias("kind"), F.inline("found")
     )
 
 
-def with_fields(
-    pages: DataFrame, title: Column | Css, body: Column | Css, time: Column | Css | None
-) -> DataFrame:
-    """Add ``page_title``, ``page_body`` and ``page_time`` (raw, empty when absent)."""
-    dom = F.col("dom")
-    pages = pages.withColumn("page_title", select_text(dom, title)).withColumn(
-        "page_body", select_text(dom, body)
-    )
+def field_stages(title: Column | Css, body: Column | Css, time: Column | Css | None) -> Stages:
+    """``page_title``, ``page_body`` and ``page_time`` (raw, empty when absent)."""
+    dom, first = F.col("dom"), F.col("_first")
+    texts = {"page_title": select_text(dom, title), "page_body": select_text(dom, body)}
     if time is None:
-        return pages.withColumn("page_time", F.lit(""))
-    first = F.col("_first")
+        return [{**texts, "page_time": F.lit("")}]
     found = time_attribute(first["attrs"], element_text(dom, first))
-    return (
-        pages.withColumn("_first", select_first(dom, time))
-        .withColumn("page_time", F.when(first.isNull(), F.lit("")).otherwise(found))
-        .drop("_first")
-    )
+    return [
+        {**texts, "_first": select_first(dom, time)},
+        {"page_time": F.when(first.isNull(), F.lit("")).otherwise(found)},
+    ]
 
 
-def article_of(source: Column, run_ts: Column) -> Column:
-    """The seven stored article fields, from ``with_fields`` columns."""
-    return F.struct(
+def with_article(fields: DataFrame, source: Column, run_ts: Column) -> DataFrame:
+    """Add ``article``, the seven stored fields, from ``field_stages`` columns."""
+    timed = with_parsed_time(fields, "page_time", run_ts, "page_at")
+    record = F.struct(
         article_id(F.col("url")).alias("id"),
         F.col("url").alias("url"),
         F.col("page_title").alias("title"),
         F.col("page_body").alias("body"),
         source.alias("source"),
-        time_text(parse_time(F.col("page_time"), run_ts)).alias("publishTime"),
+        time_text(F.col("page_at")).alias("publishTime"),
         time_text(run_ts).alias("crawledAt"),
     )
+    return timed.withColumn("article", record)
 
 
 def parse_articles(
@@ -104,5 +117,5 @@ def parse_articles(
     time: Column | Css | None = None,
 ) -> DataFrame:
     """Article rows of pages with ``url`` and ``dom``."""
-    fields = with_fields(pages, title, body, time)
-    return fields.select(article_of(source, run_ts).alias("a")).select("a.*")
+    fields = apply(pages, field_stages(title, body, time))
+    return with_article(fields, source, run_ts).select("article.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dateline.functions.text import domain_label, host_of, robots_url
 from dateline.operators import crawl as walks
-from dateline.operators.extract import explode_links, link_list, parse_articles, with_base
+from dateline.operators.extract import explode_links, parse_articles, with_links
 from dateline.operators.markup import elements, with_dom
 from dateline.operators.ranking import first_per_group
 from dateline.operators.selectors import css, matched
@@ -53,19 +53,22 @@ def headlines_per_host(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    based = with_base(with_dom(inputs.pages(spark, folder)))
+    linked = with_links(
+        with_dom(inputs.pages(spark, folder)),
+        topic=[css(TOPICS)],
+        article=[css(FORMS["prefix"]), css(FORMS["regex"])],
+    )
 
-    def links(kind: str, *selectors: str) -> Column:
-        found = link_list(F.col("dom"), F.col("base"), [css(text) for text in selectors])
+    def tagged(kind: str) -> Column:
         return F.transform(
-            found,
+            kind,
             lambda link, i: F.struct(
                 F.lit(kind).alias("kind"), i.alias("pos"), link["selector_idx"], link["dst"]
             ),
         )
 
-    both = F.concat(links("topic", TOPICS), links("article", FORMS["prefix"], FORMS["regex"]))
-    return based.select("page_id", F.inline(both))
+    both = F.concat(tagged("topic"), tagged("article"))
+    return linked.select("page_id", F.inline(both))
 
 
 def _sites(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

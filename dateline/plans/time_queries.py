@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dateline.functions.text import time_text
-from dateline.functions.times import parse_time, time_attribute
+from dateline.functions.times import time_attribute, with_parsed_time
 from dateline.operators.timeline import latest_slot, slots
 from dateline.plans import inputs
 from dateline.streaming.feeds import run_available, slot_counts, table_stream, without_repeats
@@ -66,7 +66,8 @@ def smart_timestamps(spark: SparkSession, folder: str) -> DataFrame:
     for i, shape in enumerate(shapes):
         raw = F.when(key % _SHAPES == i, shape).otherwise(raw)
     rows = inputs.events(spark, folder).select("event_id", raw.alias("raw"))
-    return rows.select("event_id", "raw", time_text(parse_time(F.col("raw"), inputs.run_ts())).alias("at"))
+    timed = with_parsed_time(rows, "raw", inputs.run_ts(), "at")
+    return timed.select("event_id", "raw", time_text(F.col("at")).alias("at"))
 
 
 def _slot_text(rows: DataFrame) -> DataFrame:
