@@ -34,6 +34,16 @@ _ISO = (
 )
 
 
+# Columns added one dict after the other; built once, applied to any table.
+Stages = list[dict[str, Column]]
+
+
+def apply(df: DataFrame, stages: Stages) -> DataFrame:
+    for stage in stages:
+        df = df.withColumns(stage)
+    return df
+
+
 def contains_digit(text: Column) -> Column:
     """True for a one-line text holding an ASCII digit."""
     one_line = ~text.rlike(r"[\n\r\x{85}\x{2028}\x{2029}]")
@@ -122,8 +132,8 @@ def _iso_instant(fitting: Column) -> Column:
     return F.when(day_fits & clock_fits & F.coalesce(zone_fits, F.lit(True)), F.timestamp_micros(at))
 
 
-def with_parsed_time(df: DataFrame, raw: str, run_ts: Column, out: str) -> DataFrame:
-    """Add ``out``: a raw time read as epoch milliseconds, epoch seconds, ISO instant,
+def time_stages(raw: str, run_ts: Column, out: str) -> Stages:
+    """``out``: a raw time read as epoch milliseconds, epoch seconds, ISO instant,
     English date, or the first date-like run inside a longer text (short month names
     only), in that order; anything else is the time of the run.
 
@@ -134,41 +144,37 @@ def with_parsed_time(df: DataFrame, raw: str, run_ts: Column, out: str) -> DataF
     day_first = F.when(text.rlike(f"^{day} ({_ANY_MONTH}) [0-9]{{4}}$"), F.split(text, " "))
     month_first = F.when(text.rlike(f"^({_ANY_MONTH}) {day}, [0-9]{{4}}$"), F.split(text, ",? "))
     embedded = F.regexp_extract(text, r"([0-9]{1,2} [A-Za-z]{3,} [0-9]{4})", 1)
-    return (
-        df.withColumn("_text", java_trim(F.col(raw)))
-        .withColumns(
-            {
-                "_millis": F.when(text.rlike("^[0-9]{13}$"), text),
-                "_seconds": F.when(text.rlike("^[0-9]{10}$"), text),
-                "_iso": F.when(F.upper(text).rlike(_ISO), F.upper(text)),
-                "_month_first": month_first,
-                "_words": F.coalesce(day_first, F.split(F.nullif(embedded, F.lit("")), " ")),
-            }
-        )
-        .withColumns(
-            {
-                "_year": F.coalesce(F.get("_month_first", 2), F.get("_words", 2)),
-                "_month": F.coalesce(F.get("_month_first", 0), F.get("_words", 1)),
-                "_day": F.coalesce(F.get("_month_first", 1), F.get("_words", 0)),
-                # A run inside a longer text counts only with a short month name.
-                "_whole": F.col("_month_first").isNotNull()
-                | (F.array_join("_words", " ") == text)
-                | F.get("_words", 1).isin(_SHORT),
-            }
-        )
-        .withColumn("_month", F.when(F.col("_whole"), _month(F.col("_month"))))
-        .withColumn(
-            out,
-            F.coalesce(
+    return [
+        {"_text": java_trim(F.col(raw))},
+        {
+            "_millis": F.when(text.rlike("^[0-9]{13}$"), text),
+            "_seconds": F.when(text.rlike("^[0-9]{10}$"), text),
+            "_iso": F.when(F.upper(text).rlike(_ISO), F.upper(text)),
+            "_month_first": month_first,
+            "_words": F.coalesce(day_first, F.split(F.nullif(embedded, F.lit("")), " ")),
+        },
+        {
+            "_year": F.coalesce(F.get("_month_first", 2), F.get("_words", 2)),
+            "_month": F.coalesce(F.get("_month_first", 0), F.get("_words", 1)),
+            "_day": F.coalesce(F.get("_month_first", 1), F.get("_words", 0)),
+            # A run inside a longer text counts only with a short month name.
+            "_whole": F.col("_month_first").isNotNull()
+            | (F.array_join("_words", " ") == text)
+            | F.get("_words", 1).isin(_SHORT),
+        },
+        {"_month": F.when(F.col("_whole"), _month(F.col("_month")))},
+        {
+            out: F.coalesce(
                 F.timestamp_millis(F.col("_millis").cast("long")),
                 F.timestamp_seconds(F.col("_seconds").cast("long")),
                 _iso_instant(F.col("_iso")),
                 _midnight(F.col("_year"), F.col("_month"), F.col("_day")),
                 run_ts,
-            ),
-        )
-        .drop(
-            "_text", "_millis", "_seconds", "_iso", "_month_first", "_words", "_year", "_month",
-            "_day", "_whole",
-        )
-    )
+            )
+        },
+    ]
+
+
+def with_parsed_time(df: DataFrame, raw: str, run_ts: Column, out: str) -> DataFrame:
+    """Add ``out``: the raw time read by ``time_stages``."""
+    return apply(df, time_stages(raw, run_ts, out)).select(*df.columns, out)

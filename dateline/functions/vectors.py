@@ -17,8 +17,12 @@ def norm(vector: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """Vector of length one; null for a zero vector, which has no direction."""
-    size = norm(vector)
-    return F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size))
+    # The length is bound by the outer transform, so it is not taken anew per element.
+    scaled = F.transform(
+        F.array(norm(vector)),
+        lambda size: F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size)),
+    )
+    return F.get(scaled, 0)
 
 
 def cosine(a: Column, b: Column) -> Column:

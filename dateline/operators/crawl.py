@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dateline.functions.text import host_of
-from dateline.operators.extract import apply, base_stages, field_stages, link_stages, with_article
+from dateline.functions.times import apply
+from dateline.operators.extract import article_stages, base_stages, field_stages, link_stages
 from dateline.operators.markup import with_dom
 from dateline.operators.ranking import first_per_group
 from dateline.session import broadcast_within, cut
@@ -73,10 +74,11 @@ def _visitor(run_ts: Column) -> Callable[[DataFrame], DataFrame]:
             for name in ("topics", "links")
         },
         *field_stages(F.col("title"), F.col("body"), F.col("time")),
+        *article_stages(F.col("host"), run_ts),
     ]
 
     def visit(pages_with_site: DataFrame) -> DataFrame:
-        pages = with_article(apply(with_dom(pages_with_site), stages), F.col("host"), run_ts)
+        pages = apply(with_dom(pages_with_site), stages)
         return pages.select("site", "url", "topics", "links", "article")
 
     return visit
@@ -105,17 +107,18 @@ def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int)
     own = cut(visit(pages_of_sites(pages, sites)), "own-pages")
 
     def visits(wanted: DataFrame) -> DataFrame:
-        """Visit rows of ``wanted(site, url, ...)``, on the site's host or off it."""
+        """Visit rows of ``wanted(site, url, away, ...)``, a table already cut."""
         on_host = wanted.join(own, ["site", "url"])
-        away = cut(
-            wanted.join(sites.select("site", "host"), "site").where(host_of(F.col("url")) != F.col("host"))
-            .select("site", "url"),
-            "away",
-        )
+        away = wanted.where("away")
         if away.isEmpty():
             return on_host
-        foreign = away.join(sites, "site").join(pages, "url")
-        return on_host.unionByName(wanted.join(visit(foreign), ["site", "url"]))
+        foreign = away.select("site", "url").join(sites, "site").join(pages, "url")
+        return on_host.unionByName(away.join(visit(foreign), ["site", "url"]))
+
+    def with_away(rows: DataFrame) -> DataFrame:
+        hosts = sites.select("site", "host")
+        marked = rows.join(hosts, "site").withColumn("away", host_of(F.col("url")) != F.col("host"))
+        return marked.drop("host")
 
     def found(visited_pages: DataFrame, kind: str) -> DataFrame:
         rows = visited_pages.select("site", "depth", F.col("url").alias("src"), F.inline(kind))
@@ -125,7 +128,7 @@ def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int)
 
     level = cut(
         sites.where(allowed(F.col("site"), F.col("rules")) & (F.col("max_depth") >= 0)).select(
-            "site", F.col("site").alias("url"), F.lit(0).alias("depth")
+            "site", F.col("site").alias("url"), F.lit(0).alias("depth"), F.lit(False).alias("away")
         ),
         "level",
     )
@@ -140,7 +143,7 @@ def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int)
             ["site", "url"],
             [F.col(c) for c in ARTICLE_ORDER],
         )
-        fresh = cut(fresh, "links")
+        fresh = cut(with_away(fresh), "links")
         seen = seen.unionByName(fresh.select("site", "url", F.lit("article").alias("kind"), "depth"))
         records = visits(fresh).select("site", "article", *ARTICLE_ORDER)
         records = cut(records, "articles")
@@ -157,7 +160,7 @@ def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int)
             .join(seen, ["site", "url"], "left_anti")
             .withColumn("depth", F.lit(depth + 1))
         )
-        level = cut(following, "level")
+        level = cut(with_away(following), "level")
         seen = seen.unionByName(level.select("site", "url", F.lit("topic").alias("kind"), "depth"))
     if articles is None:
         articles = cut(

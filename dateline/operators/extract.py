@@ -10,20 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dateline.functions.text import article_id, time_text
-from dateline.functions.times import time_attribute, with_parsed_time
+from dateline.functions.times import Stages, apply, time_attribute, time_stages
 from dateline.functions.urls import absolute_url, base_parts
 from dateline.operators.markup import element_text
 from dateline.operators.selectors import Css, css, select_attr, select_first, select_text
 
-Stages = list[dict[str, Column]]
-
-
-def apply(pages: DataFrame, stages: Stages) -> DataFrame:
-    for stage in stages:
-        pages = pages.withColumns(stage)
-    return pages
-
-
 def base_stages() -> Stages:
     """``base``: what links are relative to, the first ``base`` element or the URL."""
     declared = F.get(select_attr(F.col("dom"), css("base[href]"), "href"), 0)["value"]
@@ -73,10 +64,15 @@ def with_links(pages: DataFrame, **selectors: Column | list[Css]) -> DataFrame:
 def explode_links(
     pages: DataFrame, selectors: Column | list[Css], kind: str, *keys: str
 ) -> DataFrame:
-    """One row per link of pages with ``url`` and ``dom``."""
-    return with_links(pages, found=selectors).select(
-        *keys, F.col("url").alias("src"), F.lit(kind).alias("kind"), F.inline("found")
+    """One row per link of pages with ``url`` and ``dom``.
+
+    The outer form keeps Spark from testing the list for emptiness below the parser,
+    which would parse every page twice.
+    """
+    rows = with_links(pages, found=selectors).select(
+        *keys, F.col("url").alias("src"), F.lit(kind).alias("kind"), F.inline_outer("found")
     )
+    return rows.where("dst is not null")
 
 
 def field_stages(title: Column | Css, body: Column | Css, time: Column | Css | None) -> Stages:
@@ -92,9 +88,8 @@ def field_stages(title: Column | Css, body: Column | Css, time: Column | Css | N
     ]
 
 
-def with_article(fields: DataFrame, source: Column, run_ts: Column) -> DataFrame:
-    """Add ``article``, the seven stored fields, from ``field_stages`` columns."""
-    timed = with_parsed_time(fields, "page_time", run_ts, "page_at")
+def article_stages(source: Column, run_ts: Column) -> Stages:
+    """``article``: the seven stored fields, from ``field_stages`` columns."""
     record = F.struct(
         article_id(F.col("url")).alias("id"),
         F.col("url").alias("url"),
@@ -104,7 +99,7 @@ def with_article(fields: DataFrame, source: Column, run_ts: Column) -> DataFrame
         time_text(F.col("page_at")).alias("publishTime"),
         time_text(run_ts).alias("crawledAt"),
     )
-    return timed.withColumn("article", record)
+    return [*time_stages("page_time", run_ts, "page_at"), {"article": record}]
 
 
 def parse_articles(
@@ -117,5 +112,5 @@ def parse_articles(
     time: Column | Css | None = None,
 ) -> DataFrame:
     """Article rows of pages with ``url`` and ``dom``."""
-    fields = apply(pages, field_stages(title, body, time))
-    return with_article(fields, source, run_ts).select("article.*")
+    stages = field_stages(title, body, time) + article_stages(source, run_ts)
+    return apply(pages, stages).select("article.*")

@@ -302,8 +302,13 @@ def element_text(dom: Column, element: Column) -> Column:
 
 
 def elements(pages_with_dom: DataFrame, *keys: str) -> DataFrame:
-    """One row per element: ``idx``, ``parent_idx``, ``tag``, ``attrs``, ``text``."""
-    rows = pages_with_dom.select(*keys, "dom", F.posexplode("dom.els").alias("idx", "el"))
+    """One row per element: ``idx``, ``parent_idx``, ``tag``, ``attrs``, ``text``.
+
+    The outer form keeps Spark from testing for empty pages below the parser, which
+    would parse every page twice.
+    """
+    exploded = F.posexplode_outer("dom.els").alias("idx", "el")
+    rows = pages_with_dom.select(*keys, "dom", exploded).where("idx is not null")
     return rows.select(
         *keys,
         "idx",

@@ -217,9 +217,9 @@ def neighbours(
         limit = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 * F.col("d")))).otherwise(4.0)
         open_cells = _open_cells(centers, radius)
         queries = placed.join(bound, "rep").select(
-            "rep", "u", F.explode(open_cells(F.col("u"), F.col("cell"), limit)).alias("cell")
+            "rep", "u", F.explode_outer(open_cells(F.col("u"), F.col("cell"), limit)).alias("cell")
         )
-        queries = cut(queries, "queries")
+        queries = cut(queries.where("cell is not null"), "queries")
         more = _probe(queries, placed.select("rep", "u", "cell"), sizes, k, block)
         found = first_per_group(own.unionByName(more), ["rep"], _by_distance(), k)
     copies = first_per_group(members, ["rep"], [F.col("id")], k)

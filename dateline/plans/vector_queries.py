@@ -73,7 +73,7 @@ def fuzzy_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 def embed_text(spark: SparkSession, folder: str) -> DataFrame:
     vectors = hashed_words(inputs.documents(spark, folder), "text")
-    return vectors.select("doc_id", F.posexplode("vector").alias("code", "weight")).where("weight > 0").select(
+    return vectors.select("doc_id", F.posexplode_outer("vector").alias("code", "weight")).where("weight > 0").select(
         "doc_id", "code", (F.round(F.col("weight").cast("double"), 5) + 0.0).alias("weight")
     )
 
