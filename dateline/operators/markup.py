@@ -59,6 +59,7 @@ _TOKEN = re.compile(
     r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>",
     re.S,
 )
+_CUT_OFF = re.compile("<[A-Za-z/!?]")
 _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _RAW_END = {
     tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in RAW | RAW_WITH_ENTITIES
@@ -211,12 +212,14 @@ def read_tree(html: str | None) -> _Tree:
     """Build the element tree of one page."""
     tree = _Tree()
     html = html or ""
-    at = 0
+    at, last = 0, html.rfind(">") + 1
     while True:
-        token = _TOKEN.search(html, at)
+        # Nothing ends behind the last ">", so the search for a tag's end stops there.
+        token = _TOKEN.search(html, at, last) if at < last else None
         if token is None:
-            if at < len(html):
-                tree.text(html[at:])
+            tail = _CUT_OFF.split(html[at:], maxsplit=1)[0]
+            if tail:
+                tree.text(tail)
             break
         if token.start() > at:
             tree.text(html[at : token.start()])
