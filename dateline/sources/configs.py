@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,26 +16,44 @@ from dateline.schemas import SITE_CONFIG
 _FIELDS = SITE_CONFIG.fieldNames()
 
 
-def _scan(spark: SparkSession, folder: str) -> DataFrame:
-    schema = T.StructType([*SITE_CONFIG.fields, T.StructField("_corrupt_record", T.StringType())])
-    return (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*.json")
-        .json(folder)
-        .withColumn("file", F.input_file_name())
-    )
+# Fixed value: where configurations are looked for when no folder is given.
+DEFAULT_FOLDER = "configs/newsConfigs"
+
 
+def _scan(spark: SparkSession, folder: str | None) -> DataFrame:
+    """One row per ``*.json`` file with its text and what could be read of it."""
+    files = T.StructType([T.StructField("value", T.StringType())])
+    try:
+        texts = (
+            spark.read.schema(files)
+            .option("wholetext", True)
+            .option("pathGlobFilter", "*.json")
+            .text(folder or DEFAULT_FOLDER)
+            .withColumn("file", F.input_file_name())
+        )
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"no configuration folder {folder or DEFAULT_FOLDER}", stacklevel=3)
+        texts = spark.createDataFrame([], "value string, file string")
+    marked = T.StructType([*SITE_CONFIG.fields, T.StructField("_corrupt_record", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return texts.withColumn("row", F.from_json("value", marked, options))
 
-def read_site_configs(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per readable ``*.json`` file of ``folder``; other files are ignored."""
-    return _scan(spark, folder).where("_corrupt_record is null").select(*_FIELDS, "file")
+
+def read_site_configs(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """One row per readable ``*.json`` file of ``folder``; other files are ignored.
+
+    A missing folder gives no rows and a warning.
+    """
+    rows = _scan(spark, folder).where("row is not null and row._corrupt_record is null")
+    return rows.select(*[F.col(f"row.{name}").alias(name) for name in _FIELDS], "file")
 
 
-def rejected_site_configs(spark: SparkSession, folder: str) -> DataFrame:
+def rejected_site_configs(spark: SparkSession, folder: str | None = None) -> DataFrame:
     """Files that are not a site configuration, with their text."""
-    scan = _scan(spark, folder)
-    return scan.where("_corrupt_record is not null").select("file", "_corrupt_record")
+    rows = _scan(spark, folder).where("row is null or row._corrupt_record is not null")
+    return rows.select("file", F.col("value").alias("text"))
 
 
 def site_table(configs: DataFrame, rules: DataFrame) -> DataFrame:
