@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 
 from dateline.functions.text import batch_name, clean_body, domain_label, file_suffix, has_body, strip
 from dateline.schemas import ARTICLE
+from dateline.sources.json_rows import parsed_row
 
 _FIELDS = ARTICLE.fieldNames()
-_MARKED = T.StructType([*ARTICLE.fields, T.StructField("_corrupt_record", T.StringType())])
 
 
 def _lines(spark: SparkSession, paths: str | list[str], suffix: str) -> DataFrame:
@@ -18,9 +18,8 @@ def _lines(spark: SparkSession, paths: str | list[str], suffix: str) -> DataFram
     return scan.withColumn("file", F.input_file_name()).where(strip(F.col("value")) != "")
 
 
-def _parsed(spark: SparkSession, paths: str | list[str], mode: str, suffix: str) -> DataFrame:
-    row = F.from_json("value", _MARKED, {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"})
-    return _lines(spark, paths, suffix).withColumn("row", row)
+def _parsed(spark: SparkSession, paths: str | list[str], strict: bool, suffix: str) -> DataFrame:
+    return _lines(spark, paths, suffix).withColumn("row", parsed_row(F.col("value"), ARTICLE, strict))
 
 
 def read_articles(
@@ -32,7 +31,7 @@ def read_articles(
     ``strict`` fails on a malformed line; otherwise such lines are left to
     ``rejected_articles``.
     """
-    parsed = _parsed(spark, paths, "FAILFAST" if strict else "PERMISSIVE", suffix)
+    parsed = _parsed(spark, paths, strict, suffix)
     if not strict:
         parsed = parsed.where("row._corrupt_record is null")
     attrs = F.map_filter(
@@ -51,7 +50,7 @@ def rejected_articles(
     spark: SparkSession, paths: str | list[str], suffix: str = "*.jsonl"
 ) -> DataFrame:
     """Malformed lines with the file they are in."""
-    parsed = _parsed(spark, paths, "PERMISSIVE", suffix)
+    parsed = _parsed(spark, paths, False, suffix)
     return parsed.where("row._corrupt_record is not null").select("file", F.col("value").alias("line"))
 
 

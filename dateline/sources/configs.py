@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from dateline.functions.text import host_of
 from dateline.operators.selectors import compiled
 from dateline.schemas import SITE_CONFIG
+from dateline.sources.json_rows import parsed_row
 
 _FIELDS = SITE_CONFIG.fieldNames()
 
@@ -36,9 +37,7 @@ def _scan(spark: SparkSession, folder: str | None) -> DataFrame:
             raise
         warnings.warn(f"no configuration folder {folder or DEFAULT_FOLDER}", stacklevel=3)
         texts = spark.createDataFrame([], "value string, file string")
-    marked = T.StructType([*SITE_CONFIG.fields, T.StructField("_corrupt_record", T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    return texts.withColumn("row", F.from_json("value", marked, options))
+    return texts.withColumn("row", parsed_row(F.col("value"), SITE_CONFIG))
 
 
 def read_site_configs(spark: SparkSession, folder: str | None = None) -> DataFrame:
