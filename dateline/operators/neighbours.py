@@ -179,7 +179,8 @@ def neighbours(
     several jobs; intermediate tables go to the shared folder.
     """
     units = cut(
-        vectors.select(F.col(ident).alias("id"), unit(F.col(vector)).alias("u")).where("u is not null"),
+        vectors.select(F.col(ident).alias("id"), F.explode_outer(F.array(unit(F.col(vector)))).alias("u"))
+        .where("u is not null"),
         "units",
     )
     reps = units.groupBy("u").agg(F.min("id").alias("rep"))

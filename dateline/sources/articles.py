@@ -8,18 +8,18 @@ from pyspark.sql import types as T
 
 from dateline.functions.text import batch_name, clean_body, domain_label, file_suffix, has_body, strip
 from dateline.schemas import ARTICLE
-from dateline.sources.json_rows import parsed_row
+from dateline.sources.json_rows import with_parsed
 
 _FIELDS = ARTICLE.fieldNames()
 
 
 def _lines(spark: SparkSession, paths: str | list[str], suffix: str) -> DataFrame:
     scan = spark.read.option("pathGlobFilter", suffix).text(paths)
-    return scan.withColumn("file", F.input_file_name()).where(strip(F.col("value")) != "")
+    return scan.where(strip(F.col("value")) != "").select("value", F.input_file_name().alias("file"))
 
 
 def _parsed(spark: SparkSession, paths: str | list[str], strict: bool, suffix: str) -> DataFrame:
-    return _lines(spark, paths, suffix).withColumn("row", parsed_row(F.col("value"), ARTICLE, strict))
+    return with_parsed(_lines(spark, paths, suffix), "value", ARTICLE, strict)
 
 
 def read_articles(
@@ -33,13 +33,13 @@ def read_articles(
     """
     parsed = _parsed(spark, paths, strict, suffix)
     if not strict:
-        parsed = parsed.where("row._corrupt_record is null")
+        parsed = parsed.where("_corrupt_record is null")
     attrs = F.map_filter(
         F.from_json("value", T.MapType(T.StringType(), T.StringType())), lambda k, v: k != "body"
     )
     return with_clean_body(
         parsed.select(
-            *[F.col(f"row.{name}").alias(name) for name in _FIELDS],
+            *_FIELDS,
             F.transform_values(attrs, lambda k, v: F.coalesce(v, F.lit("null"))).alias("attrs"),
             "file",
         )
@@ -51,7 +51,7 @@ def rejected_articles(
 ) -> DataFrame:
     """Malformed lines with the file they are in."""
     parsed = _parsed(spark, paths, False, suffix)
-    return parsed.where("row._corrupt_record is not null").select("file", F.col("value").alias("line"))
+    return parsed.where("_corrupt_record is not null").select("file", F.col("value").alias("line"))
 
 
 def with_clean_body(articles: DataFrame) -> DataFrame:

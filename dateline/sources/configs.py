@@ -7,12 +7,11 @@ import warnings
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dateline.functions.text import host_of
 from dateline.operators.selectors import compiled
 from dateline.schemas import SITE_CONFIG
-from dateline.sources.json_rows import parsed_row
+from dateline.sources.json_rows import with_parsed
 
 _FIELDS = SITE_CONFIG.fieldNames()
 
@@ -20,16 +19,15 @@ _FIELDS = SITE_CONFIG.fieldNames()
 # Fixed value: where configurations are looked for when no folder is given.
 DEFAULT_FOLDER = "configs/newsConfigs"
 
+_USABLE = "_corrupt_record is null and baseUrl is not null"
+
 
 def _scan(spark: SparkSession, folder: str | None) -> DataFrame:
     """One row per ``*.json`` file with its text and what could be read of it."""
-    files = T.StructType([T.StructField("value", T.StringType())])
     try:
         texts = (
-            spark.read.schema(files)
-            .option("wholetext", True)
-            .option("pathGlobFilter", "*.json")
-            .text(folder or DEFAULT_FOLDER)
+            spark.read.option("pathGlobFilter", "*.json")
+            .text(folder or DEFAULT_FOLDER, wholetext=True)
             .withColumn("file", F.input_file_name())
         )
     except AnalysisException as error:
@@ -37,7 +35,7 @@ def _scan(spark: SparkSession, folder: str | None) -> DataFrame:
             raise
         warnings.warn(f"no configuration folder {folder or DEFAULT_FOLDER}", stacklevel=3)
         texts = spark.createDataFrame([], "value string, file string")
-    return texts.withColumn("row", parsed_row(F.col("value"), SITE_CONFIG))
+    return with_parsed(texts, "value", SITE_CONFIG)
 
 
 def read_site_configs(spark: SparkSession, folder: str | None = None) -> DataFrame:
@@ -45,14 +43,12 @@ def read_site_configs(spark: SparkSession, folder: str | None = None) -> DataFra
 
     A missing folder gives no rows and a warning.
     """
-    rows = _scan(spark, folder).where("row is not null and row._corrupt_record is null")
-    return rows.select(*[F.col(f"row.{name}").alias(name) for name in _FIELDS], "file")
+    return _scan(spark, folder).where(_USABLE).select(*_FIELDS, "file")
 
 
 def rejected_site_configs(spark: SparkSession, folder: str | None = None) -> DataFrame:
     """Files that are not a site configuration, with their text."""
-    rows = _scan(spark, folder).where("row is null or row._corrupt_record is not null")
-    return rows.select("file", F.col("value").alias("text"))
+    return _scan(spark, folder).where(f"not ({_USABLE})").select("file", F.col("value").alias("text"))
 
 
 def site_table(configs: DataFrame, rules: DataFrame) -> DataFrame:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
 
-def parsed_row(text: Column, schema: T.StructType, strict: bool = False) -> Column:
-    """The text as a row of ``schema`` plus ``_corrupt_record``, null in a good row.
+def with_parsed(texts: DataFrame, text: str, schema: T.StructType, strict: bool = False) -> DataFrame:
+    """Add the fields of ``schema`` plus ``_corrupt_record``, null for a good text.
 
-    Parsed inside a one-element array: Spark would otherwise read only the fields in
-    use, and whether a text counts as malformed would depend on the query.
+    The fields leave a generator, so a filter on them does not parse the text again,
+    and all of it is read: whether a text counts as malformed does not depend on the
+    columns a query uses.
     """
     marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "FAILFAST" if strict else "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return F.get(F.transform(F.array(text), lambda t: F.from_json(t, marked, options)), 0)
+    row = F.from_json(text, marked, options)
+    return texts.select("*", F.inline_outer(F.array(row)))
