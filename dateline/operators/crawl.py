@@ -6,14 +6,14 @@ bound, including those a depth-first walk meets too late to expand.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dateline.functions.text import host_of
-from dateline.functions.times import apply
+from dateline.functions.times import Stages, apply
 from dateline.operators.extract import article_stages, base_stages, field_stages, link_stages
 from dateline.operators.markup import with_dom
 from dateline.operators.ranking import first_per_group
@@ -53,35 +53,23 @@ def pages_of_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
     return keyed.join(broadcast_within(sites, size), "host")
 
 
-def _visitor(run_ts: Column) -> Callable[[DataFrame], DataFrame]:
-    """Everything a round needs of a page: its links with their verdict, its record.
+def _link_stages() -> Stages:
+    """``topics`` and ``links`` of a page with its site's columns, each link judged by
+    the site's robots rules."""
 
-    The column expressions are built once and serve every round.
-    """
-    stages = [
-        *base_stages(),
-        *link_stages(topics=F.col("topics"), links=F.col("links")),
-        {
-            name: F.transform(
-                name,
-                lambda link: F.struct(
-                    link["selector_idx"],
-                    link["elem_idx"],
-                    link["dst"],
-                    allowed(link["dst"], F.col("rules")).alias("allowed"),
-                ),
-            )
-            for name in ("topics", "links")
-        },
-        *field_stages(F.col("title"), F.col("body"), F.col("time")),
-        *article_stages(F.col("host"), run_ts),
-    ]
-
-    def visit(pages_with_site: DataFrame) -> DataFrame:
-        pages = apply(with_dom(pages_with_site), stages)
-        return pages.select("site", "url", "topics", "links", "article")
+    def judged(links: str) -> Column:
+        return F.transform(
+            links,
+            lambda link: F.struct(
+                link["selector_idx"],
+                link["elem_idx"],
+                link["dst"],
+                allowed(link["dst"], F.col("rules")).alias("allowed"),
+            ),
+        )
 
-    return visit
+    found = link_stages(topics=F.col("topics"), links=F.col("links"))
+    return [*base_stages(), *found, {name: judged(name) for name in ("topics", "links")}]
 
 
 @dataclass(frozen=True)
@@ -95,30 +83,30 @@ class Crawl:
 
 
 def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int) -> Crawl:
-    """Walk every site of ``sources.configs.site_table`` over a page table.
+    """Walk every site of ``sources.configs.site_table`` over ``pages(url, html)``, one
+    row per URL.
 
-    Pages on a configured host are parsed once, up front, into slim link rows and
-    article rows. Rounds join those; only links leading to another host read the page
-    table again, and only for the pages they name.
+    The links of pages on a configured host are read once, up front, into slim rows
+    that the rounds join; only links leading to another host read the page table again,
+    and only for the pages they name. Articles are read at the end, within the cap.
     """
     sites = cut(sites, "sites")
+    hosts = sites.select("site", "host")
     depth_limit = sites.agg(F.max("max_depth")).first()[0] or 0
-    visit = _visitor(run_ts)
-    own = cut(visit(pages_of_sites(pages, sites)), "own-pages")
+    stages = _link_stages()
 
-    def visits(wanted: DataFrame) -> DataFrame:
-        """Visit rows of ``wanted(site, url, away, ...)``, a table already cut."""
-        on_host = wanted.join(own, ["site", "url"])
-        away = wanted.where("away")
+    def read_links(pages_with_site: DataFrame) -> DataFrame:
+        return apply(with_dom(pages_with_site), stages).select("site", "url", "topics", "links")
+
+    own = cut(read_links(pages_of_sites(pages, sites)), "own-links")
+
+    def visits(level: DataFrame) -> DataFrame:
+        on_host = level.join(own, ["site", "url"])
+        away = level.where("away")
         if away.isEmpty():
             return on_host
         foreign = away.select("site", "url").join(sites, "site").join(pages, "url")
-        return on_host.unionByName(away.join(visit(foreign), ["site", "url"]))
-
-    def with_away(rows: DataFrame) -> DataFrame:
-        hosts = sites.select("site", "host")
-        marked = rows.join(hosts, "site").withColumn("away", host_of(F.col("url")) != F.col("host"))
-        return marked.drop("host")
+        return on_host.unionByName(away.join(read_links(foreign), ["site", "url"]))
 
     def found(visited_pages: DataFrame, kind: str) -> DataFrame:
         rows = visited_pages.select("site", "depth", F.col("url").alias("src"), F.inline(kind))
@@ -126,53 +114,61 @@ def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int)
             "site", "depth", "src", "selector_idx", "elem_idx", F.col("dst").alias("url")
         )
 
+    def seen_rows(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.select("site", "url", F.lit(kind).alias("kind"), "depth")
+
     level = cut(
         sites.where(allowed(F.col("site"), F.col("rules")) & (F.col("max_depth") >= 0)).select(
             "site", F.col("site").alias("url"), F.lit(0).alias("depth"), F.lit(False).alias("away")
         ),
         "level",
     )
-    seen = level.select("site", "url", F.lit("topic").alias("kind"), "depth")
-    articles: DataFrame | None = None
+    seen = seen_rows(level, "topic")
+    fetched = []
     for depth in range(depth_limit + 1):
-        if level.isEmpty():
-            break
         here = cut(visits(level).select("site", "url", "depth", "topics", "links"), "visits")
+        # One row per link target first: a page linked from everywhere is then no hot key.
         fresh = first_per_group(
-            found(here, "links").join(seen, ["site", "url"], "left_anti"),
-            ["site", "url"],
-            [F.col(c) for c in ARTICLE_ORDER],
-        )
-        fresh = cut(with_away(fresh), "links")
-        seen = seen.unionByName(fresh.select("site", "url", F.lit("article").alias("kind"), "depth"))
-        records = visits(fresh).select("site", "article", *ARTICLE_ORDER)
-        records = cut(records, "articles")
-        articles = records if articles is None else articles.unionByName(records)
-        counts = articles.groupBy("site").agg(F.count("*").alias("n"))
+            found(here, "links"), ["site", "url"], [F.col(c) for c in ARTICLE_ORDER]
+        ).join(seen, ["site", "url"], "left_anti")
+        fresh = cut(fresh, "article-links")
+        seen = seen.unionByName(seen_rows(fresh, "article"))
+        fetched.append(cut(fresh.join(pages.select("url"), "url", "left_semi"), "fetched"))
+        if depth == depth_limit:
+            break
+        counts = reduce(DataFrame.unionByName, fetched).groupBy("site").agg(F.count("*").alias("n"))
         full = counts.where(F.col("n") >= max_articles).select("site")
         following = (
             found(here, "topics")
-            .join(full, "site", "left_anti")
-            .join(sites.select("site", "max_depth"), "site")
-            .where(F.col("depth") < F.col("max_depth"))
             .select("site", "url")
             .distinct()
+            .join(full, "site", "left_anti")
+            .join(sites.where(F.col("max_depth") > depth).select("site"), "site", "left_semi")
             .join(seen, ["site", "url"], "left_anti")
-            .withColumn("depth", F.lit(depth + 1))
-        )
-        level = cut(with_away(following), "level")
-        seen = seen.unionByName(level.select("site", "url", F.lit("topic").alias("kind"), "depth"))
-    if articles is None:
-        articles = cut(
-            own.select("site", "article", *[F.lit(None).cast(t).alias(c) for c, t in zip(
-                ARTICLE_ORDER, ("int", "string", "int", "int", "string"), strict=True)]).limit(0),
-            "articles",
+            .join(hosts, "site")
+            .select(
+                "site", "url", F.lit(depth + 1).alias("depth"),
+                (host_of(F.col("url")) != F.col("host")).alias("away"),
+            )
         )
+        level = cut(following, "level")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(seen_rows(level, "topic"))
     kept = first_per_group(
-        articles, ["site"], [F.col(c) for c in ARTICLE_ORDER], max_articles, rank="rank"
+        reduce(DataFrame.unionByName, fetched),
+        ["site"],
+        [F.col(c) for c in ARTICLE_ORDER],
+        max_articles,
+        rank="rank",
     )
+    records = [
+        *field_stages(F.col("title"), F.col("body"), F.col("time")),
+        *article_stages(F.col("host"), run_ts),
+    ]
+    chosen = cut(kept.select("site", "rank", "url"), "chosen").join(sites, "site").join(pages, "url")
     return Crawl(
-        articles=kept.select("site", "rank", "article.*"),
+        articles=apply(with_dom(chosen), records).select("site", "rank", "article.*"),
         visited=seen,
         failed=seen.join(pages.select("url"), "url", "left_anti"),
     )
