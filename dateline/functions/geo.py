@@ -51,19 +51,16 @@ def difference(a: Column, b: Column) -> Column:
     return F.struct(*[(a[axis] - b[axis]).alias(axis) for axis in "xyz"])
 
 
-def crossings_odd(edges: Column, lat: Column, lon: Column) -> Column:
-    """Even-odd test of a point against edges ``(xi, yi, xj, yj)``.
-
-    ``i`` is a ring vertex and ``j`` the one before it. An edge counts when it spans
-    the latitude and meets it to the east of the point.
-    """
+def crossings(edges: Column, lat: Column, lon: Column) -> Column:
+    """How many edges ``(xi, yi, xj, yj)`` span the latitude and meet it east of the
+    point; ``i`` is a ring vertex and ``j`` the one before it."""
 
     def hit(e: Column) -> Column:
         spans = (e["yi"] > lat) != (e["yj"] > lat)
         meets = (e["xj"] - e["xi"]) * (lat - e["yi"]) / (e["yj"] - e["yi"]) + e["xi"]
         return F.when(spans, lon < meets).otherwise(False)
 
-    return F.size(F.filter(edges, hit)) % 2 == 1
+    return F.size(F.filter(edges, hit))
 
 
 def ring_edges(ring: Column) -> Column:
@@ -82,4 +79,4 @@ def ring_edges(ring: Column) -> Column:
 
 def in_ring(ring: Column, lat: Column, lon: Column) -> Column:
     """True inside a ring, closed or not; holes are not part of a ring."""
-    return crossings_odd(ring_edges(ring), lat, lon)
+    return crossings(ring_edges(ring), lat, lon) % 2 == 1

@@ -1,8 +1,14 @@
 """Which country a point is in: first feature, in order, whose outer ring holds it.
 
-Borders are cut into grid cells once. A cell row lists the features near it, each with
-just the edges that can decide a point of that cell, so a point joins one row and
-needs no aggregation afterwards.
+Borders are cut into grid cells once. A cell row lists the features around it, so a
+point joins one row and needs no aggregation afterwards. Of a feature it holds
+
+* ``edges``: those that share longitudes with the cell and must be tested, and
+* ``flips``: what the edges wholly east of the cell amount to. Each counts for the
+  latitudes it spans, so together they are a parity that changes at some latitudes;
+  where one edge of a border ends and the next goes on, it does not.
+
+The grid thus grows with the borders and their cells, not with their product.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateline.functions.geo import crossings_odd, difference, latlon_to_point, length, ring_edges
+from dateline.functions.geo import crossings, difference, latlon_to_point, length, ring_edges
 from dateline.session import broadcast_within, cut
 
 _SLACK = 1e-9
@@ -50,20 +56,41 @@ def _cell(value: Column, degrees: float) -> Column:
     return F.floor(value / degrees).cast("int")
 
 
+def _flips(edges: Column, south: Column, north: Column) -> Column:
+    """Latitudes within a band where the parity of the edges spanning it changes; a
+    change below the band is moved to its lower end, one above it is left out."""
+
+    def held(y: Column) -> Column:
+        return F.least(F.greatest(y, south), north)
+
+    ends = F.flatten(F.transform(edges, lambda e: F.array(held(e["yi"]), held(e["yj"]))))
+    # Equal latitudes cancel in pairs; sorted, they are neighbours.
+    odd = F.aggregate(
+        F.array_sort(ends),
+        F.expr("cast(array() as array<double>)"),
+        lambda kept, y: F.when(
+            F.get(kept, F.size(kept) - 1) == y, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        ).otherwise(F.concat(kept, F.array(y))),
+    )
+    return F.filter(odd, lambda y: y < north)
+
+
 def country_grid(features: DataFrame, degrees: float = 1.0) -> DataFrame:
     """``(cx, cy, near)`` for every cell that can hold a point of some feature.
 
-    Its size follows the borders, not the points. Use smaller cells for many small
-    features. Runs a job: the grid is written to the shared folder.
+    Use smaller cells for many small features. Runs a job: the grid is written to the
+    shared folder.
     """
+    south, north = F.col("cy") * degrees - _SLACK, (F.col("cy") + 1) * degrees + _SLACK
+    west, east = F.col("cx") * degrees - _SLACK, (F.col("cx") + 1) * degrees + _SLACK
     bands = (
         outer_rings(features)
         .withColumn("edges", ring_edges(F.col("ring")))
-        .withColumn("west", F.array_min(F.transform("edges", lambda e: e["xi"])))
+        .withColumn("xs", F.transform("edges", lambda e: e["xi"]))
         .withColumn("ys", F.transform("edges", lambda e: e["yi"]))
         .withColumn(
             "cy",
-            F.explode(
+            F.explode_outer(
                 F.sequence(
                     _cell(F.array_min("ys") - _SLACK, degrees),
                     _cell(F.array_max("ys") + _SLACK, degrees),
@@ -74,48 +101,56 @@ def country_grid(features: DataFrame, degrees: float = 1.0) -> DataFrame:
             "edges",
             F.filter(
                 "edges",
-                lambda e: (F.least(e["yi"], e["yj"]) <= (F.col("cy") + 1) * degrees + _SLACK)
-                & (F.greatest(e["yi"], e["yj"]) >= F.col("cy") * degrees - _SLACK),
+                lambda e: (F.least(e["yi"], e["yj"]) <= north) & (F.greatest(e["yi"], e["yj"]) >= south),
             ),
         )
-        .where(F.size("edges") > 0)
-        .withColumn("east", F.array_max(F.transform("edges", lambda e: F.greatest(e["xi"], e["xj"]))))
     )
     cells = (
         bands.withColumn(
             "cx",
-            F.explode(
+            F.explode_outer(
                 F.sequence(
-                    _cell(F.col("west") - _SLACK, degrees), _cell(F.col("east") + _SLACK, degrees)
+                    _cell(F.array_min("xs") - _SLACK, degrees),
+                    _cell(F.array_max("xs") + _SLACK, degrees),
                 )
             ),
         )
+        .withColumn("far", F.filter("edges", lambda e: F.least(e["xi"], e["xj"]) > east))
         .withColumn(
             "edges",
             F.filter(
                 "edges",
-                lambda e: F.greatest(e["xi"], e["xj"]) >= F.col("cx") * degrees - _SLACK,
+                lambda e: (F.least(e["xi"], e["xj"]) <= east) & (F.greatest(e["xi"], e["xj"]) >= west),
             ),
         )
-        .where(F.size("edges") > 0)
+        .withColumn("flips", _flips(F.col("far"), south, north))
+    )
+    around = F.struct("feature_idx", "part", "name", "edges", "flips")
+    grouped = (
+        cells.groupBy("cx", "cy")
+        .agg(F.array_sort(F.collect_list(around)).alias("near"))
+        .withColumn("near", F.filter("near", lambda f: (F.size(f["edges"]) > 0) | (F.size(f["flips"]) > 0)))
     )
-    near = F.array_sort(F.collect_list(F.struct("feature_idx", "part", "name", "edges")))
-    return cut(cells.groupBy("cx", "cy").agg(near.alias("near")), "grid")
+    return cut(grouped.where(F.size("near") > 0), "grid")
 
 
 def with_country(
     points: DataFrame, grid: DataFrame, lat: str = "lat", lon: str = "lon", degrees: float = 1.0
 ) -> DataFrame:
     """Add ``country``, null where no feature holds the point."""
-    edges = F.aggregate("near", F.lit(0), lambda total, f: total + F.size(f["edges"]))
-    size = edges * 32 + F.size("near") * 64
-    keyed = points.withColumn("cx", _cell(F.col(lat) * 0 + F.col(lon), degrees)).withColumn(
-        "cy", _cell(F.col(lat), degrees)
+    parts = F.aggregate(
+        "near", F.lit(0), lambda total, f: total + F.size(f["edges"]) * 32 + F.size(f["flips"]) * 8 + 96
     )
-    joined = keyed.join(broadcast_within(grid, size), ["cx", "cy"], "left")
-    holding = F.filter(
-        F.col("near"), lambda f: crossings_odd(f["edges"], F.col(lat), F.col(lon))
+    keyed = points.withColumn("cx", _cell(F.col(lon), degrees)).withColumn(
+        "cy", _cell(F.col(lat), degrees)
     )
+    joined = keyed.join(broadcast_within(grid, parts), ["cx", "cy"], "left")
+
+    def holds(f: Column) -> Column:
+        flipped = F.size(F.filter(f["flips"], lambda y: y <= F.col(lat)))
+        return (crossings(f["edges"], F.col(lat), F.col(lon)) + flipped) % 2 == 1
+
+    holding = F.filter(F.col("near"), holds)
     return joined.withColumn("country", F.get(holding, 0)["name"]).drop("cx", "cy", "near")
 
 

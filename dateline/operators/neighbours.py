@@ -192,7 +192,10 @@ def neighbours(
             F.col("rep").alias("id"), F.lit(1).alias("rank"), F.col("rep").alias("neighbour"),
             F.lit(0.0).alias("distance"),
         )
-    members = cut(units.join(base, "u").select("id", "rep"), "members")
+    if units.count() == total:  # no copies
+        members = base.select(F.col("rep").alias("id"), "rep")
+    else:
+        members = cut(units.join(base, "u").select("id", "rep"), "members")
     width = base.select(F.size("u")).first()[0]
     if pivots is None:
         pivots = 1 if total <= block else math.ceil(math.sqrt(total))
