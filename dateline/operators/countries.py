@@ -56,23 +56,48 @@ def _cell(value: Column, degrees: float) -> Column:
     return F.floor(value / degrees).cast("int")
 
 
-def _flips(edges: Column, south: Column, north: Column) -> Column:
-    """Latitudes within a band where the parity of the edges spanning it changes; a
-    change below the band is moved to its lower end, one above it is left out."""
+_PART = ("feature_idx", "part", "name")
 
-    def held(y: Column) -> Column:
-        return F.least(F.greatest(y, south), north)
 
-    ends = F.flatten(F.transform(edges, lambda e: F.array(held(e["yi"]), held(e["yj"]))))
-    # Equal latitudes cancel in pairs; sorted, they are neighbours.
-    odd = F.aggregate(
-        F.array_sort(ends),
+def _odd(latitudes: Column) -> Column:
+    """Latitudes that occur an odd number of times; equal ones cancel in pairs."""
+    return F.aggregate(
+        F.sort_array(latitudes),
         F.expr("cast(array() as array<double>)"),
         lambda kept, y: F.when(
             F.get(kept, F.size(kept) - 1) == y, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
         ).otherwise(F.concat(kept, F.array(y))),
     )
-    return F.filter(odd, lambda y: y < north)
+
+
+def _flip_rows(banded: DataFrame, degrees: float) -> DataFrame:
+    """``(cx, cy, part, flips)`` from edges per band; ``first`` is an edge's westernmost
+    column. A flip below the band counts from its lower end, one above it never."""
+    south, north = F.col("cy") * degrees - _SLACK, (F.col("cy") + 1) * degrees + _SLACK
+
+    def held(y: str) -> Column:
+        return F.least(F.greatest(F.col(y), south), north)
+
+    ends = banded.select(
+        *_PART, "cy", F.col("first").alias("column"), F.explode(F.array(held("yi"), held("yj"))).alias("y")
+    )
+    odd = (
+        ends.where(F.col("y") < north)
+        .groupBy(*_PART, "cy", "column", "y")
+        .agg(F.count("*").alias("n"))
+        .where("n % 2 = 1")
+    )
+    bands = odd.groupBy(*_PART, "cy").agg(
+        F.collect_list(F.struct("column", "y")).alias("ends"),
+        F.min("column").alias("west"),
+        F.max("column").alias("east"),
+    )
+    # West of all columns the border has closed: every flip cancels.
+    cells = bands.where("east > west").withColumn(
+        "cx", F.explode(F.sequence(F.col("west"), F.col("east") - 1))
+    )
+    farther = F.filter("ends", lambda e: e["column"] > F.col("cx"))
+    return cells.select("cx", "cy", *_PART, _odd(F.transform(farther, lambda e: e["y"])).alias("flips"))
 
 
 def country_grid(features: DataFrame, degrees: float = 1.0) -> DataFrame:
@@ -81,57 +106,31 @@ def country_grid(features: DataFrame, degrees: float = 1.0) -> DataFrame:
     Use smaller cells for many small features. Runs a job: the grid is written to the
     shared folder.
     """
-    south, north = F.col("cy") * degrees - _SLACK, (F.col("cy") + 1) * degrees + _SLACK
-    west, east = F.col("cx") * degrees - _SLACK, (F.col("cx") + 1) * degrees + _SLACK
-    bands = (
-        outer_rings(features)
-        .withColumn("edges", ring_edges(F.col("ring")))
-        .withColumn("xs", F.transform("edges", lambda e: e["xi"]))
-        .withColumn("ys", F.transform("edges", lambda e: e["yi"]))
-        .withColumn(
-            "cy",
-            F.explode_outer(
-                F.sequence(
-                    _cell(F.array_min("ys") - _SLACK, degrees),
-                    _cell(F.array_max("ys") + _SLACK, degrees),
-                )
-            ),
-        )
-        .withColumn(
-            "edges",
-            F.filter(
-                "edges",
-                lambda e: (F.least(e["yi"], e["yj"]) <= north) & (F.greatest(e["yi"], e["yj"]) >= south),
-            ),
-        )
+    edges = outer_rings(features).select(*_PART, F.inline(ring_edges(F.col("ring"))))
+    low, high = F.least("yi", "yj") - _SLACK, F.greatest("yi", "yj") + _SLACK
+    banded = edges.select(
+        "*",
+        _cell(F.least("xi", "xj") - _SLACK, degrees).alias("first"),
+        _cell(F.greatest("xi", "xj") + _SLACK, degrees).alias("last"),
+        F.explode(F.sequence(_cell(low, degrees), _cell(high, degrees))).alias("cy"),
+    )
+    near = (
+        banded.withColumn("cx", F.explode(F.sequence("first", "last")))
+        .groupBy("cx", "cy", *_PART)
+        .agg(F.collect_list(F.struct("xi", "yi", "xj", "yj")).alias("edges"))
     )
-    cells = (
-        bands.withColumn(
-            "cx",
-            F.explode_outer(
-                F.sequence(
-                    _cell(F.array_min("xs") - _SLACK, degrees),
-                    _cell(F.array_max("xs") + _SLACK, degrees),
-                )
-            ),
-        )
-        .withColumn("far", F.filter("edges", lambda e: F.least(e["xi"], e["xj"]) > east))
-        .withColumn(
-            "edges",
-            F.filter(
-                "edges",
-                lambda e: (F.least(e["xi"], e["xj"]) <= east) & (F.greatest(e["xi"], e["xj"]) >= west),
-            ),
-        )
-        .withColumn("flips", _flips(F.col("far"), south, north))
+    both = near.unionByName(_flip_rows(banded, degrees), allowMissingColumns=True)
+    parts = both.groupBy("cx", "cy", *_PART).agg(
+        F.flatten(F.collect_list("edges")).alias("edges"),
+        F.flatten(F.collect_list("flips")).alias("flips"),
     )
     around = F.struct("feature_idx", "part", "name", "edges", "flips")
-    grouped = (
-        cells.groupBy("cx", "cy")
-        .agg(F.array_sort(F.collect_list(around)).alias("near"))
-        .withColumn("near", F.filter("near", lambda f: (F.size(f["edges"]) > 0) | (F.size(f["flips"]) > 0)))
+    return cut(
+        parts.where("size(edges) > 0 or size(flips) > 0")
+        .groupBy("cx", "cy")
+        .agg(F.sort_array(F.collect_list(around)).alias("near")),
+        "grid",
     )
-    return cut(grouped.where(F.size("near") > 0), "grid")
 
 
 def with_country(

@@ -17,7 +17,7 @@ def local_scale(neighbour_rows: DataFrame, k: int = 5) -> DataFrame:
     """``(id, near, rho, sigma)``: distance to the nearest other point and the width at
     which the k weights sum to log2 k, found by bisection inside the row."""
     lists = neighbour_rows.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "neighbour", "distance"))).alias("near")
+        F.sort_array(F.collect_list(F.struct("rank", "neighbour", "distance"))).alias("near")
     )
     distances = F.transform("near", lambda e: e["distance"])
     others = F.slice("ds", 2, F.greatest(F.size("ds") - 1, F.lit(0)))

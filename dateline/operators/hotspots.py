@@ -37,7 +37,7 @@ def hotspots(articles: DataFrame, order: Sequence[Column], keep: int = PANEL_CAR
     top = (
         first_per_group(articles, KEY, order, keep, rank="rank")
         .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(card)).alias("top"))
+        .agg(F.sort_array(F.collect_list(card)).alias("top"))
     )
     counts = articles.groupBy(*KEY).agg(F.count("*").alias("n_articles"))
     return counts.join(top, list(KEY))

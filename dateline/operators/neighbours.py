@@ -233,7 +233,7 @@ def neighbours(
     )
     nearest = first_per_group(entries, ["rep"], _by_distance(), k, rank="rank")
     lists = nearest.groupBy("rep").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "near", "distance"))).alias("near")
+        F.sort_array(F.collect_list(F.struct("rank", "near", "distance"))).alias("near")
     )
     others = F.slice(F.filter("near", lambda e: e["near"] != F.col("id")), 1, k - 1)
     itself = F.array(F.struct(F.lit(1).alias("rank"), F.col("id").alias("near"), F.lit(0.0).alias("distance")))

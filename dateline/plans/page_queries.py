@@ -171,7 +171,7 @@ def _linked_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
     # Four links per page, so the lists are bounded.
     menus = named.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "i", "a"))), lambda x: x["a"]), "").alias("menu")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kind", "i", "a"))), lambda x: x["a"]), "").alias("menu")
     )
     return pages.join(menus, "page_id").select(
         "page_id", "url", F.replace("html", F.lit("<nav>"), F.concat(F.lit("<nav>"), "menu")).alias("html")

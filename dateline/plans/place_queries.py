@@ -107,7 +107,7 @@ def geojson_scan(spark: SparkSession, folder: str) -> DataFrame:
     files = (
         borders.join(nations, "n_nationkey")
         .groupBy("n_regionkey")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature_idx", "feature"))), lambda f: f["feature"]), ",").alias("features"))
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("feature_idx", "feature"))), lambda f: f["feature"]), ",").alias("features"))
         .select("n_regionkey", F.concat(F.lit('{"type":"FeatureCollection","features":['), "features", F.lit("]}")).alias("value"))
     )
     files.repartition("n_regionkey").write.partitionBy("n_regionkey").text(path)
