@@ -49,6 +49,7 @@ IMPLIED_END = {
     "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
     "a": ({"a"}, SCOPE),
 }
+PRESERVED = frozenset({"pre", "textarea"})
 NO_TEXT = frozenset({"script", "style"})
 RAW = NO_TEXT | {"xmp", "iframe", "noembed", "noframes"}
 RAW_WITH_ENTITIES = frozenset({"title", "textarea"})
@@ -64,8 +65,9 @@ _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _RAW_END = {
     tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in RAW | RAW_WITH_ENTITIES
 }
-_BLANKS = re.compile("[ \t\n\f\r\xa0]+")
-_HIDDEN = re.compile(f"[{chr(0x200B)}{chr(0xAD)}]")  # zero-width space, soft hyphen
+# Runs of white space, but for the commonest, a single blank, which needs no change.
+_BLANKS = re.compile("[\t\n\f\r\xa0][ \t\n\f\r\xa0]*| [ \t\n\f\r\xa0]+")
+_HIDDEN = (chr(0x200B), chr(0xAD))  # zero-width space, soft hyphen
 # In attributes a reference without its semicolon is literal before "=" or a letter.
 _ATTR_REF = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z0-9]+;|[A-Za-z0-9]+(?![A-Za-z0-9=]))")
 
@@ -96,6 +98,7 @@ class _Tree:
         self.chunks: list[str] = []
         self.size = 0
         self.blank_end = True
+        self.preserving = 0
 
     def _emit(self, text: str) -> None:
         if text:
@@ -125,6 +128,7 @@ class _Tree:
         if tag not in VOID:
             self.open.append(index)
             self.after_block.append(False)
+            self.preserving += tag in PRESERVED
         elif tag in BLOCK:
             self.after_block[-1] = True
 
@@ -132,6 +136,7 @@ class _Tree:
         index = self.open.pop()
         self.after_block.pop()
         self.hi[index] = self.size
+        self.preserving -= self.tag[index] in PRESERVED
         if self.tag[index] in BLOCK:
             self.after_block[-1] = True
 
@@ -197,11 +202,14 @@ class _Tree:
             source = unescape(source)
         if not self.open and not source.strip():
             return
-        if any(self.tag[i] in ("pre", "textarea") for i in self.open):
+        if self.preserving:
             self._next_sibling()
             self._emit(source)
             return
-        source = _BLANKS.sub(" ", _HIDDEN.sub("", source))
+        for hidden in _HIDDEN:
+            if hidden in source:
+                source = source.replace(hidden, "")
+        source = _BLANKS.sub(" ", source)
         if source != " ":
             self.reopen_formatting()
         self._next_sibling()
