@@ -31,6 +31,11 @@ def category_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CATEGORIES.items()), "category string, display_name string")
 
 
+def hotspot_counts(articles: DataFrame) -> DataFrame:
+    """One row per hotspot with its number of articles."""
+    return articles.groupBy(*KEY).agg(F.count("*").alias("n_articles"))
+
+
 def hotspots(articles: DataFrame, order: Sequence[Column], keep: int = PANEL_CARDS) -> DataFrame:
     """One row per hotspot: number of articles and the first ``keep`` in list order."""
     card = F.struct("rank", "title", "source", "url", "timestamp")
@@ -39,8 +44,7 @@ def hotspots(articles: DataFrame, order: Sequence[Column], keep: int = PANEL_CAR
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_list(card)).alias("top"))
     )
-    counts = articles.groupBy(*KEY).agg(F.count("*").alias("n_articles"))
-    return counts.join(top, list(KEY))
+    return hotspot_counts(articles).join(top, list(KEY))
 
 
 def cards(articles: DataFrame, order: Sequence[Column], keep: int = PANEL_CARDS) -> DataFrame:

@@ -14,7 +14,7 @@ from dateline.functions.geo import (
     round2,
 )
 from dateline.operators.countries import border_edges, country_counts, country_grid, with_country
-from dateline.operators.hotspots import cards, category_names, hotspots, majority, with_visibility, without
+from dateline.operators.hotspots import cards, category_names, hotspot_counts, hotspots, majority, with_visibility, without
 from dateline.plans import inputs
 from dateline.session import scratch_path
 from dateline.sources.geojson import read_features
@@ -146,7 +146,7 @@ def category_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hotspot_remove(spark: SparkSession, folder: str) -> DataFrame:
-    groups = hotspots(_articles(spark, folder), _order()).select("lat", "lon", "category", "location", "n_articles")
+    groups = hotspot_counts(_articles(spark, folder))
     return without(groups, groups.where("n_articles % 2 = 0"))
 
 

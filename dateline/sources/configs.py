@@ -16,8 +16,8 @@ from dateline.sources.json_rows import with_parsed
 _FIELDS = SITE_CONFIG.fieldNames()
 
 
-# Fixed value: where configurations are looked for when no folder is given.
-DEFAULT_FOLDER = "configs/newsConfigs"
+# Where configurations are looked for when no folder is given.
+DEFAULT_FOLDER = "configs"
 
 _USABLE = "_corrupt_record is null and baseUrl is not null"
 
