@@ -53,7 +53,8 @@ def border_edges(features: DataFrame, radius: float) -> DataFrame:
 
 
 def _cell(value: Column, degrees: float) -> Column:
-    return F.floor(value / degrees).cast("int")
+    """Grid index of a coordinate; null for NaN and for what is no coordinate."""
+    return F.when(value.between(-1e5, 1e5), F.floor(value / degrees).cast("int"))
 
 
 _PART = ("feature_idx", "part", "name")

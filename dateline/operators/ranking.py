@@ -22,7 +22,8 @@ def first_per_group(
     spark = df.sparkSession
     if n > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
         slices = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(slices))
+        hashable = [name for name, kind in df.dtypes if "map<" not in kind]
+        salt = F.pmod(F.xxhash64(*hashable), F.lit(slices))
         spread = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             df.withColumn("_salt", salt)

@@ -9,6 +9,7 @@ from dateline.operators.countries import border_edges, country_counts, country_g
 from dateline.operators.hotspots import cards, hotspots, majority, with_visibility, without
 from dateline.sources.geojson import read_features
 
+NAN = math.nan
 FEATURES = "feature_idx int, name string, polys array<array<array<array<double>>>>"
 
 
@@ -35,11 +36,12 @@ def world():
     points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(4000)]
     points += [(10000 + i, float(rng.randint(-20, 20)), float(rng.randint(-20, 20))) for i in range(500)]
     points += [(20000, None, 1.0), (20001, 1.0, None)]
+    points += [(20002 + i, x, y) for i, (x, y) in enumerate([(NAN, 1.0), (1.0, NAN), (math.inf, 1.0), (1.0, -math.inf)])]
     return features, points
 
 
 def find(features, lat, lon):
-    if lat is None or lon is None:
+    if lat is None or lon is None or not math.isfinite(lat + lon):
         return None
     for _, name, polys in features:
         if any(poly and poly[0] and in_ring(poly[0], lat, lon) for poly in polys):

@@ -34,6 +34,11 @@ def test_repeats_across_runs_and_closed_slots(spark, tmp_path):
     assert got == {("2025-01-01 00:00:00", "x", 2), ("2025-01-01 02:00:00", "y", 1)}
 
 
+def test_empty_folder_gives_no_rows(spark, tmp_path):
+    stream = article_stream(spark, str(tmp_path))
+    assert run_available(without_repeats(stream, "id", "crawled_ts"), "none").count() == 0
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     write(tmp_path, "1.json", [("1", "a", "x", "2025-01-10 00:00:00")])
     first = article_stream(spark, str(tmp_path), files_per_trigger=1)
