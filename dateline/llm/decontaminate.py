@@ -184,8 +184,8 @@ def leaks(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """Documents in which no item is found; all columns stay."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of")).distinct()
+    """Documents in which no item is found; all columns stay. Runs jobs."""
+    bad = cut(leaks(docs, benchmark, **options).select("doc_id", "mark").distinct(), "leaks").toDF("_id", "_of")
     return docs.join(
-        bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_of")), "left_anti"
+        broadcast_within(bad, F.lit(48)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_of")), "left_anti"
     )

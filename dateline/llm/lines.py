@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateline.session import cut
+from dateline.session import broadcast_within, cut
 
 BLANK = "\t\n\x0b\f\r "
 LEAST = 10
@@ -77,20 +77,22 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, most: int = 1) -> DataFra
 def drop_shared_lines(docs: DataFrame, least: int = LEAST, most: int = 1) -> DataFrame:
     """``docs`` with ``text`` cleaned, and ``n_lines`` (before) and ``n_dropped``.
 
-    Runs a job that writes the shared keys to the shared folder.
+    Runs jobs that write the shared keys and the positions to the shared folder. Texts
+    are shuffled only when the positions are too many to broadcast.
     """
-    drop = dropped_lines(docs, least, most).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("drop").alias("_drop"))
-    split = docs.select(
+    drop = cut(dropped_lines(docs, least, most), "dropped").toDF("_id", "_of", "_drop")
+    sized = broadcast_within(drop, F.size("_drop") * 8 + 48)
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    met = marked.join(sized, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")), "left")
+    split = met.select(
         *[c for c in docs.columns if c != "text"],
-        F.xxhash64("text").alias("_mark"),
         F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"),
+        "_drop",
     )
-    met = split.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
-    text = F.when(
-        F.col("_drop").isNull(), F.array_join("_lines", "\n")
-    ).otherwise(F.array_join(F.transform(kept, lambda p: F.get("_lines", p)), "\n"))
-    return met.select(
+    some = F.array_join(F.transform(kept, lambda p: F.get("_lines", p)), "\n")
+    text = F.when(F.col("_drop").isNull(), F.array_join("_lines", "\n")).otherwise(some)
+    return split.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),

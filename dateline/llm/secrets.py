@@ -24,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateline.session import cut
+from dateline.session import broadcast_within, cut
 
 _MOST_STRINGS, _MOST_CLAUSES = 64, 128
 
@@ -180,14 +180,16 @@ def _spans(rule: Rule) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, spans``: every row's ``array<struct<start, place, kind, stop>>``, in order
-    of start and then of the rules. Runs a job that writes the postings."""
+    of start and then of the rules. Runs jobs that write the postings and candidates."""
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     bound = {kind: query for kind, query in queries.items() if query}
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     index = cut(postings(texts, sorted({t for q in bound.values() for c in q for t in c})), "postings")
-    hits = candidates(index, bound).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), "kinds")
+    hits = cut(candidates(index, bound), "candidates").toDF("_id", "_of", "kinds")
     met = texts.withColumn("_mark", F.xxhash64("text")).join(
-        hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")), "left"
+        broadcast_within(hits, F.size("kinds") * 16 + 48),
+        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")),
+        "left",
     )
     none = F.expr("cast(array() as array<struct<start: int, stop: int>>)")
     staged = met.select(

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from dateline.session import cut
+from dateline.session import broadcast_within, cut
 
 SEED = 42
 SHINGLE = 3
@@ -169,8 +169,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = fingerprint_classes(prints).select("fp", "root")
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     kept = first.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    rows = cut(kept.select(F.col("first.row").alias("_row")), "kept")
-    return table.join(rows, "_row", "left_semi").select(*docs.columns)
+    rows = prints.select("row").join(kept.select("first.row"), "row", "left_anti")
+    gone = cut(rows.withColumnRenamed("row", "_row"), "gone")
+    return table.join(broadcast_within(gone, F.lit(24)), "_row", "left_anti").select(*docs.columns)
 
 
 def hexadecimal(fp: Column) -> Column:
