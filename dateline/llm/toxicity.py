@@ -24,7 +24,7 @@ from dateline.llm.words import Words, pieces
 
 STEM = 5  # bytes of a word's beginning that make a feature of their own
 SAMPLE_DOCS = 12_000  # labelled documents, of each class, that a fit reads at most
-SAMPLE_BYTES = 40 << 20  # and their text, of both classes together
+SAMPLE_BYTES = 32 << 20  # and their text, of both classes together
 BITS = 20
 THRESHOLD = 0.7  # documents at or above it are predicted toxic
 ROUNDS = 200
@@ -149,8 +149,12 @@ def fit(
     for mark in (1, 0):
         some = marks.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
-    one = rows.repartition(1).sortWithinPartitions("h").select("text", "toxic")
+    # At most 2 * sample_docs rows of ids are broadcast, whatever the size of the labels.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        "text", "toxic", F.xxhash64("doc_id", "text").alias("h")
+    )
+    some = rows.orderBy("h", "toxic").limit(2 * sample_docs)
+    one = some.repartition(1).sortWithinPartitions("h", "toxic").select("text", "toxic")
     found = one.mapInArrow(_fit(bits, sample_bytes), "feature long, weight double").toArrow()
     names, values = found.column("feature").to_numpy(), found.column("weight").to_numpy()
     weights = np.zeros(1 << bits, np.float32)
