@@ -98,7 +98,8 @@ def duplicates(docs: DataFrame, size: int = BLOCK) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"),
         F.count("*").alias("group_size"),
     )
-    return members.join(groups, ["level", "name"]).select(
+    # As a table of its own the groups leave Spark free to split a hot one's members.
+    return members.join(cut(groups, "groups"), ["level", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
