@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dateline.llm.words import mix, pieces
+from dateline.session import cut
 
 BITS = 15
 LEVEL = 0.1  # weight of the repetition feature beside the trigrams' shares
@@ -221,9 +222,11 @@ def fit_scorer(
     docs: DataFrame, model: LabelModel, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, bits: int = BITS
 ) -> Scorer:
     """Fit on ``docs(doc_id, text)`` and their posteriors: at most ``sample_docs`` documents
-    and ``sample_bytes`` of text, in the order of a hash of the row, by one task. The
-    weights (2^bits at most) come to the driver."""
-    chosen = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample_docs)
+    and ``sample_bytes`` of text, in the order of a hash of the row, by one task; of equal
+    rows one is read. The weights (2^bits at most) come to the driver."""
+    marked = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    last = marked.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    chosen = cut(marked.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]), "sample")
     labelled = votes(chosen).withColumn("posterior", posterior(model))
     one = labelled.repartition(1).sortWithinPartitions("h").select("text", "posterior")
     found = one.mapInArrow(_fit(bits, sample_bytes), "feature long, weight double").toArrow()

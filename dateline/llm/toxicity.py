@@ -141,7 +141,8 @@ def fit(
     """Fit on labelled documents: ``docs(doc_id, text)``, ``labels(doc_id, toxic)``.
 
     At most ``sample_docs`` of each class and ``sample_bytes`` of text are read, in the
-    order of a hash of the id, by one task; a corpus with fewer labels is used whole. The
+    order of a hash, by one task, and of equal rows one; a corpus with fewer labels is
+    used whole. The
     model (2^bits weights at most) is what comes to the driver.
     """
     marks = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int"))
@@ -153,8 +154,7 @@ def fit(
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         "text", "toxic", F.xxhash64("doc_id", "text").alias("h")
     )
-    some = rows.orderBy("h", "toxic").limit(2 * sample_docs)
-    one = some.repartition(1).sortWithinPartitions("h", "toxic").select("text", "toxic")
+    one = rows.dropDuplicates(["h", "toxic"]).repartition(1).sortWithinPartitions("h", "toxic").select("text", "toxic")
     found = one.mapInArrow(_fit(bits, sample_bytes), "feature long, weight double").toArrow()
     names, values = found.column("feature").to_numpy(), found.column("weight").to_numpy()
     weights = np.zeros(1 << bits, np.float32)
