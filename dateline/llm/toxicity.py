@@ -95,6 +95,7 @@ def fit_arrays(
 def _fit(bits: int, most_bytes: int) -> Callable:
     def fit(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, sentences, owners, labels, n, read = [], [], [], [], 0, 0
+        docs = np.zeros(1 << bits, np.int64)
         for batch in tables:
             texts, marks = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
             for a, b, words in pieces(texts):
@@ -102,26 +103,28 @@ def _fit(bits: int, most_bytes: int) -> Callable:
                 if labels and read > most_bytes:
                     break
                 got, at = np.unique(words.sentence, return_index=True)
-                cells.append(_features(words, bits))
-                sentences.append(np.searchsorted(got, words.sentence) + n)
+                found = _features(words, bits)
+                held = np.unique(words.doc[:, None] << bits | found)
+                docs += np.bincount(held & ((1 << bits) - 1), minlength=1 << bits)
+                cells.append(found.astype(np.int32))
+                sentences.append((np.searchsorted(got, words.sentence) + n).astype(np.int32))
                 owners.append(words.doc[at] + len(labels))
                 labels += marks[a:b]
                 n += len(got)
         if not labels:
             yield pa.record_batch({"feature": pa.array([-1, -2], pa.int64()), "weight": pa.array([-20.0, -20.0])})
             return
-        pairs = np.concatenate(cells)
-        sentence, owner = np.concatenate(sentences), np.concatenate(owners)
         # A feature that next to no document holds says nothing about others.
-        flat, of = pairs.ravel(), np.repeat(owner[sentence], 2)
-        held = np.unique(flat.astype(np.uint64) << np.uint64(32) | of.astype(np.uint64))
-        names, docs = np.unique(held >> np.uint64(32), return_counts=True)
-        names = np.concatenate([[0], names[(docs >= LEAST_DOCS) & (names > 0)].astype(np.int64)])
-        spot = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-        cell = np.where(names[spot] == flat, spot, 0)
-        used = np.flatnonzero(cell)
+        docs[0] = LEAST_DOCS
+        names = np.flatnonzero(docs >= LEAST_DOCS)
+        number = np.zeros(1 << bits, np.int32)
+        number[names] = np.arange(len(names))
+        cell = np.concatenate([number[c].ravel() for c in cells])
+        sentence = np.concatenate([np.repeat(s, 2) for s in sentences])
+        cells.clear(), sentences.clear()
+        used = cell > 0
         w, offset, document = fit_arrays(
-            cell[used], np.repeat(sentence, 2)[used], owner, np.array(labels), len(names)
+            cell[used].astype(np.int64), sentence[used].astype(np.int64), np.concatenate(owners), np.array(labels), len(names)
         )
         keep = np.flatnonzero(np.abs(w) > 1e-3)
         yield pa.record_batch(
@@ -142,8 +145,7 @@ def fit(
 
     At most ``sample_docs`` of each class and ``sample_bytes`` of text are read, in the
     order of a hash, by one task, and of equal rows one; a corpus with fewer labels is
-    used whole. The
-    model (2^bits weights at most) is what comes to the driver.
+    used whole. The model (2^bits weights at most) is what comes to the driver.
     """
     marks = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int"))
     chosen = None
