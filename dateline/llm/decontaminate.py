@@ -186,6 +186,6 @@ def leaks(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """Documents in which no item is found; all columns stay. Runs jobs."""
     bad = cut(leaks(docs, benchmark, **options).select("doc_id", "mark").distinct(), "leaks").toDF("_id", "_of")
-    return docs.join(
-        broadcast_within(bad, F.lit(48)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_of")), "left_anti"
-    )
+    small = broadcast_within(bad, F.lit(48))
+    same = docs["doc_id"].eqNullSafe(small["_id"]) & (F.xxhash64(docs["text"]) == small["_of"])
+    return docs.join(small, same, "left_anti")

@@ -82,18 +82,15 @@ def drop_shared_lines(docs: DataFrame, least: int = LEAST, most: int = 1) -> Dat
     """
     drop = cut(dropped_lines(docs, least, most), "dropped").toDF("_id", "_of", "_drop")
     sized = broadcast_within(drop, F.size("_drop") * 8 + 48)
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    met = marked.join(sized, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")), "left")
-    split = met.select(
-        *[c for c in docs.columns if c != "text"],
-        F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"),
-        "_drop",
-    )
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
-    some = F.array_join(F.transform(kept, lambda p: F.get("_lines", p)), "\n")
-    text = F.when(F.col("_drop").isNull(), F.array_join("_lines", "\n")).otherwise(some)
+    # The other columns travel in one struct, whatever they are called.
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", F.xxhash64("text").alias("mark"))
+    met = marked.join(sized, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_of")), "left")
+    split = met.select("doc", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), F.col("_drop").alias("drop"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    some = F.array_join(F.transform(kept, lambda p: F.get("lines", p)), "\n")
+    text = F.when(F.col("drop").isNull(), F.array_join("lines", "\n")).otherwise(some)
     return split.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[text.alias("text") if c == "text" else F.col(f"doc.{c}") for c in docs.columns],
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -254,8 +254,9 @@ def score(scorer: Scorer, text: Column) -> Column:
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``posterior``, ``score`` and ``keep``; runs jobs."""
-    model, _ = label_model(votes(docs))
-    scorer = fit_scorer(docs, model)
-    labelled = votes(docs).withColumn("posterior", posterior(model)).drop(*LABELLERS)
-    return labelled.withColumn("score", score(scorer, F.col("text"))).withColumn("keep", F.col("score") >= KEEP)
+    """``doc_id, posterior, score, keep``, one row a document. Runs jobs."""
+    texts = docs.select("doc_id", "text")
+    model, _ = label_model(votes(texts))
+    scorer = fit_scorer(texts, model)
+    rated = votes(texts).select("doc_id", posterior(model).alias("posterior"), score(scorer, F.col("text")).alias("score"))
+    return rated.withColumn("keep", F.col("score") >= KEEP)

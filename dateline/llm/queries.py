@@ -25,7 +25,7 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.scored(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    return quality.scored(_table(spark, folder, "documents"))
 
 
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    found = simhash.with_components(_table(spark, folder, "documents").select("doc_id", "text"))
+    found = simhash.with_components(_table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 

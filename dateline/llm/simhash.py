@@ -149,11 +149,8 @@ def fingerprint_classes(prints: DataFrame) -> DataFrame:
 
 
 def with_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without ``text``, with ``fp`` (signed) and ``component_id``. Runs jobs.
-
-    What is left of the rows is written to the shared folder with the fingerprints.
-    """
-    prints = cut(docs.withColumn("fp", fingerprint(F.col("text"), shingle)).drop("text"), "prints")
+    """``doc_id, fp`` (signed), ``component_id``, one row a document. Runs jobs."""
+    prints = cut(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "prints")
     return prints.join(fingerprint_classes(prints).select("fp", "component_id"), "fp")
 
 
@@ -163,15 +160,14 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Rows are numbered in a table written to the shared folder, so that of repeated rows
     just one stays. Runs jobs.
     """
-    marked = docs.withColumn("_fp", fingerprint(F.col("text"), shingle))
-    table = cut(marked.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    prints = table.select("doc_id", F.col("_fp").alias("fp"), F.col("_row").alias("row"))
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), fingerprint(F.col("text"), shingle).alias("fp"))
+    table = cut(marked.withColumn("row", F.monotonically_increasing_id()), "rows")
+    prints = table.select(F.col("doc.doc_id").alias("doc_id"), "fp", "row")
     classes = fingerprint_classes(prints).select("fp", "root")
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     kept = first.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    rows = prints.select("row").join(kept.select("first.row"), "row", "left_anti")
-    gone = cut(rows.withColumnRenamed("row", "_row"), "gone")
-    return table.join(broadcast_within(gone, F.lit(24)), "_row", "left_anti").select(*docs.columns)
+    gone = cut(prints.select("row").join(kept.select("first.row"), "row", "left_anti"), "gone")
+    return table.join(broadcast_within(gone, F.lit(24)), "row", "left_anti").select("doc.*")
 
 
 def hexadecimal(fp: Column) -> Column:

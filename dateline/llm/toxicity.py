@@ -26,6 +26,7 @@ STEM = 5  # bytes of a word's beginning that make a feature of their own
 SAMPLE_DOCS = 12_000  # labelled documents, of each class, that a fit reads at most
 SAMPLE_BYTES = 32 << 20  # and their text, of both classes together
 BITS = 20
+UNTAUGHT = -20.0
 THRESHOLD = 0.7  # documents at or above it are predicted toxic
 ROUNDS = 200
 RIDGE = 0.002
@@ -112,7 +113,6 @@ def _fit(bits: int, most_bytes: int) -> Callable:
                 labels += marks[a:b]
                 n += len(got)
         if not labels:
-            yield pa.record_batch({"feature": pa.array([-1, -2], pa.int64()), "weight": pa.array([-20.0, -20.0])})
             return
         # A feature that next to no document holds says nothing about others.
         docs[0] = LEAST_DOCS
@@ -161,7 +161,9 @@ def fit(
     names, values = found.column("feature").to_numpy(), found.column("weight").to_numpy()
     weights = np.zeros(1 << bits, np.float32)
     weights[names[names > 0]] = values[names > 0]
-    return Model(weights, float(values[names == -1][0]), float(values[names == -2][0]), bits)
+    # Without any label nothing is toxic.
+    offset, document = (values[names == k].min(initial=0.0) or UNTAUGHT for k in (-1, -2))
+    return Model(weights, float(offset), float(document), bits)
 
 
 def _logits(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
