@@ -28,8 +28,11 @@ MONTHS = (
 _SHORT = [name[:3] for name in MONTHS]
 _ANY_MONTH = "|".join(dict.fromkeys([*MONTHS, *_SHORT]))
 
+# Years a timestamp of microseconds can hold.
+_YEARS = (-290_000, 294_000)
+
 _ISO = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{0,9})?"
+    r"^([0-9]{4}|-[0-9]{4,9}|[+][0-9]{5,9})-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{0,9})?"
     r"(Z|[+-][0-9]{2}:[0-9]{2}(:[0-9]{2})?)$"
 )
 
@@ -81,8 +84,8 @@ def _month(name: Column) -> Column:
 # too, so no part of a failed shape is converted and no exception is raised and caught.
 
 
-def _first_of_month(year: Column, month: Column) -> Column:
-    fits = year.between(1, 9999) & month.between(1, 12)
+def _first_of_month(year: Column, month: Column, years: tuple[int, int] = (1, 9999)) -> Column:
+    fits = year.between(*years) & month.between(1, 12)
     return F.make_date(F.when(fits, year), month, F.lit(1))
 
 
@@ -96,6 +99,8 @@ def _midnight(year: Column, month: Column, day: Column) -> Column:
 
 def _iso_instant(fitting: Column) -> Column:
     """An upper-case text known to have the ISO shape."""
+    year = F.regexp_extract(fitting, "^([+-]?[0-9]+)-", 1).cast("int")
+    fitting = F.regexp_replace(fitting, "^[+-]?[0-9]+(?=-)", "0000")  # so that places are fixed
 
     def number(start: int, length: int = 2) -> Column:
         return F.substring(fitting, start, length).cast("int")
@@ -120,7 +125,7 @@ def _iso_instant(fitting: Column) -> Column:
         | ((hour == 24) & (minute == 0) & (second == 0) & fraction.rlike("^0*$"))
         | ((hour == 23) & (minute == 59) & (second == 60))
     )
-    first = _first_of_month(number(1, 4), number(6))
+    first = _first_of_month(year, number(6), _YEARS)
     day = number(9)
     day_fits = day.between(1, F.dayofmonth(F.last_day(first)))
     seconds = hour * 3600 + minute * 60 + F.least(second, F.lit(59))

@@ -9,8 +9,16 @@ from dateline.operators.ranking import first_per_group
 
 
 def latest(articles: DataFrame, key: str = "id", crawled: str = "crawledAt", *ties: str) -> DataFrame:
-    """One row per id: the latest crawl wins, then the tie columns in ascending order."""
-    return first_per_group(articles, [key], [F.col(crawled).desc(), *[F.col(t) for t in ties]])
+    """One row per id: the latest crawl wins, then the tie columns in ascending order.
+
+    An article without an id is known by its body. A hash of the whole row breaks what
+    ties remain, so the result does not depend on the order of rows.
+    """
+    body = F.col("body") if "body" in articles.columns else F.lit(None).cast("string")
+    known = articles.withColumn("_known", F.struct(F.col(key).alias("id"), F.when(F.col(key).isNull(), body).alias("body")))
+    plain = [F.to_json(F.col(c)) if "map<" in kind else F.col(c) for c, kind in articles.dtypes]
+    order = [F.col(crawled).desc(), *[F.col(t) for t in ties], F.xxhash64(*plain)]
+    return first_per_group(known, ["_known"], order).drop("_known")
 
 
 def live(articles: DataFrame, as_of: Column, crawled: str = "crawled_ts") -> DataFrame:

@@ -13,6 +13,8 @@ The grid thus grows with the borders and their cells, not with their product.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,14 @@ _SLACK = 1e-9
 
 
 def outer_rings(features: DataFrame) -> DataFrame:
-    """``(feature_idx, name, part, ring)``: the first ring of every polygon, no holes."""
-    parts = features.select("feature_idx", "name", F.posexplode("polys").alias("part", "poly"))
+    """``(file, feature_idx, name, part, ring)``: the first ring of every polygon, no holes."""
+    file = F.col("file") if "file" in features.columns else F.lit("")
+    parts = features.select(
+        file.alias("file"), "feature_idx", "name", F.posexplode("polys").alias("part", "poly")
+    )
     return (
         parts.where(F.size("poly") > 0)
-        .select("feature_idx", "name", "part", F.col("poly")[0].alias("ring"))
+        .select("file", "feature_idx", "name", "part", F.col("poly")[0].alias("ring"))
         .where(F.size("ring") > 0)
     )
 
@@ -53,11 +58,20 @@ def border_edges(features: DataFrame, radius: float) -> DataFrame:
 
 
 def _cell(value: Column, degrees: float) -> Column:
-    """Grid index of a coordinate; null for NaN and for what is no coordinate."""
-    return F.when(value.between(-1e5, 1e5), F.floor(value / degrees).cast("int"))
+    """Grid index of a coordinate; null unless it is finite."""
+    return F.when(F.abs(value / degrees) < _LAST_CELL, F.floor(value / degrees))
+
 
+_LAST_CELL = 4.0e15  # cell numbers stay exact in a double up to here
+_PART = ("file", "feature_idx", "part", "name")
 
-_PART = ("feature_idx", "part", "name")
+
+def _checked(value: str) -> Column:
+    """A border's coordinate, or an error: a ring with a hole in it has no inside."""
+    usable = F.coalesce(F.abs(value) < 1e15, F.lit(False))
+    return F.when(usable, F.col(value)).otherwise(
+        F.raise_error(F.lit("border vertex that is no finite coordinate")).cast("double")
+    )
 
 
 def _odd(latitudes: Column) -> Column:
@@ -101,19 +115,38 @@ def _flip_rows(banded: DataFrame, degrees: float) -> DataFrame:
     return cells.select("cx", "cy", *_PART, _odd(F.transform(farther, lambda e: e["y"])).alias("flips"))
 
 
-def country_grid(features: DataFrame, degrees: float = 1.0) -> DataFrame:
-    """``(cx, cy, near)`` for every cell that can hold a point of some feature.
+@dataclass(frozen=True)
+class Grid:
+    """``cells(cx, cy, near)`` and the size they were made with."""
+
+    cells: DataFrame
+    degrees: float
+
+
+def country_grid(features: DataFrame, degrees: float = 1.0) -> Grid:
+    """Every cell that can hold a point of some feature, by file and then by position.
 
     Use smaller cells for many small features. Runs a job: the grid is written to the
     shared folder.
     """
-    edges = outer_rings(features).select(*_PART, F.inline(ring_edges(F.col("ring"))))
+    raw = outer_rings(features).select(*_PART, F.inline(ring_edges(F.col("ring"))))
+    edges = raw.select(*_PART, *[_checked(c).alias(c) for c in ("xi", "yi", "xj", "yj")])
     low, high = F.least("yi", "yj") - _SLACK, F.greatest("yi", "yj") + _SLACK
-    banded = edges.select(
+    bands = edges.select("*", F.explode(F.sequence(_cell(low, degrees), _cell(high, degrees))).alias("cy"))
+    # Of a sloping edge a band has just the columns it crosses there.
+    south, north = F.greatest(low, F.col("cy") * degrees), F.least(high, (F.col("cy") + 1) * degrees)
+    ends = [F.col("xi") + (y - F.col("yi")) / (F.col("yj") - F.col("yi")) * (F.col("xj") - F.col("xi")) for y in (south, north)]
+    west, east = F.least("xi", "xj"), F.greatest("xi", "xj")
+    clipped = bands.select(
         "*",
-        _cell(F.least("xi", "xj") - _SLACK, degrees).alias("first"),
-        _cell(F.greatest("xi", "xj") + _SLACK, degrees).alias("last"),
-        F.explode(F.sequence(_cell(low, degrees), _cell(high, degrees))).alias("cy"),
+        F.when(F.col("yi") == F.col("yj"), west).otherwise(F.greatest(west, F.least(*ends))).alias("west"),
+        F.when(F.col("yi") == F.col("yj"), east).otherwise(F.least(east, F.greatest(*ends))).alias("east"),
+    )
+    slack = _SLACK * (1 + F.greatest(F.abs("xi"), F.abs("xj")))
+    banded = clipped.select(
+        *_PART, "xi", "yi", "xj", "yj", "cy",
+        _cell(F.col("west") - slack, degrees).alias("first"),
+        _cell(F.col("east") + slack, degrees).alias("last"),
     )
     near = (
         banded.withColumn("cx", F.explode(F.sequence("first", "last")))
@@ -125,26 +158,27 @@ def country_grid(features: DataFrame, degrees: float = 1.0) -> DataFrame:
         F.flatten(F.collect_list("edges")).alias("edges"),
         F.flatten(F.collect_list("flips")).alias("flips"),
     )
-    around = F.struct("feature_idx", "part", "name", "edges", "flips")
-    return cut(
+    around = F.struct("file", "feature_idx", "part", "name", "edges", "flips")
+    cells = cut(
         parts.where("size(edges) > 0 or size(flips) > 0")
         .groupBy("cx", "cy")
         .agg(F.sort_array(F.collect_list(around)).alias("near")),
         "grid",
     )
+    return Grid(cells, degrees)
 
 
 def with_country(
-    points: DataFrame, grid: DataFrame, lat: str = "lat", lon: str = "lon", degrees: float = 1.0
+    points: DataFrame, grid: Grid, lat: str = "lat", lon: str = "lon"
 ) -> DataFrame:
     """Add ``country``, null where no feature holds the point."""
     parts = F.aggregate(
         "near", F.lit(0), lambda total, f: total + F.size(f["edges"]) * 32 + F.size(f["flips"]) * 8 + 96
     )
-    keyed = points.withColumn("cx", _cell(F.col(lon), degrees)).withColumn(
-        "cy", _cell(F.col(lat), degrees)
+    keyed = points.withColumn("cx", _cell(F.col(lon), grid.degrees)).withColumn(
+        "cy", _cell(F.col(lat), grid.degrees)
     )
-    joined = keyed.join(broadcast_within(grid, parts), ["cx", "cy"], "left")
+    joined = keyed.join(broadcast_within(grid.cells, parts), ["cx", "cy"], "left")
 
     def holds(f: Column) -> Column:
         flipped = F.size(F.filter(f["flips"], lambda y: y <= F.col(lat)))

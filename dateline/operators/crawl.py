@@ -46,11 +46,26 @@ def frontier(links: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     return reached
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    return F.length(F.to_json(F.struct(*df.columns)))
+
+
 def pages_of_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """Each page with the configuration of its host's site(s)."""
+    """Each page of a configured host, parsed once, with the configuration of its site(s)."""
+    hosts = sites.select("host").distinct()
     keyed = pages.withColumn("host", host_of(F.col("url")))
-    size = F.length(F.to_json(F.struct(*sites.columns)))
-    return keyed.join(broadcast_within(sites, size), "host")
+    parsed = with_dom(keyed.join(broadcast_within(hosts, _row_bytes(hosts)), "host", "left_semi"))
+    return parsed.join(broadcast_within(sites, _row_bytes(sites)), "host")
+
+
+def pages_named(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pages ``wanted(url, ...)`` names, parsed once, with the wanted rows.
+
+    The wanted rows go to the pages while they are few; markup is shuffled only beyond.
+    """
+    urls = wanted.select("url").distinct()
+    parsed = with_dom(pages.join(broadcast_within(urls, _row_bytes(urls)), "url", "left_semi"))
+    return parsed.join(broadcast_within(wanted, _row_bytes(wanted)), "url")
 
 
 def _link_stages() -> Stages:
@@ -83,8 +98,9 @@ class Crawl:
 
 
 def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int) -> Crawl:
-    """Walk every site of ``sources.configs.site_table`` over ``pages(url, html)``, one
-    row per URL.
+    """Walk every site of ``sources.configs.site_table`` over ``pages(url, html)``.
+
+    Of several rows of one URL the one with the smallest hash of its markup is read.
 
     The links of pages on a configured host are read once, up front, into slim rows
     that the rounds join; only links leading to another host read the page table again,
@@ -94,9 +110,11 @@ def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int)
     hosts = sites.select("site", "host")
     depth_limit = sites.agg(F.max("max_depth")).first()[0] or 0
     stages = _link_stages()
+    pages = pages.select("url", "html", F.xxhash64("html").alias("fetch"))
 
-    def read_links(pages_with_site: DataFrame) -> DataFrame:
-        return apply(with_dom(pages_with_site), stages).select("site", "url", "topics", "links")
+    def read_links(parsed: DataFrame) -> DataFrame:
+        rows = apply(parsed, stages).select("site", "url", "topics", "links", "fetch")
+        return first_per_group(rows, ["site", "url"], [F.col("fetch")]).drop("fetch")
 
     own = cut(read_links(pages_of_sites(pages, sites)), "own-links")
 
@@ -105,7 +123,7 @@ def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int)
         away = level.where("away")
         if away.isEmpty():
             return on_host
-        foreign = away.select("site", "url").join(sites, "site").join(pages, "url")
+        foreign = pages_named(pages, cut(away.select("site", "url"), "away")).join(sites, "site")
         return on_host.unionByName(away.join(read_links(foreign), ["site", "url"]))
 
     def found(visited_pages: DataFrame, kind: str) -> DataFrame:
@@ -166,9 +184,11 @@ def crawl(pages: DataFrame, sites: DataFrame, run_ts: Column, max_articles: int)
         *field_stages(F.col("title"), F.col("body"), F.col("time")),
         *article_stages(F.col("host"), run_ts),
     ]
-    chosen = cut(kept.select("site", "rank", "url"), "chosen").join(sites, "site").join(pages, "url")
+    chosen = pages_named(pages, cut(kept.select("site", "rank", "url"), "chosen"))
+    chosen = chosen.join(broadcast_within(sites, _row_bytes(sites)), "site")
+    read = apply(chosen, records).select("site", "rank", "article", "fetch")
     return Crawl(
-        articles=apply(with_dom(chosen), records).select("site", "rank", "article.*"),
+        articles=first_per_group(read, ["site", "rank"], [F.col("fetch")]).select("site", "rank", "article.*"),
         visited=seen,
         failed=seen.join(pages.select("url"), "url", "left_anti"),
     )

@@ -7,6 +7,8 @@ third of all articles. Only bounded parts (the cards) are ever gathered.
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,11 @@ def category_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CATEGORIES.items()), "category string, display_name string")
 
 
+def same_key(a: DataFrame, b: DataFrame, key: Sequence[str] = KEY) -> Column:
+    """Equal keys, nulls equal to each other: a point outside all countries has one."""
+    return reduce(and_, [a[k].eqNullSafe(b[k]) for k in key])
+
+
 def hotspot_counts(articles: DataFrame) -> DataFrame:
     """One row per hotspot with its number of articles."""
     return articles.groupBy(*KEY).agg(F.count("*").alias("n_articles"))
@@ -44,7 +51,8 @@ def hotspots(articles: DataFrame, order: Sequence[Column], keep: int = PANEL_CAR
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_list(card)).alias("top"))
     )
-    return hotspot_counts(articles).join(top, list(KEY))
+    counts = hotspot_counts(articles)
+    return counts.join(top, same_key(counts, top), "inner").select(*[counts[k] for k in KEY], "n_articles", "top")
 
 
 def cards(articles: DataFrame, order: Sequence[Column], keep: int = PANEL_CARDS) -> DataFrame:
@@ -61,8 +69,15 @@ def with_visibility(rows: DataFrame, categories: Collection[str]) -> DataFrame:
 
 
 def without(rows: DataFrame, removed: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Rows whose hotspot is not among the removed ones."""
-    return rows.join(removed.select(*key), list(key), "left_anti")
+    """Rows whose hotspot is not among the removed ones; a null in the key equals a null."""
+    gone = removed.select(*[F.col(k).alias(f"_{k}") for k in key])
+    same = [rows[k].eqNullSafe(gone[f"_{k}"]) for k in key]
+    return rows.join(gone, same, "left_anti")
+
+
+def clear_all(rows: DataFrame) -> DataFrame:
+    """No hotspots, with the columns they had."""
+    return rows.limit(0)
 
 
 def majority(rows: DataFrame, group: str, label: str) -> DataFrame:

@@ -8,6 +8,7 @@ it later needs no shuffle and no second pass through Python.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from dateline.schemas import DOM
 
-# HTML tag classes.
+# HTML tag classes, as the HTML standard and common parsers have them.
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -54,6 +55,11 @@ NO_TEXT = frozenset({"script", "style"})
 RAW = NO_TEXT | {"xmp", "iframe", "noembed", "noframes"}
 RAW_WITH_ENTITIES = frozenset({"title", "textarea"})
 
+# Of unclosed formatting elements that are equal only so many go on in later blocks, and
+# of all kinds together only so many; else elements would grow with the page's square.
+MOST_EQUAL = 3
+MOST_REOPENED = 12
+
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>"
     r"|<(/?)([A-Za-z][^\s/>]*+)"
@@ -95,6 +101,8 @@ class _Tree:
         self.open: list[int] = []
         self.after_block: list[bool] = [False]
         self.formatting: list[tuple[str, list[tuple[str, str]]]] = []
+        self.count: Counter[str] = Counter()  # open elements by tag
+        self.live = 0  # open formatting elements
         self.chunks: list[str] = []
         self.size = 0
         self.blank_end = True
@@ -129,6 +137,8 @@ class _Tree:
             self.open.append(index)
             self.after_block.append(False)
             self.preserving += tag in PRESERVED
+            self.count[tag] += 1
+            self.live += tag in FORMATTING
         elif tag in BLOCK:
             self.after_block[-1] = True
 
@@ -136,12 +146,17 @@ class _Tree:
         index = self.open.pop()
         self.after_block.pop()
         self.hi[index] = self.size
-        self.preserving -= self.tag[index] in PRESERVED
+        tag = self.tag[index]
+        self.preserving -= tag in PRESERVED
+        self.count[tag] -= 1
+        self.live -= tag in FORMATTING
         if self.tag[index] in BLOCK:
             self.after_block[-1] = True
 
     def depth_of(self, tags: frozenset[str] | set[str], barrier: frozenset[str] | set[str]) -> int:
         """Position among the open elements, or -1 behind a barrier."""
+        if not any(self.count[tag] for tag in tags):
+            return -1
         for depth in range(len(self.open) - 1, -1, -1):
             tag = self.tag[self.open[depth]]
             if tag in tags:
@@ -157,14 +172,19 @@ class _Tree:
 
     def reopen_formatting(self) -> None:
         """Formatting cut off by its block's end goes on in the next block."""
-        if not self.formatting:
-            return
-        live = [self.tag[i] for i in self.open if self.tag[i] in FORMATTING]
-        for tag, attrs in self.formatting[len(live) :]:
+        for tag, attrs in self.formatting[max(self.live, len(self.formatting) - MOST_REOPENED) :]:
             self.push(tag, attrs)
 
+    def remember(self, tag: str, attrs: list[tuple[str, str]]) -> None:
+        """Add to the formatting that goes on, forgetting the oldest of too many."""
+        if self.formatting.count((tag, attrs)) >= MOST_EQUAL:
+            self.formatting.remove((tag, attrs))
+        elif len(self.formatting) >= MOST_REOPENED:
+            del self.formatting[0]
+        self.formatting.append((tag, attrs))
+
     def start(self, tag: str, attrs: list[tuple[str, str]]) -> None:
-        if tag in ("html", "body") and tag in (self.tag[i] for i in self.open):
+        if tag in ("html", "body") and self.count[tag]:
             return
         if tag in CLOSES_P:
             self.close({"p"}, SCOPE)
@@ -179,7 +199,7 @@ class _Tree:
             self.reopen_formatting()
         self.push(tag, attrs)
         if tag in FORMATTING:
-            self.formatting.append((tag, attrs))
+            self.remember(tag, attrs)
 
     def end(self, tag: str) -> None:
         if tag in FORMATTING:

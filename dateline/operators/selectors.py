@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dateline.functions.text import java_trim
 from dateline.operators.markup import element_text
 from dateline.schemas import STEP
 
@@ -40,6 +41,7 @@ def _bracket(attr: str, op: str | None, value: str | None) -> Pred:
     quoted = len(value) > 1 and value[0] in "'\"" and value[-1] == value[0]
     value = value[1:-1] if quoted else value
     if op == "~=":
+        re.compile(value)  # one that cannot work is refused here, not when pages are read
         return attr.lower(), op, value
     value = value.lower()
     return attr.lower(), op, value if quoted and op in ("^=", "$=") else value.strip()
@@ -47,6 +49,13 @@ def _bracket(attr: str, op: str | None, value: str | None) -> Pred:
 
 def parse_selector(selector: str) -> list[Step] | None:
     """Steps from the outermost element to the matched one; None when unsupported."""
+    try:
+        return _parsed(selector)
+    except re.error:
+        return None
+
+
+def _parsed(selector: str) -> list[Step] | None:
     text, at, steps = selector.strip(), 0, []
     while True:
         start = at
@@ -129,8 +138,8 @@ def _value(element: Column, name: Column | str) -> Column:
 
 _TESTS = {
     "has": lambda value, want: value.isNotNull(),
-    "=": lambda value, want: F.trim(F.lower(value)) == want,
-    "!=": lambda value, want: F.coalesce(F.trim(F.lower(value)) != want, F.lit(True)),
+    "=": lambda value, want: java_trim(F.lower(value)) == want,
+    "!=": lambda value, want: F.coalesce(java_trim(F.lower(value)) != want, F.lit(True)),
     "^=": lambda value, want: F.startswith(F.lower(value), want),
     "$=": lambda value, want: F.endswith(F.lower(value), want),
     "*=": lambda value, want: F.contains(F.lower(value), want),

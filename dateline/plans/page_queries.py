@@ -12,7 +12,6 @@ from dateline.operators.markup import elements, with_dom
 from dateline.operators.ranking import first_per_group
 from dateline.operators.selectors import css, matched
 from dateline.plans import inputs
-from dateline.schemas import SITE_CONFIG
 from dateline.session import cut, scratch_path, spread
 from dateline.sources.configs import read_site_configs, site_table
 from dateline.sources.pages import failed
@@ -108,10 +107,9 @@ def selector_match(spark: SparkSession, folder: str) -> DataFrame:
 
 def element_counts(spark: SparkSession, folder: str) -> DataFrame:
     rows = elements(with_dom(inputs.pages(spark, folder)), "page_id")
-    return (
-        rows.where(F.col("tag").isin("li", "a", "h1", "p", "div", "footer", "br"))
-        .groupBy("page_id", "tag")
-        .agg(F.count("*").alias("n"), F.count_if(F.size("attrs") > 0).alias("n_attrs"))
+    # All tags but b: unclosed, it goes on in later blocks, which SQL cannot restate.
+    return rows.where("tag <> 'b'").groupBy("page_id", "tag").agg(
+        F.count("*").alias("n"), F.count_if(F.size("attrs") > 0).alias("n_attrs")
     )
 
 
@@ -218,7 +216,7 @@ def site_configs(spark: SparkSession, folder: str) -> DataFrame:
         F.size("topicSelectors").alias("n_topics"),
         "articleTitle",
         "maxDepth",
-    ).where(F.size(F.array(*SITE_CONFIG.fieldNames()[3:6])) == 3)
+    )
 
 
 QUERIES = {
@@ -311,17 +309,10 @@ SELECT page_id, unnest([
   {{'form': 'links', 'n': {_count('<a href="')}}},
   {{'form': 'class', 'n': {_count('<div class="ad">')}}}], recursive := true)
 FROM pages""",
-    "element_counts": f"""
-SELECT page_id, tag, n, n_attrs FROM (
-  SELECT page_id, unnest([
-    {{'tag': 'li', 'n': {_count('<li>')}, 'n_attrs': 0}},
-    {{'tag': 'a', 'n': {_count('<a ')}, 'n_attrs': {_count('<a ')}}},
-    {{'tag': 'h1', 'n': {_count('<h1>')}, 'n_attrs': 0}},
-    {{'tag': 'p', 'n': {_count('<p>')}, 'n_attrs': 0}},
-    {{'tag': 'div', 'n': {_count('<div ')}, 'n_attrs': {_count('<div ')}}},
-    {{'tag': 'footer', 'n': {_count('<footer>')}, 'n_attrs': 0}},
-    {{'tag': 'br', 'n': {_count('<br>')}, 'n_attrs': 0}}], recursive := true)
-  FROM pages) WHERE n > 0""",
+    "element_counts": """
+WITH opened AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]')) AS m FROM pages)
+SELECT page_id, m[2:-2] AS tag, count(*) AS n, count(*) FILTER (m[-1] = ' ') AS n_attrs FROM opened
+WHERE m[2:-2] <> 'b' GROUP BY ALL""",
     "robots_allowed": f"""
 WITH {_LINKS}
 SELECT page_id, dst, CASE

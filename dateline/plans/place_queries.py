@@ -142,7 +142,7 @@ def hotspot_cards(spark: SparkSession, folder: str) -> DataFrame:
 def category_filter(spark: SparkSession, folder: str) -> DataFrame:
     rows = with_visibility(_articles(spark, folder), ["POLITICS", "WAR"])
     counts = rows.groupBy("category", "visible").agg(F.count("*").alias("n"))
-    return counts.join(category_names(spark), "category")
+    return counts.join(category_names(spark), "category", "left")
 
 
 def hotspot_remove(spark: SparkSession, folder: str) -> DataFrame:

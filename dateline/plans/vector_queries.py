@@ -18,6 +18,9 @@ from dateline.sources.vectors import attrs_of, points_with_text, read_store, wri
 TOPICS = 8
 
 
+CELLS = 24  # also at these sizes the search goes through several cells
+
+
 def _six(value: Column) -> Column:
     return F.round(value, 6) + 0.0
 
@@ -35,14 +38,28 @@ def embedding_shape(spark: SparkSession, folder: str) -> DataFrame:
 
 def _titled(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.documents(spark, folder).select(
-        F.col("doc_id").alias("id"), F.substring_index("text", " ", 3).alias("title"), "source"
+        F.col("doc_id").alias("id"), F.concat_ws(" ", "source", F.md5(F.col("text").cast("binary"))).alias("title"), "source"
     )
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v.cast("double"))
+
+
+def _every_third(vector: Column, first: int) -> Column:
+    return F.filter(vector, lambda v, i: i % 3 == first)
+
+
+def _weighted(vector: Column) -> Column:
+    """All components, each with its place."""
+    return _total(F.transform(vector, lambda v, i: v.cast("double") * (i + 1)))
+
+
 def vector_join(spark: SparkSession, folder: str) -> DataFrame:
     vector = F.col("vector")
+    # Every component counts: x sums the first, fourth, ... of them, and so on.
     points = inputs.embeddings(spark, folder).select(
-        "id", *[_six(vector[i].cast("double")).alias(axis) for i, axis in enumerate("xyz")]
+        "id", *[_six(_total(_every_third(vector, k))).alias(axis) for k, axis in enumerate("xyz")]
     )
     return points_with_text(points, _titled(spark, folder))
 
@@ -57,17 +74,17 @@ def store_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return (
         read_store(spark, path)
         .orderBy("id")
-        .select("id", "title", F.size("vector").alias("n"), _six(F.col("vector")[0].cast("double")).alias("first"))
+        .select("id", "title", F.size("vector").alias("n"), _six(_weighted(F.col("vector"))).alias("digest"))
     )
 
 
 def cosine_knn(spark: SparkSession, folder: str) -> DataFrame:
-    rows = neighbours(inputs.embeddings(spark, folder), 5)
+    rows = neighbours(inputs.embeddings(spark, folder), 5, pivots=CELLS)
     return rows.withColumn("distance", _six(F.col("distance")))
 
 
 def fuzzy_graph(spark: SparkSession, folder: str) -> DataFrame:
-    graph = weigh(neighbours(inputs.embeddings(spark, folder), 5), 5)
+    graph = weigh(neighbours(inputs.embeddings(spark, folder), 5, pivots=CELLS), 5)
     return graph.withColumn("weight", F.round("weight", 5) + 0.0)
 
 
@@ -122,7 +139,7 @@ QUERIES = {
 
 _TITLED = """
 titled AS (
-  SELECT doc_id AS id, array_to_string(string_split(text, ' ')[1:3], ' ') AS title, source FROM documents)"""
+  SELECT doc_id AS id, source || ' ' || md5(text) AS title, source FROM documents)"""
 _KNN = """
 v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
 pairs AS (
@@ -143,18 +160,24 @@ members AS (
   SELECT f.id, f.label, n AS size, 1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS distance
   FROM flat f JOIN means USING (label, pos) GROUP BY f.id, f.label, n)"""
 
+
+
+def _third(k: int) -> str:
+    return f"round(list_sum(list_transform(list_filter(embedding, lambda v, i: i % 3 = {k}), lambda v: v::DOUBLE)), 6) + 0.0"
+
+
 SQL = {
     "mean_pool": f"WITH {_MEANS} SELECT label, n, pos::INTEGER AS pos, round(m, 6) + 0.0 AS mean FROM means",
     "embedding_shape": "SELECT count(*) AS n, max(len(embedding)) AS dimensions FROM embeddings",
     "vector_join": f"""
 WITH {_TITLED}
-SELECT id, round(embedding[1]::DOUBLE, 6) + 0.0 AS x, round(embedding[2]::DOUBLE, 6) + 0.0 AS y, round(embedding[3]::DOUBLE, 6) + 0.0 AS z,
+SELECT id, {_third(1)} AS x, {_third(2)} AS y, {_third(0)} AS z,
        'ID: ' || id || '<br>Title: ' || title AS hover
 FROM embeddings JOIN titled ON id = vec_id""",
     "store_roundtrip": f"""
 WITH {_TITLED}
 SELECT sha256(id::VARCHAR) AS id, CASE WHEN titled.id % 4 <> 0 THEN title ELSE '' END AS title,
-       len(embedding)::INTEGER AS n, round(embedding[1]::DOUBLE, 6) + 0.0 AS first
+       len(embedding)::INTEGER AS n, round(list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * i)), 6) + 0.0 AS digest
 FROM embeddings JOIN titled ON titled.id = vec_id""",
     "cosine_knn": f"WITH {_KNN} SELECT id, rank, neighbour, round(distance, 6) + 0.0 AS distance FROM knn",
     "fuzzy_graph": f"""

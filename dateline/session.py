@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
 def build_session(app: str = "dateline", cores: int | str = "*", **conf: object) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, pass your own."""
     settings = {
@@ -30,12 +35,17 @@ def build_session(app: str = "dateline", cores: int | str = "*", **conf: object)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without one (a laptop test) gets a temporary folder.
+    A local session without one gets a temporary folder, which goes when Python ends. On
+    a cluster the option is required: executors would not see each other's files.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dateline-"))
+    if folder is None and context.getCheckpointDir() is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="dateline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return folder or context.getCheckpointDir()
 
 
@@ -52,9 +62,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables ``cut`` has written so far; what still reads them must be done."""
+    gone = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def broadcast_within(df: DataFrame, size: Column, limit: int = 64 << 20) -> DataFrame:
     """Hint a broadcast of ``df`` only when its summed ``size`` stays within ``limit``.
 
@@ -69,8 +89,7 @@ def broadcast_within(df: DataFrame, size: Column, limit: int = 64 << 20) -> Data
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core.
 
-    Only a scan of a few small files is reshuffled; a large table already has more
-    splits than the cluster has cores and is left alone.
+    Only a scan of fewer files than cores is reshuffled; a large table has more.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

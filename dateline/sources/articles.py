@@ -11,6 +11,7 @@ from dateline.schemas import ARTICLE
 from dateline.sources.json_rows import with_parsed
 
 _FIELDS = ARTICLE.fieldNames()
+SUFFIX = "*.{jsonl,json}"  # what others and what Spark's own writer call JSON lines
 
 
 def _lines(spark: SparkSession, paths: str | list[str], suffix: str) -> DataFrame:
@@ -23,9 +24,9 @@ def _parsed(spark: SparkSession, paths: str | list[str], strict: bool, suffix: s
 
 
 def read_articles(
-    spark: SparkSession, paths: str | list[str], strict: bool = False, suffix: str = "*.jsonl"
+    spark: SparkSession, paths: str | list[str], strict: bool = False, suffix: str = SUFFIX
 ) -> DataFrame:
-    """Articles with a body, cleaned, of all ``*.jsonl`` files in the folders.
+    """Articles with a body, cleaned, of all JSON-lines files in the folders.
 
     ``attrs`` holds every key of the line but ``body``, also keys outside the schema.
     ``strict`` fails on a malformed line; otherwise such lines are left to
@@ -47,7 +48,7 @@ def read_articles(
 
 
 def rejected_articles(
-    spark: SparkSession, paths: str | list[str], suffix: str = "*.jsonl"
+    spark: SparkSession, paths: str | list[str], suffix: str = SUFFIX
 ) -> DataFrame:
     """Malformed lines with the file they are in."""
     parsed = _parsed(spark, paths, False, suffix)
@@ -85,6 +86,11 @@ def write_jsonl(articles: DataFrame, path: str, partition_by: tuple[str, ...] =
     )
 
 
+def write_batch(articles: DataFrame, path: str, base_host: Column, run_ts: Column) -> None:
+    """Append a run's articles below its site's ``domain`` and its ``batch`` name."""
+    write_jsonl(with_batch(articles, base_host, run_ts, "JSON"), path, ("domain", "batch"))
+
+
 def write_json_by_id(articles: DataFrame, path: str) -> None:
     """Single-article access: JSON partitioned by the first two id characters."""
     keyed = articles.select(*_FIELDS).withColumn("prefix", F.substring("id", 1, 2))

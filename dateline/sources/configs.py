@@ -51,13 +51,8 @@ def rejected_site_configs(spark: SparkSession, folder: str | None = None) -> Dat
     return _scan(spark, folder).where(f"not ({_USABLE})").select("file", F.col("value").alias("text"))
 
 
-def site_table(configs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Configurations with compiled selectors and the robots rules of their host.
-
-    A site without a robots row, or with a selector that cannot be compiled, is left
-    out. The key ``site`` is the base URL; ``host`` becomes the articles' source.
-    ``rules`` comes from ``sources.robots.robots_rules``.
-    """
+def _compiled(configs: DataFrame) -> DataFrame:
+    """Sites with compiled selectors, and ``_usable`` unless one cannot be compiled."""
     lists = {"topics": "topicSelectors", "links": "articleSelectors"}
     singles = {"title": "articleTitle", "time": "articleTime", "body": "articleBody"}
     exploded = configs.select(
@@ -72,4 +67,22 @@ def site_table(configs: DataFrame, rules: DataFrame) -> DataFrame:
         usable = usable & F.forall(name, lambda steps: steps.isNotNull())
     for name in singles:
         usable = usable & F.col(name).isNotNull()
-    return exploded.where(usable).join(rules, "host")
+    return exploded.withColumn("_usable", F.coalesce(usable, F.lit(False)))
+
+
+def rejected_sites(configs: DataFrame, rules: DataFrame) -> DataFrame:
+    """``site, host, reason`` of the configurations that ``site_table`` leaves out."""
+    known = rules.select(F.col("host").alias("_host")).distinct()
+    sites = _compiled(configs).join(known, F.col("host") == F.col("_host"), "left")
+    reason = F.when(~F.col("_usable"), "selector").when(F.col("_host").isNull(), "robots")
+    return sites.select("site", "host", reason.alias("reason")).where("reason is not null")
+
+
+def site_table(configs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Configurations with compiled selectors and the robots rules of their host.
+
+    A site without a robots row, or with a selector that cannot be compiled, is left
+    out; ``rejected_sites`` lists these. The key ``site`` is the base URL; ``host`` becomes the articles' source.
+    ``rules`` comes from ``sources.robots.robots_rules``.
+    """
+    return _compiled(configs).where("_usable").drop("_usable").join(rules, "host")

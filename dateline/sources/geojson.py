@@ -12,9 +12,10 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     """``(file, feature_idx, name, polys)`` of feature collections, one per file.
 
     A polygon becomes a multi-polygon of one. Features without usable geometry are
-    left out; their position still counts. A missing path is an error.
+    left out; their position still counts. A missing path or a malformed file is an error.
+    A file is one row, so it must fit into a task; cut larger collections into files.
     """
-    collections = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
+    collections = spark.read.schema(GEOJSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
     features = collections.select(
         F.input_file_name().alias("file"), F.posexplode("features").alias("feature_idx", "f")
     )

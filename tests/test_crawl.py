@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from dateline.operators.crawl import crawl, frontier
 from dateline.operators.ranking import first_per_group
 from dateline.schemas import SITE_CONFIG
-from dateline.sources.configs import site_table
+from dateline.sources.configs import rejected_sites, site_table
 from dateline.sources.robots import allowed, robots_rules
 
 ROBOTS = [
@@ -144,3 +144,36 @@ def test_first_per_group_with_a_hot_group(spark, n):
     hot = [r["id"] for r in got.where("g = 'hot'").orderBy("rank").collect()]
     assert hot == [i for i in range(5999, -1, -1) if i % 3 < 2][:n]
     assert got.where("g <> 'hot'").count() == (2000 if n else 0)
+
+
+def test_repeated_pages_and_markup_that_is_not_shuffled(spark, rules):
+    rows = [
+        ("https://a.com", '<a class=t href="/t">t</a><a class=s href="/n/1">1</a><a class=s href="/n/2">2</a>'),
+        ("https://a.com", '<a class=t href="/t">t</a><a class=s href="/n/1">1</a><a class=s href="/n/2">2</a><i>later</i>'),
+        ("https://a.com/n/1", "<h1>One</h1><p>body</p>"), ("https://a.com/n/1", "<h1>One again</h1><p>body</p>"),
+        ("https://a.com/n/2", "<h1>Two</h1><p>body</p>"), ("https://a.com/t", "<p>x"),
+    ]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    config = [("https://a.com", 2, [".t"], [".s"], "h1", "time", "p")]
+    names = {"baseUrl": 0, "maxDepth": 1, "topicSelectors": 2, "articleSelectors": 3, "articleTitle": 4, "articleTime": 5, "articleBody": 6}
+    sites = site_table(spark.createDataFrame([tuple(config[0][names[f]] for f in SITE_CONFIG.fieldNames())], SITE_CONFIG), rules)
+    result = crawl(pages, sites, F.lit("2026-01-02").cast("timestamp"), 1)
+    assert [(r["rank"], r["url"]) for r in result.articles.collect()] == [(1, "https://a.com/n/1")]
+    whole = crawl(pages, sites, F.lit("2026-01-02").cast("timestamp"), 10)
+    plan = whole.articles._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert not any("Exchange" in line and "html" in line for line in plan.splitlines())
+    assert sorted(r["url"] for r in whole.articles.collect()) == ["https://a.com/n/1", "https://a.com/n/2"]
+
+
+def test_unusable_sites_are_reported(spark, rules):
+    base = {"maxDepth": 1, "topicSelectors": ["a"], "articleSelectors": ["a"], "articleTitle": "h1", "articleTime": "time", "articleBody": "p"}
+    rows = [
+        {**base, "baseUrl": "https://a.com"},
+        {**base, "baseUrl": "https://b.com", "topicSelectors": ["a[href~=(]"]},
+        {**base, "baseUrl": "https://unknown.com"},
+    ]
+    configs = spark.createDataFrame([tuple(r[f] for f in SITE_CONFIG.fieldNames()) for r in rows], SITE_CONFIG)
+    assert [r["site"] for r in site_table(configs, rules).collect()] == ["https://a.com"]
+    got = {(r["site"], r["reason"]) for r in rejected_sites(configs, rules).collect()}
+    assert got == {("https://b.com", "selector"), ("https://unknown.com", "robots")}

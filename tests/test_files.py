@@ -10,6 +10,7 @@ from dateline.sources.articles import (
     read_articles,
     rejected_articles,
     with_batch,
+    write_batch,
     write_json_by_id,
     write_jsonl,
     write_parquet,
@@ -73,21 +74,38 @@ def test_sinks(spark, folder, tmp_path):
     assert spark.read.json(str(tmp_path / "id")).count() == 2
 
 
+def test_articles_without_an_id_and_ties(spark):
+    at = "2025-01-01 00:00:00"
+    rows = spark.createDataFrame([(None, "one", at), (None, "two", at), (None, "one", at), ("7", "x", at), ("7", "y", at)], "id string, body string, crawledAt string")
+    first = sorted((r["id"] or "", r["body"]) for r in latest(rows).collect())
+    assert [b for _, b in first[:2]] == ["one", "two"] and len(first) == 3
+    assert sorted((r["id"] or "", r["body"]) for r in latest(rows.orderBy(F.desc("body")).repartition(3)).collect()) == first
+
+
+def test_a_batch_is_read_back_by_default(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{k}", "https://www.mill.test/x", "T", "b", "s", None, "2025-01-01 00:00:00") for k in range(3)], ARTICLE)
+    write_batch(rows, str(tmp_path / "out"), F.lit("www.mill.test"), F.lit("2025-11-04 05:06:07").cast("timestamp"))
+    got = spark.read.json(str(tmp_path / "out")).select("domain", "batch").distinct().collect()
+    assert [tuple(r) for r in got] == [("mill", "articles_2025Y11M04D_05h06m07s_mill.json")]
+    files = str(tmp_path / "out/domain=mill/batch=articles_2025Y11M04D_05h06m07s_mill.json")
+    assert read_articles(spark, files).count() == 3
+
+
 def test_batch_partitions(spark, tmp_path):
-    rows = spark.createDataFrame([("1", "www.bbc.com")], "id string, host string")
+    rows = spark.createDataFrame([("1", "www.mill.test")], "id string, host string")
     run = F.lit("2025-11-04 05:06:07").cast("timestamp")
     named = with_batch(rows, F.col("host"), run, "PARQUET").first()
-    assert (named["batch"], named["domain"]) == ("articles_2025Y11M04D_05h06m07s_bbc.parquet", "bbc")
+    assert (named["batch"], named["domain"]) == ("articles_2025Y11M04D_05h06m07s_mill.parquet", "mill")
 
 
 def test_site_configs(spark, tmp_path):
-    good = {"baseUrl": "https://www.bbc.com/news", "topicSelectors": ["a"], "articleSelectors": ["b", "c"],
-            "articleTitle": "h1", "articleTime": "time", "articleBody": "p", "maxDepth": 4}
+    good = {"baseUrl": "https://journal.mill.test/daily", "topicSelectors": ["a"], "articleSelectors": ["b", "c"],
+            "articleTitle": "h1", "articleTime": "time", "articleBody": "p", "maxDepth": 7}
     (tmp_path / "good.json").write_text(json.dumps(good, indent=2))
     (tmp_path / "bad.json").write_text('{"baseUrl": ')
     (tmp_path / "other.txt").write_text(json.dumps(good))
     rows = read_site_configs(spark, str(tmp_path)).collect()
-    assert [(r["baseUrl"], r["articleSelectors"], r["maxDepth"]) for r in rows] == [("https://www.bbc.com/news", ["b", "c"], 4)]
+    assert [(r["baseUrl"], r["articleSelectors"], r["maxDepth"]) for r in rows] == [("https://journal.mill.test/daily", ["b", "c"], 7)]
     assert [r["file"].endswith("bad.json") for r in rejected_site_configs(spark, str(tmp_path)).collect()] == [True]
     with pytest.warns(UserWarning, match="no configuration folder"):
         assert read_site_configs(spark, str(tmp_path / "missing")).count() == 0

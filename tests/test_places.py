@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dateline.functions import geo
 from dateline.operators.countries import border_edges, country_counts, country_grid, outer_rings, with_country
-from dateline.operators.hotspots import cards, hotspots, majority, with_visibility, without
+from dateline.operators.hotspots import cards, clear_all, hotspots, majority, with_visibility, without
 from dateline.sources.geojson import read_features
 
 NAN = math.nan
@@ -53,7 +53,7 @@ def find(features, lat, lon):
 def test_country_lookup_against_a_plain_ray_cast(spark, world, degrees):
     features, points = world
     grid = country_grid(spark.createDataFrame(features, FEATURES), degrees)
-    placed = with_country(spark.createDataFrame(points, "id long, lat double, lon double"), grid, degrees=degrees)
+    placed = with_country(spark.createDataFrame(points, "id long, lat double, lon double"), grid)
     got = {r["id"]: r["country"] for r in placed.collect()}
     assert got == {i: find(features, lat, lon) for i, lat, lon in points}
     assert len({name for name in got.values()}) > 20
@@ -69,6 +69,43 @@ def test_lookup_does_not_shuffle_the_points(spark, world):
     assert sum(counts.values()) == sum(find(features, *p[1:]) is not None for p in points)
 
 
+BOX = "file string, " + FEATURES
+
+
+def square(low, high):
+    return [[[[low, low], [high, low], [high, high], [low, high]]]]
+
+
+def test_far_borders_and_many_files(spark):
+    far = spark.createDataFrame([("a", 0, "far", square(0.0, 400_000.0))], BOX)
+    at = spark.createDataFrame([(1, 250_000.0, 399_999.0), (2, -1.0, 5.0), (3, 5.0, 400_001.0)], "id long, lat double, lon double")
+    got = {r["id"]: r["country"] for r in with_country(at, country_grid(far, 10_000.0)).collect()}
+    assert got == {1: "far", 2: None, 3: None}
+    # Unnamed features of two files have the same position; they stay two features.
+    two = [("a", 0, "Unknown", square(0.0, 10.0)), ("b", 0, "Unknown", square(5.0, 15.0)), ("b", 1, "Later", square(0.0, 20.0))]
+    inside = spark.createDataFrame([(k, float(v), float(v)) for k, v in enumerate((3, 7, 12, 18, 30))], "id long, lat double, lon double")
+    got = with_country(inside, country_grid(spark.createDataFrame(two, BOX), 0.5)).orderBy("id").collect()
+    assert [r["country"] for r in got] == ["Unknown", "Unknown", "Unknown", "Later", None]
+
+
+def test_broken_borders_are_an_error(spark, tmp_path):
+    broken = spark.createDataFrame([("a", 0, "x", [[[[0.0, 0.0], [1.0, NAN], [1.0, 1.0]]]])], BOX)
+    with pytest.raises(Exception, match="no finite coordinate"):
+        country_grid(broken)
+    (tmp_path / "a.json").write_text('{"type":"FeatureCollection","features":[{"type":"Fea')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_features(spark, str(tmp_path)).collect()
+
+
+def test_null_keys_are_kept(spark):
+    rows = [(None, None, "WAR", None, f"t{k}", "s", "u", k) for k in range(7)] + [(1.0, 2.0, None, "Here", "x", "s", "u", 1)]
+    articles = spark.createDataFrame(rows, "lat double, lon double, category string, location string, title string, source string, url string, timestamp long")
+    groups = hotspots(articles, [F.col("timestamp").desc()])
+    assert sorted(r["n_articles"] for r in groups.collect()) == [1, 7]
+    assert [r["location"] for r in without(articles, groups.where("n_articles = 7")).collect()] == ["Here"]
+    assert clear_all(articles).columns == articles.columns and clear_all(articles).count() == 0
+
+
 def test_ring_start_does_not_matter(spark):
     ring = [[0.0, 0.0], [4.0, 1.0], [3.0, 5.0], [1.0, 2.0]]
     points = [(x / 3, y / 3) for x in range(-2, 16) for y in range(-2, 16)]
@@ -127,8 +164,8 @@ def test_geojson(spark, tmp_path):
 @pytest.fixture(scope="module")
 def stories(spark):
     rows = [
-        (52.52, 13.405, "POLITICS", "Berlin", f"t{i}", "s", f"u{i}", i) for i in range(12)
-    ] + [(40.7, -74.0, "BUSINESS", "New York", "n", "s", "u", 1)]
+        (12.25, -31.5, "TECHNOLOGY", "Upper Mill", f"t{i}", "s", f"u{i}", i) for i in range(12)
+    ] + [(-3.75, 88.0, "HEALTH", "Low Ferry", "n", "s", "u", 1)]
     return spark.createDataFrame(
         rows, "lat double, lon double, category string, location string, title string, source string, url string, timestamp long"
     )
@@ -137,19 +174,19 @@ def stories(spark):
 def test_hotspots(stories):
     order = [F.col("timestamp").desc()]
     groups = {r["location"]: r for r in hotspots(stories, order).collect()}
-    assert groups["Berlin"]["n_articles"] == 12
-    assert [c["title"] for c in groups["Berlin"]["top"]] == ["t11", "t10", "t9", "t8", "t7"]
-    panel = cards(stories, order).where("location = 'Berlin'").orderBy("card").collect()
+    assert groups["Upper Mill"]["n_articles"] == 12
+    assert [c["title"] for c in groups["Upper Mill"]["top"]] == ["t11", "t10", "t9", "t8", "t7"]
+    panel = cards(stories, order).where("location = 'Upper Mill'").orderBy("card").collect()
     assert [(c["card"], c["title"]) for c in panel] == [(1, "t11"), (2, "t10"), (3, "t9"), (4, "t8"), (5, "t7")]
-    assert {c["header"] for c in panel} == {"Breaking near Berlin"}
+    assert {c["header"] for c in panel} == {"Breaking near Upper Mill"}
 
 
 def test_filter_and_removal(spark, stories):
     assert with_visibility(stories, []).where("visible").count() == 13
-    assert with_visibility(stories, {"BUSINESS"}).where("visible").count() == 1
-    assert with_visibility(stories, {"BUSINESS"}).count() == 13
-    gone = spark.createDataFrame([(52.52, 13.405, "POLITICS", "Berlin")], "lat double, lon double, category string, location string")
-    assert [r["location"] for r in without(stories, gone).collect()] == ["New York"]
+    assert with_visibility(stories, {"HEALTH"}).where("visible").count() == 1
+    assert with_visibility(stories, {"HEALTH"}).count() == 13
+    gone = spark.createDataFrame([(12.25, -31.5, "TECHNOLOGY", "Upper Mill")], "lat double, lon double, category string, location string")
+    assert [r["location"] for r in without(stories, gone).collect()] == ["Low Ferry"]
 
 
 def test_majority(spark):

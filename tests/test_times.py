@@ -137,3 +137,20 @@ def test_time_attribute(spark, attrs, text, want):
     rows = [([{"k": k, "v": v} for k, v in attrs], text)]
     frame = spark.createDataFrame(rows, "attrs array<struct<k string, v string>>, text string")
     assert frame.select(time_attribute(F.col("attrs"), F.col("text"))).first()[0] == want
+
+
+def test_iso_years_of_other_lengths(spark):
+    raws = ["+12025-11-14T05:30:00Z", "-0044-03-15T12:00:00Z", "0000-01-01T00:00:00Z", "+2025-11-14T05:30:00Z", "+999999-01-01T00:00:00Z"]
+    rows = spark.createDataFrame(list(enumerate(raws)), "i int, raw string")
+    parsed = with_parsed_time(rows, "raw", F.lit(str(RUN)).cast("timestamp"), "at").orderBy("i")
+    days = [r[0] for r in parsed.select(F.unix_seconds("at")).collect()]
+
+    def seconds(year, month, day, clock):
+        # 400 years are a whole number of days, so any year is like one that Python has.
+        shift = (2000 - year) // 400 + 1
+        at = dt.datetime(year + 400 * shift, month, day, tzinfo=dt.timezone.utc).timestamp() + clock
+        return int(at) - shift * 146097 * 86400
+
+    run = int(RUN.replace(tzinfo=dt.timezone.utc).timestamp())
+    # A plus sign needs five digits; a year no timestamp can hold is the time of the run.
+    assert days == [seconds(12025, 11, 14, 19800), seconds(-44, 3, 15, 43200), seconds(0, 1, 1, 0), run, run]
