@@ -18,6 +18,7 @@ from dateline.sources.articles import (
     write_parquet,
 )
 from dateline.sources.vectors import attrs_of
+from dateline.streaming.feeds import article_stream, run_available, without_repeats
 
 
 def _crawled(key: str) -> F.Column:
@@ -121,6 +122,20 @@ def batch_names(spark: SparkSession, folder: str) -> DataFrame:
     return every.select("event_id", "batch", "domain", file_suffix(F.col("fmt")).alias("suffix"))
 
 
+def stream_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON-lines articles as a stream, one per id: copies of a text are repeats."""
+    path = scratch_path(spark, "runs")
+    text = F.col("text")
+    rows = inputs.documents(spark, folder).select(
+        F.sha2(text, 256).alias("id"), F.lit("u").alias("url"), F.lit("t").alias("title"), text.alias("body"), "source",
+        F.when(F.col("doc_id") % 2 == 0, time_text(_crawled("doc_id"))).alias("publishTime"),
+        time_text(_crawled("n_chars")).alias("crawledAt"),
+    )
+    write_jsonl(rows, path)
+    once = run_available(without_repeats(article_stream(spark, path), "id", "crawled_ts"), "stream")
+    return once.select("id", "body", time_text(F.col("crawled_ts")).alias("crawledAt"))
+
+
 def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Written as JSON lines, read back as the loader does (blank bodies drop out)."""
     path = scratch_path(spark, "jsonl")
@@ -159,6 +174,7 @@ QUERIES = {
     "expire_1d": expire_1d,
     "source_counts": source_counts,
     "batch_name": batch_names,
+    "stream_articles": stream_articles,
     "jsonl_roundtrip": jsonl_roundtrip,
     "parquet_roundtrip": parquet_roundtrip,
     "json_by_id_roundtrip": json_by_id_roundtrip,
@@ -213,6 +229,10 @@ WHERE {_CRAWLED} > TIMESTAMP '2026-01-01 00:30:00' AND {_CRAWLED} <= TIMESTAMP '
 SELECT event_id, 'articles_' || strftime(ts, '%YY%mM%dD_%Hh%Mm%Ss') || '_example' || suffix AS batch,
        'example' AS domain, suffix
 FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.jsonl' ELSE '.parquet' END AS suffix FROM events)""",
+    "stream_articles": """
+SELECT DISTINCT sha256(text) AS id, text AS body,
+       strftime(make_timestamp((1767225600 + n_chars * 7919 % 100000) * 1000000), '%Y-%m-%d %H:%M:%S') AS "crawledAt"
+FROM documents""",
     "jsonl_roundtrip": f"""
 WITH {_ART}
 SELECT id, CASE WHEN doc_id % 7 <> 0 THEN title END AS title, "crawledAt", sha256(body) AS body_hash,

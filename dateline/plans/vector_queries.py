@@ -18,6 +18,7 @@ from dateline.sources.vectors import attrs_of, points_with_text, read_store, wri
 TOPICS = 8
 
 
+LANGUAGES = ("en", "de", "fr", "es")
 CELLS = 24  # also at these sizes the search goes through several cells
 
 
@@ -104,6 +105,18 @@ def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return kmeans_topics(inputs.embeddings(spark, folder), TOPICS)
 
 
+def kmeans_separated(spark: SparkSession, folder: str) -> DataFrame:
+    """Topics of vectors that lie close to one axis per language; a topic is named by its smallest id."""
+    near = F.array(*[
+        F.when(F.col("lang") == code, 10.0).otherwise(0.0) + F.pmod(F.col("doc_id") * (k + 3), F.lit(17)) / 100
+        for k, code in enumerate(LANGUAGES)
+    ])
+    docs = inputs.documents(spark, folder).select(F.col("doc_id").alias("id"), near.alias("vector"))
+    found = kmeans_topics(docs, len(LANGUAGES))
+    names = found.groupBy("topic").agg(F.min("id").alias("named"))
+    return found.join(names, "topic").select("id", "named")
+
+
 def cluster_inspect(spark: SparkSession, folder: str) -> DataFrame:
     summary = cluster_summary(cluster_members(inputs.embeddings(spark, folder), "label"), "label")
     return summary.select("label", "size", _six(F.col("mean_distance")).alias("mean_distance"), _six(F.col("max_distance")).alias("max_distance"))
@@ -132,6 +145,7 @@ QUERIES = {
     "embed_text": embed_text,
     "pca_3d": pca_3d,
     "kmeans_topics": kmeans_clusters,
+    "kmeans_separated": kmeans_separated,
     "cluster_inspect": cluster_inspect,
     "cluster_central": cluster_central,
     "cluster_source": cluster_source,
@@ -213,6 +227,7 @@ WITH coded AS (
 SELECT doc_id, ('0x' || code)::INTEGER AS code,
        round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) + 0.0 AS weight
 FROM coded""",
+    "kmeans_separated": "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY lang) AS named FROM documents",
     "cluster_inspect": f"""
 WITH {_MEMBERS}
 SELECT label, any_value(size) AS size, round(avg(distance), 6) + 0.0 AS mean_distance, round(max(distance), 6) + 0.0 AS max_distance

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as project
+from dateline.plans import all_queries, all_sql
 from oracle import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def connection():
 
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"pca_3d", "kmeans_topics"}
+    assert set(all_queries()) - set(all_sql()) == {"pca_3d", "kmeans_topics"}
 
 
 @pytest.mark.parametrize("name", QUERIES)
