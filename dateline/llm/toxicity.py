@@ -24,7 +24,7 @@ from dateline.llm.words import Words, pieces
 
 STEM = 5  # bytes of a word's beginning that make a feature of their own
 SAMPLE_DOCS = 12_000  # labelled documents, of each class, that a fit reads at most
-SAMPLE_BYTES = 32 << 20  # and their text, of both classes together
+SAMPLE_BYTES = 20 << 20  # and their text, of both classes together
 BITS = 20
 UNTAUGHT = -20.0
 THRESHOLD = 0.7  # documents at or above it are predicted toxic
@@ -97,7 +97,9 @@ def _fit(bits: int, most_bytes: int) -> Callable:
     def fit(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, sentences, owners, labels, n, read = [], [], [], [], 0, 0
         docs = np.zeros(1 << bits, np.int64)
-        for batch in tables:
+        for batch in (whole.slice(k, 256) for whole in tables for k in range(0, whole.num_rows, 256)):
+            if labels and read > most_bytes:
+                continue
             texts, marks = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
             for a, b, words in pieces(texts):
                 read += len(words.data)
