@@ -79,7 +79,7 @@ def _sites(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def links_per_host(spark: SparkSession, folder: str) -> DataFrame:
     pages, sites = _sites(spark, folder)
-    keyed = with_dom(walks.pages_of_sites(pages, sites))
+    keyed = walks.pages_of_sites(pages, sites)
     links = explode_links(keyed, F.col("links"), "article", "host")
     return links.groupBy("host").agg(F.count("*").alias("n_links"), F.min("dst").alias("first_dst"))
 
