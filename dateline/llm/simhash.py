@@ -18,6 +18,13 @@ by a table in the shared folder.
 
 Null and empty texts have no words and the fingerprint zero, linked like any other.
 Rows without ``doc_id`` take part; a component of such rows alone has a null id.
+
+``one_of_each`` filters a corpus and links more: texts whose five-word shingles are at
+least 0.8 alike, most of which differ in more than two bits. Its fingerprints are wider.
+Of ``SEGMENTS`` segments of ``WIDTH`` bits one differs in at most one bit for nearly
+all such pairs; segments are indexed under all one-wildcard variants, those that share a
+variant are linked to its smallest fingerprint, what is not near that one goes on to a
+next round, and links are verified on 512 bits over the five-word shingles.
 """
 
 from __future__ import annotations
@@ -28,15 +35,23 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from dateline.llm.words import mix
 from dateline.session import broadcast_within, cut
 
 SEED = 42
 SHINGLE = 3
 BITS_APART = 2
+WIDTH = 21  # bits of a segment, three in each of the first LONGS words of a wide fingerprint
+LONGS = 3
+SEGMENTS = 3 * LONGS
+PROOF = 8  # words of a wide fingerprint that are over five-word shingles
+CANDIDATE = 14  # of the 64 bits of the plain fingerprint, what candidates differ in at most
+SIMILARITY = 0.8
+SLACK = 0.9  # standard errors that the bits of a pair as similar as asked may differ more
 CHUNK = 1 << 20  # bytes of a text whose words are held at a time
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -56,23 +71,71 @@ def _word_runs(data: bytes, shingle: int) -> Iterator[list[bytes]]:
             carried = words
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text; A-Z lower-cased, words between ASCII white space."""
-    data = (text or "").encode("utf-8", "replace").lower()
-    counts, total, short = np.zeros(64, np.int64), 0, []
+def _shingle_hashes(data: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, run by run; of fewer words, of the whole sequence."""
+    short, none = [], True
     for words in _word_runs(data, shingle):
         if len(words) < shingle:
             short = words
             continue
+        none = False
         rows = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
-        hashes = np.fromiter(map(xxh64_intdigest, rows, repeat(SEED)), np.uint64)
+        yield np.fromiter(map(xxh64_intdigest, rows, repeat(SEED)), np.uint64)
+    if none and short:
+        yield np.array([xxh64_intdigest(b" ".join(short), SEED)], np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit; bytes are summed 255 rows at a time."""
+    counts = np.zeros(64, np.int64)
+    for part in range(0, len(hashes), 255 << 8):
+        bits = np.unpackbits(hashes[part : part + (255 << 8)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+    return counts
+
+
+def _majority(counts: np.ndarray, total: int) -> np.ndarray:
+    return np.packbits(counts * 2 > total, axis=-1, bitorder="little").view(np.uint64).ravel()
+
+
+def _data(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace").lower()
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text; A-Z lower-cased, words between ASCII white space."""
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in _shingle_hashes(_data(text), shingle):
+        counts += _ones(hashes)
         total += len(hashes)
-        for part in range(0, len(hashes), 1 << 16):
-            octets = hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8)
-            counts += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    if total == 0:
-        return xxh64_intdigest(b" ".join(short), SEED) if short else 0
-    return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
+    return int(_majority(counts, total)[0])
+
+
+def wide_of(text: str | None) -> np.ndarray:
+    """``LONGS`` words over three-word shingles, the first of which is the fingerprint,
+    then ``PROOF`` words over five-word shingles: two three-word ones, two words apart.
+
+    Of a text of fewer than five words the second part is over what shingles it has.
+    """
+    counts, totals = np.zeros((LONGS + PROOF, 64), np.int64), [0, 0]
+
+    def add(first: int, n: int, hashes: np.ndarray) -> None:
+        totals[first > 0] += len(hashes)
+        for k in range(n):
+            salted = hashes if first + k == 0 else mix(hashes * np.uint64(2 * (first + k) + 1) + np.uint64(first + k))
+            counts[first + k] += _ones(salted)
+
+    last, seen = np.zeros(0, np.uint64), False
+    for hashes in _shingle_hashes(_data(text), SHINGLE):
+        add(0, LONGS, hashes)
+        last = np.concatenate([last, hashes])
+        if len(last) > 2:
+            seen = True
+            add(LONGS, PROOF, mix(last[:-2] * np.uint64(0x9E3779B97F4A7C15) + last[2:]))
+            last = last[-2:]
+    if not seen and len(last):
+        add(LONGS, PROOF, last)
+    return np.concatenate([_majority(counts[:LONGS], totals[0]), _majority(counts[LONGS:], totals[1])])
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
@@ -85,6 +148,15 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     return F.arrow_udf(of, "long")(text)
 
 
+def wide_fingerprint(text: Column) -> Column:
+    """``wide_of`` as an array of signed numbers."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([wide_of(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    return F.arrow_udf(of, "array<long>")(text)
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """``a, b`` (``a`` < ``b``) of the fingerprints in ``distinct(fp)`` that are linked."""
     first, second = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -108,6 +180,48 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs
 
 
+def _most_bits(similarity: float, slack: float = SLACK) -> int:
+    """Bits of the proof that texts of this similarity differ in, and a little more."""
+    apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = 64 * PROOF
+    return int(n * apart + slack * np.sqrt(n * apart * (1 - apart)))
+
+
+def similar(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: links that join all alike fingerprints of ``nodes(fp, wide)``, a written table.
+
+    A round links what shares a variant to the variant's smallest fingerprint, so a large
+    group gives a link per member and variant and not one per pair. What is not near that
+    one meets the others in the next round; the number of rounds follows the number of
+    unlike fingerprints that share one variant. Every round runs a job.
+    """
+    index = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * WIDTH - 1)))
+    value = F.expr(f"shiftrightunsigned(get(wide, i div {3 * WIDTH}), cast({WIDTH} * ((i div {WIDTH}) % 3) as int))")
+    rest = value.bitwiseAND(F.expr(f"{(1 << WIDTH) - 1}L & ~shiftleft(1L, i % {WIDTH})"))
+    entries = nodes.select("fp", "wide", index.alias("i")).select(
+        "fp", (rest + F.col("i").cast("long") * (1 << WIDTH)).cast("int").alias("key")
+    )
+    running = Window.partitionBy("key").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0)
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("center"))) <= CANDIDATE
+    found = None
+    while True:
+        met = entries.withColumn("center", F.min("fp").over(running)).where("fp > center")
+        met = cut(met.withColumn("near", near), "met")
+        stars = met.where("near").select(F.col("center").alias("a"), F.col("fp").alias("b"))
+        found = stars if found is None else found.unionByName(stars)
+        entries = met.where("not near").select("fp", "key")
+        if entries.isEmpty():
+            break
+    pairs = cut(found.distinct(), "candidates")
+    proof = nodes.select("fp", F.slice("wide", LONGS + 1, PROOF).alias("proof"))
+    both = pairs.join(proof.toDF("a", "one"), "a").join(proof.toDF("b", "other"), "b")
+    differing = F.aggregate(
+        F.zip_with("one", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m
+    )
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS_APART
+    return both.where(close | (differing <= _most_bits(similarity))).select("a", "b")
+
+
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """``node, root`` of every node of ``edges(a, b)``, the root the smallest node.
 
@@ -136,10 +250,11 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
 
 
-def fingerprint_classes(prints: DataFrame) -> DataFrame:
-    """``fp, component_id`` of a written table with ``doc_id`` and ``fp``. Runs jobs."""
+def fingerprint_classes(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """``fp, component_id, root`` of a written table with ``doc_id`` and ``fp``; ``edges``
+    are the links, by default those of two bits. Runs jobs."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp")))
+    roots = components(links(classes.select("fp")) if edges is None else edges)
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -154,16 +269,20 @@ def with_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(fingerprint_classes(prints).select("fp", "component_id"), "fp")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row of every component, that of its smallest ``doc_id``; all columns stay.
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of every group of near copies, that of its smallest ``doc_id``; all columns stay.
 
-    Rows are numbered in a table written to the shared folder, so that of repeated rows
-    just one stays. Runs jobs.
+    Near are texts whose five-word shingles have at least ``similarity``, as 512 bits
+    measure it (standard error 0.04), and those at most two bits of 64 apart. Rows are
+    numbered in a table written to the shared folder, so that of repeated rows just one
+    stays. Runs jobs.
     """
-    marked = docs.select(F.struct(*docs.columns).alias("doc"), fingerprint(F.col("text"), shingle).alias("fp"))
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), wide_fingerprint(F.col("text")).alias("wide"))
     table = cut(marked.withColumn("row", F.monotonically_increasing_id()), "rows")
-    prints = table.select(F.col("doc.doc_id").alias("doc_id"), "fp", "row")
-    classes = fingerprint_classes(prints).select("fp", "root")
+    prints = table.select(F.col("doc.doc_id").alias("doc_id"), F.get("wide", F.lit(0)).alias("fp"), "wide", "row")
+    nodes = cut(prints.groupBy("fp").agg(F.min("wide").alias("wide")), "nodes")
+    prints = prints.drop("wide")
+    classes = fingerprint_classes(prints, similar(nodes, similarity)).select("fp", "root")
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     kept = first.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
     gone = cut(prints.select("row").join(kept.select("first.row"), "row", "left_anti"), "gone")
