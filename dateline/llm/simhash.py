@@ -24,7 +24,9 @@ least 0.8 alike, most of which differ in more than two bits. Its fingerprints ar
 Of ``SEGMENTS`` segments of ``WIDTH`` bits one differs in at most one bit for nearly
 all such pairs; segments are indexed under all one-wildcard variants, those that share a
 variant are linked to its smallest fingerprint, what is not near that one goes on to a
-next round, and links are verified on 512 bits over the five-word shingles.
+next round. Links are verified, first on 512 bits over the five-word shingles, then by
+the shingles of the whole texts. Not every link is found: a pair may differ in two or
+more bits of every segment, or each of the two meet only centres that it is too far from.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ SEGMENTS = 3 * LONGS
 PROOF = 8  # words of a wide fingerprint that are over five-word shingles
 CANDIDATE = 14  # of the 64 bits of the plain fingerprint, what candidates differ in at most
 SIMILARITY = 0.8
-SLACK = 0.9  # standard errors that the bits of a pair as similar as asked may differ more
+SLACK = 2.5  # standard errors that the bits of a pair as similar as asked may differ more
 CHUNK = 1 << 20  # bytes of a text whose words are held at a time
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -138,6 +140,27 @@ def wide_of(text: str | None) -> np.ndarray:
     return np.concatenate([_majority(counts[:LONGS], totals[0]), _majority(counts[LONGS:], totals[1])])
 
 
+def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(_data(text), shingle)]))
+
+
+def similarity_of(one: Column, other: Column, shingle: int = 5) -> Column:
+    """Shared shingles of two texts by all their shingles; 1 when neither has any."""
+
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        out, last, held = [], None, None
+        for a, b in zip(left, right):
+            a = a.as_py()
+            if held is None or a != last:  # rows of one centre lie together
+                last, held = a, _shingle_set(a, shingle)
+            more = _shingle_set(b.as_py(), shingle)
+            shared = len(np.intersect1d(held, more, assume_unique=True))
+            out.append(shared / max(len(held) + len(more) - shared, 1) if len(held) or len(more) else 1.0)
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(of, "double")(one, other)
+
+
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed 64-bit number."""
 
@@ -187,8 +210,10 @@ def _most_bits(similarity: float, slack: float = SLACK) -> int:
     return int(n * apart + slack * np.sqrt(n * apart * (1 - apart)))
 
 
-def similar(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: links that join all alike fingerprints of ``nodes(fp, wide)``, a written table.
+def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: links that join the alike fingerprints of ``nodes(fp, wide, row)``.
+
+    ``texts(row, text)`` has the text of each fingerprint; both are written tables.
 
     A round links what shares a variant to the variant's smallest fingerprint, so a large
     group gives a link per member and variant and not one per pair. What is not near that
@@ -219,7 +244,18 @@ def similar(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.zip_with("one", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m
     )
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS_APART
-    return both.where(close | (differing <= _most_bits(similarity))).select("a", "b")
+    likely = cut(
+        both.select("a", "b", close.alias("close"), (differing <= _most_bits(similarity)).alias("likely"))
+        .where("close or likely"),
+        "likely",
+    )
+    doubtful = likely.where("not close").select("a", "b")
+    needed = doubtful.select(F.col("a").alias("fp")).unionByName(doubtful.select(F.col("b").alias("fp"))).distinct()
+    rows = cut(nodes.select("fp", "row").join(needed, "fp"), "needed")
+    held = cut(texts.join(broadcast_within(rows, F.lit(32)), "row").select("fp", "text"), "texts")
+    facing = doubtful.join(held.toDF("a", "one"), "a").join(held.toDF("b", "other"), "b")
+    alike = facing.where(similarity_of(F.col("one"), F.col("other")) >= similarity)
+    return likely.where("close").select("a", "b").unionByName(alike.select("a", "b"))
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -272,17 +308,18 @@ def with_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of every group of near copies, that of its smallest ``doc_id``; all columns stay.
 
-    Near are texts whose five-word shingles have at least ``similarity``, as 512 bits
-    measure it (standard error 0.04), and those at most two bits of 64 apart. Rows are
-    numbered in a table written to the shared folder, so that of repeated rows just one
-    stays. Runs jobs.
+    Near are texts whose five-word shingles have at least ``similarity``, and those at
+    most two bits of 64 apart. Rows are numbered in a table written to the shared folder,
+    so that of repeated rows just one stays. Runs jobs.
     """
     marked = docs.select(F.struct(*docs.columns).alias("doc"), wide_fingerprint(F.col("text")).alias("wide"))
     table = cut(marked.withColumn("row", F.monotonically_increasing_id()), "rows")
     prints = table.select(F.col("doc.doc_id").alias("doc_id"), F.get("wide", F.lit(0)).alias("fp"), "wide", "row")
-    nodes = cut(prints.groupBy("fp").agg(F.min("wide").alias("wide")), "nodes")
+    least = F.min(F.struct("wide", "row")).alias("least")
+    nodes = cut(prints.groupBy("fp").agg(least).select("fp", "least.wide", "least.row"), "nodes")
     prints = prints.drop("wide")
-    classes = fingerprint_classes(prints, similar(nodes, similarity)).select("fp", "root")
+    edges = similar(nodes, table.select("row", F.col("doc.text").alias("text")), similarity)
+    classes = fingerprint_classes(prints, edges).select("fp", "root")
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     kept = first.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
     gone = cut(prints.select("row").join(kept.select("first.row"), "row", "left_anti"), "gone")

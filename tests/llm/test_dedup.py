@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import string
 from collections import Counter, defaultdict
@@ -80,7 +81,22 @@ def plain_print(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components(points):
+def near(one, other):
+    return (one ^ other).bit_count() <= 2
+
+
+def shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(len(words) - k + 1, 1))} if words else set()
+
+
+def alike(one, other):
+    """Pairs of fingerprint and five-word shingles, as the pipeline's stage links them."""
+    shared = len(one[1] & other[1])
+    return near(one[0], other[0]) or shared >= 0.8 * (len(one[1]) + len(other[1]) - shared)
+
+
+def components(points, linked=near):
     root = {i: i for i in range(len(points))}
 
     def find(i):
@@ -90,7 +106,7 @@ def components(points):
 
     for i in range(len(points)):
         for j in range(i):
-            if (points[i] ^ points[j]).bit_count() <= 2:
+            if linked(points[i], points[j]):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(points))]
 
@@ -104,11 +120,42 @@ def test_fingerprints_and_components(messy, monkeypatch):
     want = Counter((i, f"{p:016x}", None if least[c] == LAST else least[c]) for (i, _), p, c in zip(TEXTS, prints, of))
     got = simhash.with_components(messy).select("doc_id", simhash.hexadecimal(simhash.F.col("fp")).alias("f"), "component_id")
     assert Counter(map(tuple, got.collect())) == want
+    of = components([(p, shingles(t)) for p, (_, t) in zip(prints, TEXTS)], alike)
+    least = {c: min((LAST if TEXTS[i][0] is None else TEXTS[i][0]) for i in range(len(of)) if of[i] == c) for c in of}
     kept = simhash.one_of_each(messy)
     assert kept.columns == messy.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(None if v == LAST else v for v in least.values())
 
 
+def test_wide_fingerprints(monkeypatch):
+    whole = [simhash.wide_of(t) for _, t in TEXTS]
+    assert [int(w[0]) for w in whole] == [plain_print(t) for _, t in TEXTS]
+    monkeypatch.setattr(simhash, "CHUNK", 50)
+    for (_, text), want in zip(TEXTS, whole):
+        assert (simhash.wide_of(text) == want).all()
+
+
+def test_edited_copies_leave_and_others_stay(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for family in range(12):
+        base = [word() for _ in range(60 + 40 * family)]
+        texts.append(" ".join(base))
+        for _ in range(60 if family == 3 else 5):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 50)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base[: len(base) // 2] + [word() for _ in range(len(base) // 2)]))
+    of = components([(plain_print(t), shingles(t)) for t in texts], alike)
+    assert len(set(of)) == 24
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # Nothing leaves without reason. A copy that is far from its group's centre can be missed.
+    assert kept >= set(of)
+    assert len(kept - set(of)) <= 0.05 * (len(texts) - len(set(of)))
+
+
 def test_links_against_all_pairs(spark):
     base = [int(hashlib.sha256(bytes([k])).hexdigest()[:16], 16) for k in range(12)]
     points = set(base)
