@@ -211,51 +211,51 @@ def _most_bits(similarity: float, slack: float = SLACK) -> int:
 
 
 def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: links that join the alike fingerprints of ``nodes(fp, wide, row)``.
+    """``a, b``: links that join the alike texts of ``nodes(node, wide)``.
 
-    ``texts(row, text)`` has the text of each fingerprint; both are written tables.
+    ``texts(row, text)`` has the text of each node, by its number; both are written tables.
 
-    A round links what shares a variant to the variant's smallest fingerprint, so a large
+    A round links what shares a variant to the variant's smallest node, so a large
     group gives a link per member and variant and not one per pair. What is not near that
     one meets the others in the next round; the number of rounds follows the number of
-    unlike fingerprints that share one variant. Every round runs a job.
+    unlike texts that share one variant. Every round runs a job.
     """
     index = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * WIDTH - 1)))
     value = F.expr(f"shiftrightunsigned(get(wide, i div {3 * WIDTH}), cast({WIDTH} * ((i div {WIDTH}) % 3) as int))")
     rest = value.bitwiseAND(F.expr(f"{(1 << WIDTH) - 1}L & ~shiftleft(1L, i % {WIDTH})"))
-    entries = nodes.select("fp", "wide", index.alias("i")).select(
-        "fp", (rest + F.col("i").cast("long") * (1 << WIDTH)).cast("int").alias("key")
+    entries = nodes.select("node", "wide", index.alias("i")).select(
+        "node", F.get("wide", F.lit(0)).alias("fp"), (rest + F.col("i").cast("long") * (1 << WIDTH)).cast("int").alias("key")
     )
-    running = Window.partitionBy("key").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0)
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("center"))) <= CANDIDATE
+    running = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("center.fp"))) <= CANDIDATE
     found = None
     while True:
-        met = entries.withColumn("center", F.min("fp").over(running)).where("fp > center")
+        met = entries.withColumn("center", F.min(F.struct("node", "fp")).over(running)).where("node > center.node")
         met = cut(met.withColumn("near", near), "met")
-        stars = met.where("near").select(F.col("center").alias("a"), F.col("fp").alias("b"))
+        stars = met.where("near").select(F.col("center.node").alias("a"), F.col("node").alias("b"))
         found = stars if found is None else found.unionByName(stars)
-        entries = met.where("not near").select("fp", "key")
+        entries = met.where("not near").select("node", "fp", "key")
         if entries.isEmpty():
             break
+    return _verified(found, nodes, texts, similarity)
+
+
+def _verified(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``found(a, b)`` whose texts are alike, first by the proof's bits. Runs jobs."""
     pairs = cut(found.distinct(), "candidates")
-    proof = nodes.select("fp", F.slice("wide", LONGS + 1, PROOF).alias("proof"))
+    proof = nodes.select("node", F.slice("wide", LONGS + 1, PROOF).alias("proof"))
     both = pairs.join(proof.toDF("a", "one"), "a").join(proof.toDF("b", "other"), "b")
     differing = F.aggregate(
         F.zip_with("one", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m
     )
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS_APART
-    likely = cut(
-        both.select("a", "b", close.alias("close"), (differing <= _most_bits(similarity)).alias("likely"))
-        .where("close or likely"),
-        "likely",
+    likely = cut(both.where(differing <= _most_bits(similarity)).select("a", "b"), "likely")
+    needed = likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))).distinct()
+    held = cut(texts.join(broadcast_within(cut(needed, "needed"), F.lit(24)), "row"), "texts")
+    one, other = held.select(F.col("row").alias("a"), F.col("text").alias("one")), held.select(
+        F.col("row").alias("b"), F.col("text").alias("other")
     )
-    doubtful = likely.where("not close").select("a", "b")
-    needed = doubtful.select(F.col("a").alias("fp")).unionByName(doubtful.select(F.col("b").alias("fp"))).distinct()
-    rows = cut(nodes.select("fp", "row").join(needed, "fp"), "needed")
-    held = cut(texts.join(broadcast_within(rows, F.lit(32)), "row").select("fp", "text"), "texts")
-    facing = doubtful.join(held.toDF("a", "one"), "a").join(held.toDF("b", "other"), "b")
-    alike = facing.where(similarity_of(F.col("one"), F.col("other")) >= similarity)
-    return likely.where("close").select("a", "b").unionByName(alike.select("a", "b"))
+    alike = similarity_of(F.col("one"), F.col("other")) >= similarity
+    return likely.join(one, "a").join(other, "b").where(alike).select("a", "b")
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -286,11 +286,10 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
 
 
-def fingerprint_classes(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """``fp, component_id, root`` of a written table with ``doc_id`` and ``fp``; ``edges``
-    are the links, by default those of two bits. Runs jobs."""
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """``fp, component_id, root`` of a written table with ``doc_id`` and ``fp``. Runs jobs."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp")) if edges is None else edges)
+    roots = components(links(classes.select("fp")))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -308,20 +307,25 @@ def with_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of every group of near copies, that of its smallest ``doc_id``; all columns stay.
 
-    Near are texts whose five-word shingles have at least ``similarity``, and those at
-    most two bits of 64 apart. Rows are numbered in a table written to the shared folder,
-    so that of repeated rows just one stays. Runs jobs.
+    Near are texts whose five-word shingles have at least ``similarity``. Each different
+    text is a node, named by its smallest row number. Rows are numbered in a table written
+    to the shared folder, so that of repeated rows just one stays. Runs jobs.
     """
-    marked = docs.select(F.struct(*docs.columns).alias("doc"), wide_fingerprint(F.col("text")).alias("wide"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.select(
+        F.struct(*docs.columns).alias("doc"), wide_fingerprint(F.col("text")).alias("wide"),
+        F.unhex(F.sha2(text, 256)).alias("name"),
+    )
     table = cut(marked.withColumn("row", F.monotonically_increasing_id()), "rows")
-    prints = table.select(F.col("doc.doc_id").alias("doc_id"), F.get("wide", F.lit(0)).alias("fp"), "wide", "row")
-    least = F.min(F.struct("wide", "row")).alias("least")
-    nodes = cut(prints.groupBy("fp").agg(least).select("fp", "least.wide", "least.row"), "nodes")
-    prints = prints.drop("wide")
-    edges = similar(nodes, table.select("row", F.col("doc.text").alias("text")), similarity)
-    classes = fingerprint_classes(prints, edges).select("fp", "root")
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    kept = first.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    prints = table.select(F.col("doc.doc_id").alias("doc_id"), "wide", "name", "row")
+    grouped = prints.groupBy("name").agg(
+        F.min("row").alias("node"), F.min("wide").alias("wide"),
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"),
+    )
+    nodes = cut(grouped.drop("name"), "nodes")
+    roots = components(similar(nodes, table.select("row", F.col("doc.text").alias("text")), similarity))
+    rooted = nodes.select("node", "first").join(roots, "node", "left")
+    kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     gone = cut(prints.select("row").join(kept.select("first.row"), "row", "left_anti"), "gone")
     return table.join(broadcast_within(gone, F.lit(24)), "row", "left_anti").select("doc.*")
 

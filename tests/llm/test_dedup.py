@@ -176,3 +176,12 @@ def test_chain_is_one_component(spark):
     edges = [(k, k + 1) for k in range(200)] + [(500, 501)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(201)}, 500: 500, 501: 500}
+
+
+def test_unlike_texts_of_one_filler_stay(spark):
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(40))
+    texts = [own(k) + " zero" * 60 for k in range(4)] + [own(0) + " zero" * 60]
+    assert len({simhash.fingerprint_of(t) for t in texts}) == 1
+    assert len(shingles(texts[0]) & shingles(texts[1])) < 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 1, 2, 3]
