@@ -47,11 +47,11 @@ from dateline.session import broadcast_within, cut
 SEED = 42
 SHINGLE = 3
 BITS_APART = 2
-WIDTH = 21  # bits of a segment, three in each of the first LONGS words of a wide fingerprint
+WIDTH = 21  # bits of a segment, three in each of the LONGS words after the first of a wide fingerprint
 LONGS = 3
 SEGMENTS = 3 * LONGS
 PROOF = 8  # words of a wide fingerprint that are over five-word shingles
-CANDIDATE = 14  # of the 64 bits of the plain fingerprint, what candidates differ in at most
+CANDIDATE = 14  # of the 64 bits of the first of them, what candidates differ in at most
 SIMILARITY = 0.8
 SLACK = 2.5  # standard errors that the bits of a pair as similar as asked may differ more
 CHUNK = 1 << 20  # bytes of a text whose words are held at a time
@@ -114,30 +114,20 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def wide_of(text: str | None) -> np.ndarray:
-    """``LONGS`` words over three-word shingles, the first of which is the fingerprint,
-    then ``PROOF`` words over five-word shingles: two three-word ones, two words apart.
+    """The fingerprint, then ``LONGS`` words over the set of three-word shingles and
+    ``PROOF`` words over that of five-word shingles: two three-word ones, two words apart.
 
-    Of a text of fewer than five words the second part is over what shingles it has.
+    A repeated shingle counts once in the sets, as in the similarity. Of a text of fewer
+    than five words the last part is over what shingles it has.
     """
-    counts, totals = np.zeros((LONGS + PROOF, 64), np.int64), [0, 0]
-
-    def add(first: int, n: int, hashes: np.ndarray) -> None:
-        totals[first > 0] += len(hashes)
-        for k in range(n):
-            salted = hashes if first + k == 0 else mix(hashes * np.uint64(2 * (first + k) + 1) + np.uint64(first + k))
-            counts[first + k] += _ones(salted)
-
-    last, seen = np.zeros(0, np.uint64), False
-    for hashes in _shingle_hashes(_data(text), SHINGLE):
-        add(0, LONGS, hashes)
-        last = np.concatenate([last, hashes])
-        if len(last) > 2:
-            seen = True
-            add(LONGS, PROOF, mix(last[:-2] * np.uint64(0x9E3779B97F4A7C15) + last[2:]))
-            last = last[-2:]
-    if not seen and len(last):
-        add(LONGS, PROOF, last)
-    return np.concatenate([_majority(counts[:LONGS], totals[0]), _majority(counts[LONGS:], totals[1])])
+    threes = np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(_data(text), SHINGLE)])
+    fives = mix(threes[:-2] * np.uint64(0x9E3779B97F4A7C15) + threes[2:]) if len(threes) > 2 else threes
+    words = [_majority(_ones(threes), len(threes))]
+    for first, n, hashes in ((0, LONGS, np.unique(threes)), (LONGS, PROOF, np.unique(fives))):
+        for k in range(first, first + n):
+            salted = mix(hashes * np.uint64(2 * k + 1) + np.uint64(k)) if k else hashes
+            words.append(_majority(_ones(salted), len(hashes)))
+    return np.concatenate(words)
 
 
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -221,10 +211,10 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     unlike texts that share one variant. Every round runs a job.
     """
     index = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * WIDTH - 1)))
-    value = F.expr(f"shiftrightunsigned(get(wide, i div {3 * WIDTH}), cast({WIDTH} * ((i div {WIDTH}) % 3) as int))")
+    value = F.expr(f"shiftrightunsigned(get(wide, 1 + i div {3 * WIDTH}), cast({WIDTH} * ((i div {WIDTH}) % 3) as int))")
     rest = value.bitwiseAND(F.expr(f"{(1 << WIDTH) - 1}L & ~shiftleft(1L, i % {WIDTH})"))
     entries = nodes.select("node", "wide", index.alias("i")).select(
-        "node", F.get("wide", F.lit(0)).alias("fp"), (rest + F.col("i").cast("long") * (1 << WIDTH)).cast("int").alias("key")
+        "node", F.get("wide", F.lit(1)).alias("fp"), (rest + F.col("i").cast("long") * (1 << WIDTH)).cast("int").alias("key")
     )
     running = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("center.fp"))) <= CANDIDATE
@@ -243,7 +233,7 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 def _verified(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs ``found(a, b)`` whose texts are alike, first by the proof's bits. Runs jobs."""
     pairs = cut(found.distinct(), "candidates")
-    proof = nodes.select("node", F.slice("wide", LONGS + 1, PROOF).alias("proof"))
+    proof = nodes.select("node", F.slice("wide", LONGS + 2, PROOF).alias("proof"))
     both = pairs.join(proof.toDF("a", "one"), "a").join(proof.toDF("b", "other"), "b")
     differing = F.aggregate(
         F.zip_with("one", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m

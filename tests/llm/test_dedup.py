@@ -185,3 +185,11 @@ def test_unlike_texts_of_one_filler_stay(spark):
     assert len(shingles(texts[0]) & shingles(texts[1])) < 5
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 1, 2, 3]
+
+
+def test_repeated_passage_is_a_near_copy(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(words + words[100:130] * 30), " ".join(f"other{i}" for i in range(300))]
+    assert len(shingles(texts[0]) & shingles(texts[1])) > 0.9 * len(shingles(texts[1]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 2]
