@@ -19,14 +19,14 @@ by a table in the shared folder.
 Null and empty texts have no words and the fingerprint zero, linked like any other.
 Rows without ``doc_id`` take part; a component of such rows alone has a null id.
 
-``one_of_each`` filters a corpus and links more: texts whose five-word shingles are at
-least 0.8 alike, most of which differ in more than two bits. Its fingerprints are wider.
-Of ``SEGMENTS`` segments of ``WIDTH`` bits one differs in at most one bit for nearly
-all such pairs; segments are indexed under all one-wildcard variants, those that share a
-variant are linked to its smallest fingerprint, what is not near that one goes on to a
-next round. Links are verified, first on 512 bits over the five-word shingles, then by
-the shingles of the whole texts. Not every link is found: a pair may differ in two or
-more bits of every segment, or each of the two meet only centres that it is too far from.
+``one_of_each`` filters a corpus by another rule: texts whose five-word shingles are at
+least 0.8 alike, most of which differ in more than two bits. Its fingerprints are wider and
+over sets of shingles. Of ``SEGMENTS`` segments of ``WIDTH`` bits one differs in at most one
+bit for nearly all such pairs; segments are indexed under all one-wildcard variants, and
+within a variant every pair not yet joined is compared. Links are verified, first on 512
+bits over the five-word shingles, then by the shingles of the whole texts. Not every link is
+found: a pair may differ in two or more bits of every segment, in more than ``CANDIDATE``
+bits of the first word, or in more bits of the proof than ``SLACK`` allows.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -52,6 +52,7 @@ LONGS = 3
 SEGMENTS = 3 * LONGS
 PROOF = 8  # words of a wide fingerprint that are over five-word shingles
 CANDIDATE = 14  # of the 64 bits of the first of them, what candidates differ in at most
+SMALL = 32  # texts of a variant that meet all pairs at once
 SIMILARITY = 0.8
 SLACK = 2.5  # standard errors that the bits of a pair as similar as asked may differ more
 CHUNK = 1 << 20  # bytes of a text whose words are held at a time
@@ -205,10 +206,11 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
     ``texts(row, text)`` has the text of each node, by its number; both are written tables.
 
-    A round links what shares a variant to the variant's smallest node, so a large
-    group gives a link per member and variant and not one per pair. What is not near that
-    one meets the others in the next round; the number of rounds follows the number of
-    unlike texts that share one variant. Every round runs a job.
+    Texts that share a variant and are near are candidates. In a variant of more than
+    ``SMALL`` texts they first meet only its center, the text nearest to the majority of
+    its members' bits, and those verified are joined to components. Then all pairs of
+    every variant that are not of one component meet inside a join, as in ``links``; the
+    texts of a large variant's largest component do not meet each other. Runs jobs.
     """
     index = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * WIDTH - 1)))
     value = F.expr(f"shiftrightunsigned(get(wide, 1 + i div {3 * WIDTH}), cast({WIDTH} * ((i div {WIDTH}) % 3) as int))")
@@ -216,18 +218,39 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     entries = nodes.select("node", "wide", index.alias("i")).select(
         "node", F.get("wide", F.lit(1)).alias("fp"), (rest + F.col("i").cast("long") * (1 << WIDTH)).cast("int").alias("key")
     )
-    running = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("center.fp"))) <= CANDIDATE
-    found = None
-    while True:
-        met = entries.withColumn("center", F.min(F.struct("node", "fp")).over(running)).where("node > center.node")
-        met = cut(met.withColumn("near", near), "met")
-        stars = met.where("near").select(F.col("center.node").alias("a"), F.col("node").alias("b"))
-        found = stars if found is None else found.unionByName(stars)
-        entries = met.where("not near").select("node", "fp", "key")
-        if entries.isEmpty():
-            break
-    return _verified(found, nodes, texts, similarity)
+    sizes = cut(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    met = cut(entries.join(sizes, "key"), "met")
+
+    def near(one: str, other: str) -> Column:
+        return F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= CANDIDATE
+
+    hot = cut(met.where(F.col("n") > SMALL), "hot")
+    votes = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))) * 2 > F.count("*") for i in range(64)]
+    vote = F.aggregate(
+        F.array(*[F.when(v, F.lit(1 << i if i < 63 else -1 << 63)).otherwise(F.lit(0)).cast("long") for i, v in enumerate(votes)]),
+        F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y),
+    )
+    voted = hot.join(broadcast_within(cut(hot.groupBy("key").agg(vote.alias("vote")), "votes"), F.lit(24)), "key")
+    least = F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("vote"))).alias("bits"), "node", "fp"))
+    centers = cut(voted.groupBy("key").agg(least.alias("c")).select("key", "c.node", "c.fp").toDF("key", "center", "of"), "centers")
+    stars = hot.join(broadcast_within(centers, F.lit(32)), "key").where("node <> center").where(near("fp", "of"))
+    pairs = stars.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
+    stars = cut(_verified(pairs, nodes, texts, similarity), "stars")
+    roots = broadcast_within(cut(components(stars), "roots"), F.lit(32))
+
+    hot_rooted = hot.join(roots, "node", "left").groupBy("key", F.coalesce("root", "node").alias("root")).count()
+    largest = hot_rooted.groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
+    largest = broadcast_within(cut(largest, "largest"), F.lit(24))
+    rooted = met.join(roots, "node", "left").join(largest, "key", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(rooted.select("key", "node", "fp", "root", "largest"), "rooted")
+    inside = F.col("root").eqNullSafe(F.col("largest"))
+    one = rooted.where(~inside).select("key", F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("root").alias("root_a"))
+    other = rooted.select(
+        "key", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"), inside.alias("inside")
+    )
+    pairs = one.join(other, "key").where("root_a <> root_b and (inside or a < b)").where(near("fp_a", "fp_b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stars.unionByName(_verified(pairs, nodes, texts, similarity))
 
 
 def _verified(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

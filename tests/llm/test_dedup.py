@@ -193,3 +193,24 @@ def test_repeated_passage_is_a_near_copy(spark):
     assert len(shingles(texts[0]) & shingles(texts[1])) > 0.9 * len(shingles(texts[1]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("small", [4, 32])
+def test_copies_around_a_base_join_it(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(250)]
+    copies = []
+    for _ in range(50):
+        copy = list(base)
+        for at in rng.sample(range(250), 5):
+            copy[at] = word()
+        copies.append(" ".join(copy))
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(40)) + " zero" * 60
+    texts = [*copies[:40], " ".join(base), *copies[40:], own(0), own(1), own(1) + " zero" * 10]
+    of = components([(0, shingles(t)) for t in texts], lambda a, b: 5 * len(a[1] & b[1]) >= 4 * len(a[1] | b[1]))
+    want = set(of)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    assert kept >= want and len(kept - want) <= 1 and {51, 52} <= kept and 53 not in kept
