@@ -2,14 +2,16 @@
 
 A text is read as words; numbers, names (capitalised words inside a sentence) and units
 after a number become typed placeholders. Windows of ``WINDOW`` words of documents and
-benchmark items are joined by hash, both in this template form and as plain lower-case
-words. Where placeholders met, the values must map consistently: one value of the item
-always to the same value of the document, along one alignment. An item is found in a
-document when at least ``share`` of its windows are.
-
-A template window needs ``LITERAL`` plain words, or tables of numbers would match. Items
-of fewer than ``WINDOW`` words have no window and are never found. Null and empty texts
-hold nothing. Rows of one ``doc_id`` with different texts are judged separately; rows
+benchmark items are joined by hash, in this template form, in one in which a capitalised
+word that opens a sentence is a name too, and as plain lower-case words. Where other values
+met at placeholders, they must map consistently: one value of the item always to the same
+value of the document, along one alignment; windows of equal values always count.
+
+An item is found in a document when at least ``share`` of its windows are: of all, or of
+those that a template form can match. A template window needs ``LITERAL`` plain words, or
+tables of numbers would match.
+Items of fewer than ``WINDOW`` words are never found.
+Null and empty texts hold nothing. Rows of one ``doc_id`` with different texts are judged separately; rows
 without an id too.
 """
 
@@ -26,6 +28,7 @@ from dateline.session import broadcast_within, cut
 WINDOW = 5
 LITERAL = 3
 SHARE = 0.5
+RUN = 13  # words of an item in a row that are a leak by themselves
 FILTER_HASHES = 8 << 20  # benchmark windows that tasks may hold to skip documents' others
 
 # Words that are read as numbers and as units.
@@ -45,9 +48,12 @@ UNITS = (
 
 _NUMBER, _NAME, _UNIT = (np.uint64(k) for k in (11, 12, 13))
 _STEP = 0xC2B2AE3D27D4EB4F
-_WINDOWS = "array<struct<hash: long, pos: int, slots: array<long>>>"
+_WINDOWS = "array<struct<hash: long, pos: int, slots: array<long>, size: int, forms: int>>"
 _WINDOW_TYPE = pa.list_(
-    pa.struct([("hash", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.int64()))])
+    pa.struct([
+        ("hash", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.int64())), ("size", pa.int32()),
+        ("forms", pa.int32()),
+    ])
 )
 
 
@@ -61,17 +67,19 @@ def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def template(words: Words, numbers: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every plain word, and of its form in the template."""
+def template(words: Words, numbers: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every plain word, of its form in the template, and of that with openers as names."""
     plain = words.hashes()
     opens = np.diff(words.sentence, prepend=-1) != 0
     number = words.digit() | _within(plain, numbers)
     after = np.concatenate([[False], number[:-1]]) & ~opens & ~number
     unit = after & _within(plain, units)
-    name = words.capital() & ~opens & ~number & ~unit
+    name = words.capital() & ~number & ~unit
     typed = plain.copy()
-    typed[number], typed[name], typed[unit] = _NUMBER, _NAME, _UNIT
-    return plain, typed
+    typed[number], typed[name & ~opens], typed[unit] = _NUMBER, _NAME, _UNIT
+    opened = typed.copy()
+    opened[name] = _NAME
+    return plain, typed, opened
 
 
 def _hashes(codes: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -82,52 +90,75 @@ def _hashes(codes: np.ndarray, n: int, window: int) -> np.ndarray:
     return mix(total)
 
 
-def windows(text: Column, window: int = WINDOW, wanted: np.ndarray | None = None) -> Column:
-    """Windows of a text with the values of their placeholders; only ``wanted`` hashes
-    (sorted) if given. A window with placeholders comes in both forms."""
+def windows(
+    text: Column, window: int = WINDOW, wanted: np.ndarray | None = None, short: list[int] | None = None
+) -> Column:
+    """Windows of a text with the values of their placeholders, how many words they have and
+    how many template forms can match them; only ``wanted`` hashes (sorted) if given.
+
+    A window comes in every form that it has. Of the sizes in ``short`` plain windows are
+    added; without ``short``, a text of fewer than ``window`` words gives one, the whole.
+    """
 
     def find(texts: pa.Array) -> pa.Array:
         numbers, units = _known(NUMBERS), _known(UNITS)
         out: list[list[tuple]] = [[] for _ in texts]
         for a, _, words in pieces(texts.to_pylist()):
-            n = len(words.start) - window + 1
-            if n <= 0:
+            if not len(words.start):
                 continue
-            plain, typed = template(words, numbers, units)
-            slot = plain != typed
-            held = np.concatenate([[0], np.cumsum(slot)])
-            slots = held[window:] - held[:-window]
-            whole = words.doc[:n] == words.doc[window - 1 :]
+            plain, typed, opened = template(words, numbers, units)
             first = np.searchsorted(words.doc, words.doc)
-            for codes, fit in ((typed, whole & (slots <= window - LITERAL)), (plain, whole & (slots > 0))):
-                hashes = _hashes(codes, n, window).view(np.int64)
+
+            def add(size: int, codes: np.ndarray, fit: np.ndarray, forms: np.ndarray) -> None:
+                hashes = _hashes(codes, len(fit), size).view(np.int64)
                 if wanted is not None:
                     fit = fit & _within(hashes, wanted)
                 for k in np.flatnonzero(fit):
-                    values = []
-                    if codes is typed and slots[k]:
-                        spots = k + np.flatnonzero(slot[k : k + window])
-                        values = (plain[spots] ^ typed[spots]).view(np.int64).tolist()
-                    out[a + words.doc[k]].append((int(hashes[k]), int(k - first[k]), values))
-        return pa.array(
-            [[{"hash": h, "pos": p, "slots": s} for h, p, s in rows] for rows in out], _WINDOW_TYPE
-        )
+                    spots = k + np.flatnonzero(codes[k : k + size] != plain[k : k + size])
+                    values = (plain[spots] ^ codes[spots]).view(np.int64).tolist()
+                    out[a + words.doc[k]].append((int(hashes[k]), int(k - first[k]), values, size, int(forms[k])))
+
+            n = len(words.start) - window + 1
+            if n > 0:
+                whole = words.doc[:n] == words.doc[window - 1 :]
+                few, more = (
+                    np.diff(np.concatenate([[0], np.cumsum(codes != plain)])[[np.arange(n), np.arange(n) + window]], axis=0)[0]
+                    for codes in (typed, opened)
+                )
+                most = window - LITERAL
+                forms = (few <= most).astype(int) + (more <= most)
+                add(window, typed, whole & (few <= most), forms)
+                add(window, opened, whole & (more > few) & (more <= most), forms)
+                add(window, plain, whole & (few > 0), forms)
+            lengths = np.bincount(words.doc)[words.doc]
+            for size in np.unique(lengths[lengths < window]).tolist() if short is None else short:
+                n = len(words.start) - size + 1
+                if n > 0:
+                    fit = lengths[:n] == size if short is None else np.ones(n, bool)
+                    add(size, plain, fit & (words.doc[:n] == words.doc[size - 1 :]), np.zeros(n, int))
+        names = _WINDOW_TYPE.value_type.names
+        return pa.array([[dict(zip(names, row)) for row in rows] for rows in out], _WINDOW_TYPE)
 
     return F.arrow_udf(find, _WINDOWS)(text)
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item_id, item_text_mark, hash, item_pos, item_slots, n_windows`` (runs a job)."""
+    """``item_id, item_mark, hash, item_pos, item_slots, size, forms`` and of the item ``n_all,
+    n_typed, n_opened``: its windows, and those that the template forms can match (runs a job)."""
     found = benchmark.select(
         "item_id", F.xxhash64("text").alias("item_mark"), windows(F.col("text"), window).alias("w")
     )
     flat = found.select("item_id", "item_mark", F.explode_outer("w").alias("w")).where("w is not null")
     flat = flat.select(
         "item_id", "item_mark", F.col("w.hash").alias("hash"), F.col("w.pos").alias("item_pos"),
-        F.col("w.slots").alias("item_slots"),
+        F.col("w.slots").alias("item_slots"), "w.size", "w.forms",
     ).distinct()
     flat = cut(flat, "items")
-    sizes = flat.groupBy("item_id", "item_mark").agg((F.max("item_pos") + 1).alias("n_windows"))
+    sizes = flat.groupBy("item_id", "item_mark").agg(
+        (F.max("item_pos") + 1).alias("n_all"),
+        F.count_distinct(F.when(F.col("forms") > 0, F.col("item_pos"))).alias("n_typed"),
+        F.count_distinct(F.when(F.col("forms") > 1, F.col("item_pos"))).alias("n_opened"),
+    )
     return cut(
         flat.join(
             sizes.withColumnsRenamed({"item_id": "_i", "item_mark": "_m"}),
@@ -137,14 +168,26 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def _longest_run(spots: Column) -> Column:
+    """The most consecutive numbers in an array of different ones."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+    def step(held: Column, spot: Column) -> Column:
+        n = F.when(spot == held["last"] + 1, held["n"] + 1).otherwise(F.lit(1))
+        return F.struct(spot.alias("last"), n.alias("n"), F.greatest(held["best"], n).alias("best"))
+
+    return F.aggregate(F.array_sort(spots), start, step, lambda held: held["best"])
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE,
-    filter_hashes: int = FILTER_HASHES,
+    filter_hashes: int = FILTER_HASHES, run: int = RUN,
 ) -> DataFrame:
     """``doc_id, mark, item_id, n_windows, n_found, n_same, kind`` of items found in documents.
 
-    ``n_found`` counts the item's windows found, ``n_same`` those with the same values;
-    ``kind`` is ``verbatim`` when the latter reach the share, else ``reparameterised``.
+    ``kind`` is ``verbatim`` when the windows of equal values reach the share or a run of
+    them ``run`` words, else ``reparameterised``. ``n_windows`` counts the item's windows
+    that the judged form can match, ``n_found`` those found, ``n_same`` all of equal values.
     Runs jobs on the benchmark. While it has at most ``filter_hashes`` windows, tasks
     skip windows that no item has; beyond that all windows go to the join.
     """
@@ -153,33 +196,50 @@ def leaks(
     wanted = None
     if hashes.limit(filter_hashes + 1).count() <= filter_hashes:
         wanted = np.sort(hashes.toArrow().column("hash").to_numpy())
-    found = docs.select("doc_id", F.xxhash64("text").alias("mark"), windows(F.col("text"), window, wanted).alias("w"))
+    short: list[int] = []
+    found = docs.select(
+        "doc_id", F.xxhash64("text").alias("mark"), windows(F.col("text"), window, wanted, short).alias("w")
+    )
     seen = found.select("doc_id", "mark", F.explode_outer("w").alias("w")).where("w is not null").select(
         "doc_id", "mark", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"), F.col("w.slots").alias("slots")
     )
-    met = seen.join(broadcast_within(items, F.lit(96)), "hash")
-    aligned = met.groupBy(
-        "doc_id", "mark", "item_id", "item_mark", "n_windows", (F.col("pos") - F.col("item_pos")).alias("shift")
-    ).agg(
-        F.collect_set("item_pos").alias("spots"),
-        F.collect_set(F.when(F.col("slots") == F.col("item_slots"), F.col("item_pos"))).alias("same"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("values"),
+    met = seen.join(broadcast_within(items, F.lit(112)), "hash")
+    pair = ["doc_id", "mark", "item_id", "item_mark", "n_all", "n_typed", "n_opened"]
+    equal, spot = F.col("slots") == F.col("item_slots"), F.struct("item_pos", "forms")
+    aligned = met.groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+        F.collect_set(spot).alias("spots"),
+        F.collect_set(F.when(equal, spot)).alias("same"),
+        F.array_distinct(
+            F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))
+        ).alias("values"),
     )
-    # Along one alignment a value of the item stands for one value of the document.
+    # Along one alignment a value of the item stands for one value of the document, in
+    # windows that need their placeholders; the others count in any case.
     steady = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["i"])))
     spots = aligned.where(steady).select(
-        "doc_id", "mark", "item_id", "item_mark", "n_windows", "same", F.explode("spots").alias("spot")
+        *pair, "same", _longest_run(F.col("same.item_pos")).alias("run"),
+        F.explode("spots").alias("spot"),
     )
-    per_spot = spots.groupBy("doc_id", "mark", "item_id", "item_mark", "n_windows", "spot").agg(
-        F.max(F.array_contains("same", F.col("spot"))).alias("same")
+    per_spot = spots.groupBy(*pair, "spot").agg(
+        F.max(F.array_contains("same", F.col("spot"))).alias("same"), F.max("run").alias("run")
     )
-    counted = per_spot.groupBy("doc_id", "mark", "item_id", "item_mark", "n_windows").agg(
-        F.count("*").alias("n_found"), F.count_if("same").alias("n_same")
+    counted = per_spot.groupBy(*pair).agg(
+        F.count("*").alias("n_found"), F.count_if("same").alias("n_same"), F.max("run").alias("run"),
+        F.count_if(F.col("spot.forms") > 0).alias("typed"), F.count_if(F.col("spot.forms") > 1).alias("opened"),
     )
-    hit = counted.where(F.col("n_found") >= share * F.col("n_windows"))
-    kind = F.when(F.col("n_same") >= share * F.col("n_windows"), "verbatim").otherwise("reparameterised")
+
+    def reaches(n: str, of: str) -> Column:
+        return (F.col(n) > 0) & (F.col(n) >= share * F.col(of))
+
+    verbatim = reaches("n_same", "n_all")
+    judged = F.when(verbatim | reaches("n_found", "n_all"), F.struct(F.col("n_all").cast("long").alias("n"), F.col("n_found").alias("k")))
+    for form in ("typed", "opened"):
+        judged = judged.when(reaches(form, f"n_{form}"), F.struct(F.col(f"n_{form}").alias("n"), F.col(form).alias("k")))
+    hit = counted.withColumn("judged", judged).where("judged is not null")
+    kind = F.when(verbatim, "verbatim").otherwise("reparameterised")
     return hit.select(
-        "doc_id", "mark", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "n_found", "n_same", kind.alias("kind")
+        "doc_id", "mark", "item_id", F.col("judged.n").alias("n_windows"), F.col("judged.k").alias("n_found"), "n_same",
+        kind.alias("kind"),
     )
 
 

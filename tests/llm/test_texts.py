@@ -212,6 +212,21 @@ def test_inconsistent_values_are_no_template(spark):
     assert {r["doc_id"] for r in decontaminate.leaks(docs, items, share=0.7).collect()} == {2}
 
 
+def found_in(spark, item, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {(r["doc_id"], r["kind"]) for r in decontaminate.leaks(docs, items).collect()}
+
+
+def test_names_that_open_sentences_and_dense_numbers(spark):
+    item = "Tom has 5 apples. Tom buys 3 more. Tom eats 2. How many apples are left?"
+    other = "Anna has 8 apples. Anna buys 4 more. Anna eats 1. How many apples are left?"
+    assert found_in(spark, item, other, other.replace("Anna eats", "Bob eats").replace("Anna buys", "Carl buys")) >= {(0, "reparameterised")}
+    dense = "add 1 2 3 4 5 6 7 8 9 10 11 12 13 14 and give the sum of all the terms"
+    again = "add 7 9 8 6 2 5 3 1 41 12 18 19 20 77 and give the sum of all the terms"
+    assert found_in(spark, dense, again, "add 1 2 3 4 5 apples") == {(0, "reparameterised")}
+
+
 # -- learned scores -------------------------------------------------------------------
 
 
