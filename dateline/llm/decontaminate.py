@@ -210,15 +210,15 @@ def leaks(
         F.collect_set(spot).alias("spots"),
         F.collect_set(F.when(equal, spot)).alias("same"),
         F.array_distinct(
-            F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))
+            F.flatten(F.collect_set(F.when(~equal, F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))))
         ).alias("values"),
     )
     # Along one alignment a value of the item stands for one value of the document, in
     # windows that need their placeholders; the others count in any case.
     steady = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["i"])))
-    spots = aligned.where(steady).select(
+    spots = aligned.select(
         *pair, "same", _longest_run(F.col("same.item_pos")).alias("run"),
-        F.explode("spots").alias("spot"),
+        F.explode(F.when(steady, F.col("spots")).otherwise(F.col("same"))).alias("spot"),
     )
     per_spot = spots.groupBy(*pair, "spot").agg(
         F.max(F.array_contains("same", F.col("spot"))).alias("same"), F.max("run").alias("run")

@@ -227,6 +227,11 @@ def test_names_that_open_sentences_and_dense_numbers(spark):
     assert found_in(spark, dense, again, "add 1 2 3 4 5 apples") == {(0, "reparameterised")}
 
 
+def test_one_altered_value_does_not_veto_verbatim_windows(spark):
+    item = "the farmer sold 12 12 kg sacks of good wheat in town and later bought 12 young hens for the yard"
+    assert found_in(spark, item, item.replace("12 12", "12 13")) == {(0, "verbatim")}
+
+
 # -- learned scores -------------------------------------------------------------------
 
 
