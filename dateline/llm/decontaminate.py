@@ -9,8 +9,8 @@ value of the document, along one alignment; windows of equal values always count
 
 An item is found in a document when at least ``share`` of its windows are: of all, or of
 those that a template form can match. A template window needs ``LITERAL`` plain words, or
-tables of numbers would match.
-Items of fewer than ``WINDOW`` words are never found.
+tables of numbers would match. A run of verbatim windows of ``RUN`` words is also enough.
+Items of fewer than ``WINDOW`` words are found by one plain window of their own length.
 Null and empty texts hold nothing. Rows of one ``doc_id`` with different texts are judged separately; rows
 without an id too.
 """
@@ -196,7 +196,7 @@ def leaks(
     wanted = None
     if hashes.limit(filter_hashes + 1).count() <= filter_hashes:
         wanted = np.sort(hashes.toArrow().column("hash").to_numpy())
-    short: list[int] = []
+    short = sorted(r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect())
     found = docs.select(
         "doc_id", F.xxhash64("text").alias("mark"), windows(F.col("text"), window, wanted, short).alias("w")
     )
@@ -231,7 +231,7 @@ def leaks(
     def reaches(n: str, of: str) -> Column:
         return (F.col(n) > 0) & (F.col(n) >= share * F.col(of))
 
-    verbatim = reaches("n_same", "n_all")
+    verbatim = reaches("n_same", "n_all") | (F.col("run") + window - 1 >= run)
     judged = F.when(verbatim | reaches("n_found", "n_all"), F.struct(F.col("n_all").cast("long").alias("n"), F.col("n_found").alias("k")))
     for form in ("typed", "opened"):
         judged = judged.when(reaches(form, f"n_{form}"), F.struct(F.col(f"n_{form}").alias("n"), F.col(form).alias("k")))

@@ -232,6 +232,12 @@ def test_one_altered_value_does_not_veto_verbatim_windows(spark):
     assert found_in(spark, item, item.replace("12 12", "12 13")) == {(0, "verbatim")}
 
 
+def test_long_passages_and_short_items(spark):
+    item = " ".join(f"item{i}" for i in range(59))
+    passage = "so " + " ".join(item.split()[20:33]) + " end"
+    assert found_in(spark, item, passage, " ".join(item.split()[20:32])) == {(0, "verbatim")}
+    assert found_in(spark, "Define osmotic pressure", "Please define osmotic pressure now", "define pressure", "") == {(0, "verbatim")}
+
 # -- learned scores -------------------------------------------------------------------
 
 
