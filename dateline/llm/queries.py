@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dateline.llm import decontaminate, exact, lines, packing, quality, secrets, sharding, simhash, toxicity, warc
+from dateline.llm import (
+    decontaminate, exact, lines, packing, prefixes, quality, rules, secrets, sharding, simhash, sql, toxicity, warc,
+)
 from dateline.session import scratch_path
 
 
@@ -79,6 +81,16 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = rules.judged(_table(spark, folder, "documents"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *base, "base_failed", "kept")
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.prefix_nodes(_table(spark, folder, "conversations")).drop("node")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -90,6 +102,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _STRIP = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
@@ -110,6 +124,7 @@ def _spans_sql(place: int, rule: secrets.Rule) -> str:
 
 _SPELLED = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place)"
 SQL = {
+    "op13_prefix_trie": sql.PREFIX_NODES,
     "op1_exact_dedup": """
         WITH normal AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents),
