@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dateline.llm import (
-    decontaminate, exact, lines, packing, prefixes, quality, rules, secrets, sharding, simhash, sql, toxicity, warc,
+    decontaminate, exact, lines, packing, phrases, prefixes, quality, rules, secrets, sharding, simhash, sql, toxicity, warc,
 )
 from dateline.session import scratch_path
 
@@ -81,6 +81,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = rules.judged(_table(spark, folder, "documents"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -102,6 +106,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op12_quality_rules": op12_quality_rules,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -124,6 +129,7 @@ def _spans_sql(place: int, rule: secrets.Rule) -> str:
 
 _SPELLED = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place)"
 SQL = {
+    "op11_collocations": sql.COLLOCATIONS,
     "op13_prefix_trie": sql.PREFIX_NODES,
     "op1_exact_dedup": """
         WITH normal AS (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dateline.llm import prefixes
+from dateline.llm import phrases, prefixes
 
 
 def crc32_sql(text: str) -> str:
@@ -50,3 +50,36 @@ PREFIX_NODES = f"""
         s.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
     FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN children c ON c.parent = n.node
     JOIN sums s ON s.top = n.node"""
+
+COLLOCATIONS = f"""
+    WITH pieces AS (
+        SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM (SELECT coalesce(lang, 'und') AS lang,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+    split AS (
+        SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+    windows AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+        FROM split, range(1, {phrases.LONGEST + 1}) r(k) WHERE len(ws) >= k),
+    f AS (
+        SELECT lang, k, phrase, count(*) AS a, sum(count(*)) FILTER (k = 1) OVER (PARTITION BY lang)::BIGINT AS n
+        FROM windows GROUP BY lang, k, phrase),
+    c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= {phrases.LEAST}),
+    cuts AS (
+        SELECT c.*, j, array_to_string(ws[1:j], ' ') AS one, array_to_string(ws[j + 1:], ' ') AS other
+        FROM c, range(1, {phrases.LONGEST}) r(j) WHERE j < k),
+    scored AS (
+        SELECT t.lang, t.k, t.phrase, t.a, t.n, t.j, x.a AS l, y.a AS r,
+            ((1000::HUGEINT * t.a * t.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+        FROM cuts t JOIN f x ON x.lang = t.lang AND x.phrase = t.one JOIN f y ON y.lang = t.lang AND y.phrase = t.other),
+    lowest AS (
+        SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    parts AS (
+        SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+        FROM c, range(2, {phrases.LONGEST}) r(m), range(1, {phrases.LONGEST}) s(i)
+        WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+    ranked AS (
+        SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank
+        FROM lowest w LEFT JOIN parts p ON p.lang = w.lang AND p.phrase = w.phrase
+        WHERE p.longer IS NULL OR 100 * p.longer < {phrases.INSIDE} * w.a)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {phrases.TOP}"""
