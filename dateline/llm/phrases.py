@@ -49,7 +49,8 @@ INSIDE = 100  # percent of a phrase's occurrences within one longer phrase that
 SHARD = 1_000_000  # phrases of a trie at most
 CHUNK = 1 << 20  # bytes of text that become a row
 HELD = 16 * CHUNK  # bytes held for all languages together
-FLUSH = 1 << 21  # windows counted before they leave a task
+FLUSH = 1 << 19  # windows counted before they leave a task
+SENT = 1 << 16  # rows that leave a task at a time
 WINDOW = 256  # children of a state, and the room of a large one
 WIDE = 16  # children from which a state gets a room of its own
 
@@ -166,14 +167,15 @@ class DoubleArray:
             states = np.where(self.check[following] == states, following, 0)
         return states
 
-    def levels(self, root: int, ids: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def levels(
+        self, root: int, symbols: np.ndarray, known: np.ndarray, depth: int
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """After each word: the positions still alive, and their states."""
-        symbols, known = self.symbols(ids)
         places = np.flatnonzero(known)
         states = np.full(len(places), root, np.int32)
         for level in range(depth):
             at = places + level
-            inside = at < len(ids)
+            inside = at < len(symbols)
             places, states, at = places[inside], states[inside], at[inside]
             alive = known[at]
             places, states, at = places[alive], states[alive], at[alive]
@@ -277,20 +279,24 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray
 def _grown(shared, words: int, only: bool) -> Callable:
     """Counts what can be a frequent phrase of one word more than the trie's."""
 
-    def tally(keys: list[np.ndarray], following: list[np.ndarray]) -> pa.RecordBatch:
+    def tally(keys: list[np.ndarray], following: list[np.ndarray], words: np.ndarray) -> Iterator[pa.RecordBatch]:
         phrase, last = np.concatenate(keys), np.concatenate(following)
-        names, code = np.unique(last, return_inverse=True)
-        pairs, n = np.unique(phrase << 32 | code, return_counts=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(pairs >> 32), pa.array(names[pairs & 0xFFFFFFFF]), pa.array(n)], ["phrase", "last", "n"]
-        )
+        if not only:
+            words, last = np.unique(last, return_inverse=True)
+        pairs, n = np.unique(phrase << 32 | last, return_counts=True)
+        for k in range(0, len(pairs), SENT):
+            some = pairs[k : k + SENT]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some >> 32), pa.array(words[some & 0xFFFFFFFF]), pa.array(n[k : k + SENT])], ["phrase", "last", "n"]
+            )
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, keys, following, held = shared.value, [], [], 0
         for lang, ids in _arrays(batches):
             if lang not in trie.roots or not len(ids):
                 continue
-            *_, (places, states) = trie.levels(trie.roots[lang], ids, words)
+            symbols, known = trie.symbols(ids)
+            *_, (places, states) = trie.levels(trie.roots[lang], symbols, known, words)
             if only:  # the next window is alive too
                 alive = np.zeros(len(ids) + 1, bool)
                 alive[places] = True
@@ -298,13 +304,13 @@ def _grown(shared, words: int, only: bool) -> Callable:
             else:  # a word follows
                 both = np.flatnonzero(np.append(ids, 0)[np.minimum(places + words, len(ids))])
             keys.append(trie.phrase[states[both]].astype(np.int64))
-            following.append(ids[places[both] + words])
-            held += len(keys[-1])
+            following.append((symbols if only else ids)[places[both] + words])
+            held += len(both)
             if held > FLUSH:
-                yield tally(keys, following)
+                yield from tally(keys, following, trie.words)
                 keys, following, held = [], [], 0
         if held:
-            yield tally(keys, following)
+            yield from tally(keys, following, trie.words)
 
     return grow
 
@@ -317,7 +323,7 @@ def _counted(shared, longest: int) -> Callable:
         total = np.zeros(len(trie.base), np.int64)
         for lang, ids in _arrays(batches):
             if lang in trie.roots:
-                for _, states in trie.levels(trie.roots[lang], ids, longest):
+                for _, states in trie.levels(trie.roots[lang], *trie.symbols(ids), longest):
                     seen = np.bincount(states)
                     total[: len(seen)] += seen
         found = np.flatnonzero((total > 0) & (trie.phrase >= 0))
