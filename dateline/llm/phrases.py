@@ -4,9 +4,10 @@ Texts are cut at punctuation into pieces and pieces into words. A phrase of two
 words that occurs ``LEAST`` times in a language is a candidate; its score compares how often
 it occurs with what its two parts would give by chance, at the cut where that is lowest.
 
-1. Texts become rows of word ids once, a language at a time, with 0 between pieces. An id
-   is a seeded 64-bit hash; the distinct words of the corpus are checked for two words of
-   one id, and encoded anew with another seed if there are any, so ids are exact.
+1. Texts become rows of word codes once, a language at a time, with 0 between pieces, beside
+   the ids of the row's distinct words. An id is a seeded 64-bit hash; the distinct words of
+   the corpus are checked for two words of one id, and encoded anew with another seed if
+   there are any, so ids are exact.
 2. Phrases grow word by word. A phrase of k words can only be frequent when its first and its
    last k - 1 words are (Apriori). Those known are a double-array trie, broadcast to the
    tasks, where numpy advances the states of all positions of a row together, level by
@@ -62,25 +63,26 @@ _OUTSIDE = _BREAK | (_BYTE == 0x20) | (_BYTE == 0x09)
 
 
 def _encoded(data: bytes, seed: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """``(ids, distinct words, their ids, their numbers)`` of lower-cased pieces."""
-    codes = np.frombuffer(data, np.uint8)
-    inside = ~_OUTSIDE[codes]
+    """``(codes, distinct words, their ids, their numbers)`` of lower-cased pieces: a code is
+    the place of a word among the distinct ones, from 1, or 0 between pieces."""
+    text = np.frombuffer(data, np.uint8)
+    inside = ~_OUTSIDE[text]
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     start, stop = edges[::2], edges[1::2]
     if not len(start):
-        return np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     offsets = np.zeros(len(start) + 1, np.int64)
     np.cumsum(stop - start, out=offsets[1:])
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(codes[inside])])
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(text[inside])])
     coded = words.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     names = np.fromiter((xxh3_64_intdigest(w, seed) or 1 for w in distinct), np.uint64, len(distinct)).view(np.int64)
     index = coded.indices.to_numpy()
-    breaks = np.searchsorted(np.flatnonzero(_BREAK[codes]), start)
+    breaks = np.searchsorted(np.flatnonzero(_BREAK[text]), start)
     parts = np.cumsum(np.diff(breaks, prepend=breaks[0]) > 0)
-    ids = np.zeros(len(start) + int(parts[-1]), np.int64)
-    ids[np.arange(len(start)) + parts] = names[index]
-    return ids, distinct, names, np.bincount(index, minlength=len(distinct))
+    codes = np.zeros(len(start) + int(parts[-1]), np.int32)
+    codes[np.arange(len(start)) + parts] = index + 1
+    return codes, distinct, names, np.bincount(index, minlength=len(distinct))
 
 
 def _slices(data: bytes) -> Iterator[bytes]:
@@ -95,21 +97,20 @@ def _slices(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-_ROWS = "lang string, ids array<long>, vocabulary array<struct<word: string, id: long, n: long>>"
+_ROWS = "lang string, names binary, codes binary, vocabulary array<struct<word: string, id: long, n: long>>"
 
 
 def _encode(seed: int) -> Callable:
     entry = pa.struct([("word", pa.string()), ("id", pa.int64()), ("n", pa.int64())])
 
     def row(lang: str, held: list[bytes]) -> pa.RecordBatch:
-        ids, words, names, n = _encoded(b"\n".join(held), seed)
-        vocabulary = pa.StructArray.from_arrays(
+        codes, words, names, n = _encoded(b"\n".join(held), seed)
+        entries = pa.StructArray.from_arrays(
             [pa.array([w.decode() for w in words], pa.string()), pa.array(names), pa.array(n)], fields=list(entry)
         )
-        lists = [
-            pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.array(ids, pa.int64()), vocabulary)
-        ]
-        return pa.RecordBatch.from_arrays([pa.array([lang]), *lists], ["lang", "ids", "vocabulary"])
+        vocabulary = pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), entries)
+        packed = [pa.array([v.tobytes()], pa.binary()) for v in (names, codes)]
+        return pa.RecordBatch.from_arrays([pa.array([lang]), *packed, vocabulary], ["lang", "names", "codes", "vocabulary"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -131,14 +132,14 @@ def _encode(seed: int) -> Callable:
 
 
 def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows(lang, ids), words(lang, word, id, n))``, ids without collisions. Runs jobs."""
+    """``(rows(lang, names, codes), words(lang, word, id, n))``, ids without collisions. Runs jobs."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     for seed in count():
         rows = cut(texts.mapInArrow(_encode(seed), _ROWS), "ids")
         words = rows.select("lang", F.explode("vocabulary").alias("w")).groupBy("lang", "w.word", "w.id").agg(F.sum("w.n").alias("n"))
         words = cut(words, "words")
         if words.groupBy("id").agg((F.min("word") < F.max("word")).alias("two")).where("two").isEmpty():
-            return rows.select("lang", "ids"), words
+            return rows.select("lang", "names", "codes"), words
 
 
 @dataclass
@@ -155,10 +156,11 @@ class DoubleArray:
     check: np.ndarray
     phrase: np.ndarray
 
-    def symbols(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of every id among the words, and whether it is one."""
-        at = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
-        return at, self.words[at] == ids
+    def symbols(self, names: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every place: the index of its id among the words, and whether it is one."""
+        at = np.minimum(np.searchsorted(self.words, names), len(self.words) - 1)
+        known = self.words[at] == names
+        return np.append(0, at)[codes], np.append(False, known)[codes]
 
     def advance(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The states one word on; states and symbols are those of live positions."""
@@ -268,12 +270,10 @@ def _tries(phrases: DataFrame) -> Iterator[tuple[DoubleArray, DataFrame, bool]]:
         yield trie, spark.createDataFrame(numbered), shards == 1
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     for batch in batches:
-        langs, lists = batch.column("lang").to_pylist(), batch.column("ids")
-        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        for k, lang in enumerate(langs):
-            yield lang, flat[ends[k] : ends[k + 1]]
+        for lang, names, codes in zip(*[batch.column(c) for c in ("lang", "names", "codes")]):
+            yield lang.as_py(), np.frombuffer(names.as_buffer(), np.int64), np.frombuffer(codes.as_buffer(), np.int32)
 
 
 def _grown(shared, words: int, only: bool) -> Callable:
@@ -292,19 +292,20 @@ def _grown(shared, words: int, only: bool) -> Callable:
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, keys, following, held = shared.value, [], [], 0
-        for lang, ids in _arrays(batches):
-            if lang not in trie.roots or not len(ids):
+        for lang, names, codes in _arrays(batches):
+            if lang not in trie.roots or not len(codes):
                 continue
-            symbols, known = trie.symbols(ids)
+            symbols, known = trie.symbols(names, codes)
             *_, (places, states) = trie.levels(trie.roots[lang], symbols, known, words)
             if only:  # the next window is alive too
-                alive = np.zeros(len(ids) + 1, bool)
+                alive = np.zeros(len(codes) + 1, bool)
                 alive[places] = True
                 both = np.flatnonzero(alive[places + 1])
             else:  # a word follows
-                both = np.flatnonzero(np.append(ids, 0)[np.minimum(places + words, len(ids))])
+                both = np.flatnonzero(np.append(codes, 0)[np.minimum(places + words, len(codes))])
+            after = places[both] + words
             keys.append(trie.phrase[states[both]].astype(np.int64))
-            following.append((symbols if only else ids)[places[both] + words])
+            following.append(symbols[after] if only else names[codes[after] - 1])
             held += len(both)
             if held > FLUSH:
                 yield from tally(keys, following, trie.words)
@@ -321,9 +322,9 @@ def _counted(shared, longest: int) -> Callable:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
         total = np.zeros(len(trie.base), np.int64)
-        for lang, ids in _arrays(batches):
+        for lang, names, codes in _arrays(batches):
             if lang in trie.roots:
-                for _, states in trie.levels(trie.roots[lang], *trie.symbols(ids), longest):
+                for _, states in trie.levels(trie.roots[lang], *trie.symbols(names, codes), longest):
                     seen = np.bincount(states)
                     total[: len(seen)] += seen
         found = np.flatnonzero((total > 0) & (trie.phrase >= 0))
