@@ -97,20 +97,23 @@ def _slices(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-_ROWS = "lang string, names binary, codes binary, vocabulary array<struct<word: string, id: long, n: long>>"
+# Rows of words and rows of texts lie in one table, so that texts are read once.
+_ROWS = "lang string, word string, id long, n long, names binary, codes binary"
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+_NAMES = [part.split()[0] for part in _ROWS.split(", ")]
 
 
 def _encode(seed: int) -> Callable:
-    entry = pa.struct([("word", pa.string()), ("id", pa.int64()), ("n", pa.int64())])
+    def batch(size: int, /, **columns: list | pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in zip(_NAMES, _KINDS)], _NAMES
+        )
 
-    def row(lang: str, held: list[bytes]) -> pa.RecordBatch:
+    def row(lang: str, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         codes, words, names, n = _encoded(b"\n".join(held), seed)
-        entries = pa.StructArray.from_arrays(
-            [pa.array([w.decode() for w in words], pa.string()), pa.array(names), pa.array(n)], fields=list(entry)
-        )
-        vocabulary = pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), entries)
-        packed = [pa.array([v.tobytes()], pa.binary()) for v in (names, codes)]
-        return pa.RecordBatch.from_arrays([pa.array([lang]), *packed, vocabulary], ["lang", "names", "codes", "vocabulary"])
+        langs = [lang] * len(words)
+        yield batch(len(words), lang=langs, word=[w.decode() for w in words], id=names, n=n)
+        yield batch(1, lang=[lang], names=[names.tobytes()], codes=[codes.tobytes()])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -121,12 +124,14 @@ def _encode(seed: int) -> Callable:
                     held.setdefault(lang, []).append(part)
                     sizes[lang] = sizes.get(lang, 0) + len(part) + 1
                     if sizes[lang] >= CHUNK:
-                        yield row(lang, held.pop(lang))
+                        yield from row(lang, held.pop(lang))
                         del sizes[lang]
             if sum(sizes.values()) > HELD:
-                yield from (row(lang, some) for lang, some in held.items())
+                for lang, some in held.items():
+                    yield from row(lang, some)
                 held, sizes = {}, {}
-        yield from (row(lang, some) for lang, some in held.items())
+        for lang, some in held.items():
+            yield from row(lang, some)
 
     return encode
 
@@ -136,10 +141,10 @@ def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     for seed in count():
         rows = cut(texts.mapInArrow(_encode(seed), _ROWS), "ids")
-        words = rows.select("lang", F.explode("vocabulary").alias("w")).groupBy("lang", "w.word", "w.id").agg(F.sum("w.n").alias("n"))
+        words = rows.where("word is not null").groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
         words = cut(words, "words")
         if words.groupBy("id").agg((F.min("word") < F.max("word")).alias("two")).where("two").isEmpty():
-            return rows.select("lang", "names", "codes"), words
+            return rows.where("codes is not null").select("lang", "names", "codes"), words
 
 
 @dataclass
