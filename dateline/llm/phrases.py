@@ -359,8 +359,13 @@ def _longer(rows: DataFrame, phrases: DataFrame, words: int, least: int) -> Data
 
 
 def counted(rows: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
-    """``lang, key, a`` of ``phrases(lang, key)``: how often each occurs. Runs jobs."""
+    """``lang, key, a`` of ``phrases(lang, key)``: how often each occurs. Runs jobs.
+
+    A task sends one count a phrase, so the rows are dealt to a number of tasks that
+    follows the cores, not the input.
+    """
     found = []
+    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
     for trie, names, _ in _tries(phrases):
         shared = rows.sparkSession.sparkContext.broadcast(trie)
         sums = rows.mapInArrow(_counted(shared, longest), "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("a"))
