@@ -20,13 +20,11 @@ Null and empty texts have no words and the fingerprint zero, linked like any oth
 Rows without ``doc_id`` take part; a component of such rows alone has a null id.
 
 ``one_of_each`` filters a corpus by another rule: texts whose five-word shingles are at
-least 0.8 alike, most of which differ in more than two bits. Its fingerprints are wider and
-over sets of shingles. Of ``SEGMENTS`` segments of ``WIDTH`` bits one differs in at most one
-bit for nearly all such pairs; segments are indexed under all one-wildcard variants, and
-within a variant every pair not yet joined is compared. Links are verified, first on 512
-bits over the five-word shingles, then by the shingles of the whole texts. Not every link is
-found: a pair may differ in two or more bits of every segment, in more than ``CANDIDATE``
-bits of the first word, or in more bits of the proof than ``SLACK`` allows.
+least 0.8 alike. Such texts differ in a seventh of a fingerprint's bits, too many for any
+segment long enough to keep unlike texts apart, so one-wildcard variants cannot find them:
+candidates are found by ``BANDS`` keys, each a hash of ``BAND`` minima of the shingle set under
+different orders (two texts 0.8 alike share one with a probability of 0.9996), and judged by
+a fingerprint of ``64 * PROOF`` bits over the set, then by the shingles of the whole texts.
 """
 
 from __future__ import annotations
@@ -47,14 +45,11 @@ from dateline.session import broadcast_within, cut
 SEED = 42
 SHINGLE = 3
 BITS_APART = 2
-WIDTH = 21  # bits of a segment, three in each of the LONGS words after the first of a wide fingerprint
-LONGS = 3
-SEGMENTS = 3 * LONGS
-PROOF = 8  # words of a wide fingerprint that are over five-word shingles
-CANDIDATE = 14  # of the 64 bits of the first of them, what candidates differ in at most
-SMALL = 32  # texts of a variant that meet all pairs at once
+BANDS = 20  # keys of a text in the search for texts alike
+BAND = 5  # minima of a key
+PROOF = 8  # words of the fingerprint that judges candidates
 SIMILARITY = 0.8
-SLACK = 2.5  # standard errors that the bits of a pair as similar as asked may differ more
+SLACK = 3.0  # standard errors that the bits of a pair as similar as asked may differ more
 CHUNK = 1 << 20  # bytes of a text whose words are held at a time
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -114,21 +109,27 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     return int(_majority(counts, total)[0])
 
 
-def wide_of(text: str | None) -> np.ndarray:
-    """The fingerprint, then ``LONGS`` words over the set of three-word shingles and
-    ``PROOF`` words over that of five-word shingles: two three-word ones, two words apart.
+_ORDERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    A repeated shingle counts once in the sets, as in the similarity. Of a text of fewer
-    than five words the last part is over what shingles it has.
+
+def sketch_of(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """``(size, proof, keys)`` of the set of five-word shingles: how many there are, a
+    fingerprint of ``PROOF`` words, and ``BANDS`` keys (of an empty set: all equal).
+
+    A five-word shingle is two three-word ones, two words apart; of a text of fewer than
+    five words the set is what shingles it has.
     """
     threes = np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(_data(text), SHINGLE)])
     fives = mix(threes[:-2] * np.uint64(0x9E3779B97F4A7C15) + threes[2:]) if len(threes) > 2 else threes
-    words = [_majority(_ones(threes), len(threes))]
-    for first, n, hashes in ((0, LONGS, np.unique(threes)), (LONGS, PROOF, np.unique(fives))):
-        for k in range(first, first + n):
-            salted = mix(hashes * np.uint64(2 * k + 1) + np.uint64(k)) if k else hashes
-            words.append(_majority(_ones(salted), len(hashes)))
-    return np.concatenate(words)
+    fives = np.unique(fives)
+    proof = [_majority(_ones(mix(fives * np.uint64(2 * k + 1) + np.uint64(k))), len(fives)) for k in range(1, PROOF + 1)]
+    if not len(fives):
+        return 0, np.concatenate(proof), np.zeros(BANDS, np.uint64)
+    minima = np.fromiter(((fives * order).min() for order in _ORDERS), np.uint64, len(_ORDERS)).reshape(BANDS, BAND)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(BAND):
+        keys = mix(keys * np.uint64(0xC2B2AE3D27D4EB4F) + minima[:, k])
+    return len(fives), np.concatenate(proof), keys
 
 
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -162,13 +163,22 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     return F.arrow_udf(of, "long")(text)
 
 
-def wide_fingerprint(text: Column) -> Column:
-    """``wide_of`` as an array of signed numbers."""
+def sketch(text: Column) -> Column:
+    """``sketch_of`` as a struct of signed numbers."""
 
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_of(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
+        found = [sketch_of(t.as_py()) for t in texts]
+        words = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays(
+            [
+                pa.array([n for n, _, _ in found], pa.int64()),
+                pa.array([p.view(np.int64) for _, p, _ in found], words),
+                pa.array([k.view(np.int64) for _, _, k in found], words),
+            ],
+            ["size", "proof", "keys"],
+        )
 
-    return F.arrow_udf(of, "array<long>")(text)
+    return F.arrow_udf(of, "struct<size: long, proof: array<long>, keys: array<long>>")(text)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -201,67 +211,69 @@ def _most_bits(similarity: float, slack: float = SLACK) -> int:
     return int(n * apart + slack * np.sqrt(n * apart * (1 - apart)))
 
 
+def _near(one: str, other: str, similarity: float) -> Column:
+    """Whether two rows of ``_side`` can be alike, by their sizes and their proofs."""
+    size_a, size_b = F.col(f"size_{one}"), F.col(f"size_{other}")
+    sizes = F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)
+    bits = F.lit(0)
+    for k in range(PROOF):
+        bits = bits + F.bit_count(F.col(f"p{k}_{one}").bitwiseXOR(F.col(f"p{k}_{other}")))
+    return sizes & (bits <= _most_bits(similarity))
+
+
+def _side(entries: DataFrame, name: str) -> DataFrame:
+    """``key`` and the other columns renamed for one side of a join."""
+    return entries.select("key", *[F.col(c).alias(name if c == "node" else f"{c}_{name}") for c in entries.columns if c != "key"])
+
+
 def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: links that join the alike texts of ``nodes(node, wide)``.
+    """``a, b``: links that join the alike texts of ``nodes(node, size, proof, keys)``.
 
     ``texts(row, text)`` has the text of each node, by its number; both are written tables.
 
-    Texts that share a variant and are near are candidates. In a variant of more than
-    ``SMALL`` texts they first meet only its center, the text nearest to the majority of
-    its members' bits, and those verified are joined to components. Then all pairs of
-    every variant that are not of one component meet inside a join, as in ``links``; the
-    texts of a large variant's largest component do not meet each other. Runs jobs.
+    Texts that share a key are candidates. First each meets the smallest text of its keys
+    only, and those alike are joined to components. Then, in keys that hold several
+    components, texts of different components meet inside a join that lets only likely
+    pairs out: first each text with its nearest of every other component, then, once
+    those are joined, all that are still apart. Runs jobs.
     """
-    index = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * WIDTH - 1)))
-    value = F.expr(f"shiftrightunsigned(get(wide, 1 + i div {3 * WIDTH}), cast({WIDTH} * ((i div {WIDTH}) % 3) as int))")
-    rest = value.bitwiseAND(F.expr(f"{(1 << WIDTH) - 1}L & ~shiftleft(1L, i % {WIDTH})"))
-    entries = nodes.select("node", "wide", index.alias("i")).select(
-        "node", F.get("wide", F.lit(1)).alias("fp"), (rest + F.col("i").cast("long") * (1 << WIDTH)).cast("int").alias("key")
-    )
-    sizes = cut(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    met = cut(entries.join(sizes, "key"), "met")
-
-    def near(one: str, other: str) -> Column:
-        return F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= CANDIDATE
-
-    hot = cut(met.where(F.col("n") > SMALL), "hot")
-    votes = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))) * 2 > F.count("*") for i in range(64)]
-    vote = F.aggregate(
-        F.array(*[F.when(v, F.lit(1 << i if i < 63 else -1 << 63)).otherwise(F.lit(0)).cast("long") for i, v in enumerate(votes)]),
-        F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y),
-    )
-    voted = hot.join(broadcast_within(cut(hot.groupBy("key").agg(vote.alias("vote")), "votes"), F.lit(24)), "key")
-    least = F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("vote"))).alias("bits"), "node", "fp"))
-    centers = cut(voted.groupBy("key").agg(least.alias("c")).select("key", "c.node", "c.fp").toDF("key", "center", "of"), "centers")
-    stars = hot.join(broadcast_within(centers, F.lit(32)), "key").where("node <> center").where(near("fp", "of"))
-    pairs = stars.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-    stars = cut(_verified(pairs, nodes, texts, similarity), "stars")
-    roots = broadcast_within(cut(components(stars), "roots"), F.lit(32))
-
-    hot_rooted = hot.join(roots, "node", "left").groupBy("key", F.coalesce("root", "node").alias("root")).count()
-    largest = hot_rooted.groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
-    largest = broadcast_within(cut(largest, "largest"), F.lit(24))
-    rooted = met.join(roots, "node", "left").join(largest, "key", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = cut(rooted.select("key", "node", "fp", "root", "largest"), "rooted")
-    inside = F.col("root").eqNullSafe(F.col("largest"))
-    one = rooted.where(~inside).select("key", F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("root").alias("root_a"))
-    other = rooted.select(
-        "key", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"), inside.alias("inside")
-    )
-    pairs = one.join(other, "key").where("root_a <> root_b and (inside or a < b)").where(near("fp_a", "fp_b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return stars.unionByName(_verified(pairs, nodes, texts, similarity))
-
-
-def _verified(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``found(a, b)`` whose texts are alike, first by the proof's bits. Runs jobs."""
-    pairs = cut(found.distinct(), "candidates")
-    proof = nodes.select("node", F.slice("wide", LONGS + 2, PROOF).alias("proof"))
-    both = pairs.join(proof.toDF("a", "one"), "a").join(proof.toDF("b", "other"), "b")
-    differing = F.aggregate(
-        F.zip_with("one", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m
-    )
-    likely = cut(both.where(differing <= _most_bits(similarity)).select("a", "b"), "likely")
+    narrow = nodes.select("node", "size", "keys", *[F.get("proof", F.lit(k)).alias(f"p{k}") for k in range(PROOF)])
+
+    def entries(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode("keys").alias("key"), *[c for c in rows.columns if c != "keys"])
+
+    keyed = entries(nodes.select("node", "keys"))
+    centers = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key", "a")
+    stars = keyed.withColumnRenamed("node", "b").join(centers, "key").where("a < b").select("a", "b").distinct()
+    both = cut(stars, "stars").join(narrow.drop("keys").toDF("a", "size_a", *[f"p{k}_a" for k in range(PROOF)]), "a")
+    both = both.join(narrow.drop("keys").toDF("b", "size_b", *[f"p{k}_b" for k in range(PROOF)]), "b")
+    links = cut(_verified(both.where(_near("a", "b", similarity)).select("a", "b"), texts, similarity), "links")
+
+    judged = links
+    for nearest in (True, False):
+        rooted = narrow.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = cut(rooted, "rooted")
+        slim = entries(rooted.select("node", "keys", "root"))
+        several = slim.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        # A node takes part when one of its keys holds another component too.
+        open_keys = slim.join(several.select("key"), "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
+        open_entries = cut(entries(rooted.drop("keys").join(open_keys, "node")), "open")
+        pairs = _side(open_entries, "a").join(_side(open_entries, "b"), "key").where(F.col("root_a") < F.col("root_b"))
+        pairs = pairs.where(_near("a", "b", similarity))
+        if nearest:
+            apart = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(PROOF)), F.lit(0))
+            best = F.min(F.struct(apart.alias("bits"), "a", "b"))
+            pairs = pairs.groupBy("a", "root_b").agg(best.alias("p")).select("p.a", "p.b")
+        pairs = pairs.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti")
+        tried = cut(pairs, "tried")
+        judged = judged.unionByName(tried)
+        links = links.unionByName(cut(_verified(tried, texts, similarity), "links"))
+    return links
+
+
+def _verified(likely: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``likely(a, b)`` whose texts are alike. Runs jobs."""
+    likely = cut(likely, "likely")
     needed = likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))).distinct()
     held = cut(texts.join(broadcast_within(cut(needed, "needed"), F.lit(24)), "row"), "texts")
     one, other = held.select(F.col("row").alias("a"), F.col("text").alias("one")), held.select(
@@ -326,16 +338,15 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.select(
-        F.struct(*docs.columns).alias("doc"), wide_fingerprint(F.col("text")).alias("wide"),
-        F.unhex(F.sha2(text, 256)).alias("name"),
+        F.struct(*docs.columns).alias("doc"), sketch(F.col("text")).alias("sketch"), F.unhex(F.sha2(text, 256)).alias("name")
     )
     table = cut(marked.withColumn("row", F.monotonically_increasing_id()), "rows")
-    prints = table.select(F.col("doc.doc_id").alias("doc_id"), "wide", "name", "row")
+    prints = table.select(F.col("doc.doc_id").alias("doc_id"), "sketch", "name", "row")
     grouped = prints.groupBy("name").agg(
-        F.min("row").alias("node"), F.min("wide").alias("wide"),
+        F.min("row").alias("node"), F.min("sketch").alias("sketch"),
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"),
     )
-    nodes = cut(grouped.drop("name"), "nodes")
+    nodes = cut(grouped.select("node", "first", "sketch.*"), "nodes")
     roots = components(similar(nodes, table.select("row", F.col("doc.text").alias("text")), similarity))
     rooted = nodes.select("node", "first").join(roots, "node", "left")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
