@@ -8,8 +8,10 @@ met at placeholders, they must map consistently: one value of the item always to
 value of the document, along one alignment; windows of equal values always count.
 
 An item is found in a document when at least ``share`` of its windows are: of all, or of
-those that a template form can match. A template window needs ``LITERAL`` plain words, or
-tables of numbers would match. A run of verbatim windows of ``RUN`` words is also enough.
+those that a template form can match; in the latter case the windows found must also cover
+that share of the item's words, or ``RUN`` of them, so that the one short window of an item
+dense in numbers is no hit. A template window needs ``LITERAL`` plain words, or tables of
+numbers would match. A run of verbatim windows of ``RUN`` words is also enough.
 Items of fewer than ``WINDOW`` words are found by one plain window of their own length.
 Null and empty texts hold nothing. Rows of one ``doc_id`` with different texts are judged separately; rows
 without an id too.
@@ -179,6 +181,16 @@ def _longest_run(spots: Column) -> Column:
     return F.aggregate(F.array_sort(spots), start, step, lambda held: held["best"])
 
 
+def _covered(spots: Column, window: int) -> Column:
+    """How many words the windows that begin at these different places cover."""
+    start = F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n"))
+
+    def step(held: Column, spot: Column) -> Column:
+        return F.struct(spot.alias("last"), (held["n"] + F.least(spot - held["last"], F.lit(window))).alias("n"))
+
+    return F.aggregate(F.array_sort(spots), start, step, lambda held: held["n"])
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE,
     filter_hashes: int = FILTER_HASHES, run: int = RUN,
@@ -226,7 +238,9 @@ def leaks(
     counted = per_spot.groupBy(*pair).agg(
         F.count("*").alias("n_found"), F.count_if("same").alias("n_same"), F.max("run").alias("run"),
         F.count_if(F.col("spot.forms") > 0).alias("typed"), F.count_if(F.col("spot.forms") > 1).alias("opened"),
+        _covered(F.collect_set("spot.item_pos"), window).alias("covered"),
     )
+    wide = F.col("covered") >= F.least(F.lit(float(run)), share * (F.col("n_all") + window - 1))
 
     def reaches(n: str, of: str) -> Column:
         return (F.col(n) > 0) & (F.col(n) >= share * F.col(of))
@@ -234,7 +248,7 @@ def leaks(
     verbatim = reaches("n_same", "n_all") | (F.col("run") + window - 1 >= run)
     judged = F.when(verbatim | reaches("n_found", "n_all"), F.struct(F.col("n_all").cast("long").alias("n"), F.col("n_found").alias("k")))
     for form in ("typed", "opened"):
-        judged = judged.when(reaches(form, f"n_{form}"), F.struct(F.col(f"n_{form}").alias("n"), F.col(form).alias("k")))
+        judged = judged.when(wide & reaches(form, f"n_{form}"), F.struct(F.col(f"n_{form}").alias("n"), F.col(form).alias("k")))
     hit = counted.withColumn("judged", judged).where("judged is not null")
     kind = F.when(verbatim, "verbatim").otherwise("reparameterised")
     return hit.select(

@@ -30,6 +30,7 @@ from dateline.session import cut
 LEAST = 100
 FILE_BYTES = 1 << 30  # an archive is closed beyond this size
 GAP, SPAN = 64 << 10, 8 << 20  # bytes skipped between neighbours, bytes of one request
+SHARE = 16 << 20  # bytes of archive that a task reads, about
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -147,7 +148,7 @@ def _reader(gap: int, span: int):
             got = parsed(data[at : at + row["length"]])
             out.append(
                 {
-                    "page_id": row["page_id"], "url": got["WARC-Target-URI"], "record_id": got["WARC-Record-ID"],
+                    "page_id": row["page_id"], "url": row["url"], "record_id": got["WARC-Record-ID"],
                     "record_type": got["WARC-Type"], "refers_to": row["refers_to"],
                     "refers_to_record": got.get("WARC-Refers-To"),
                     "digest": got["WARC-Payload-Digest"].removeprefix("sha256:"), "payload": got["payload"],
@@ -180,11 +181,16 @@ _RECORD_SCHEMA = pa.schema(
 )
 
 
-def read_records(index: DataFrame, gap: int = GAP, span: int = SPAN) -> DataFrame:
-    """The records of the given index rows, each checked; revisits have a null payload."""
-    wanted = index.select("file", "offset", "length", "page_id", "refers_to")
-    ordered = wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInArrow(_reader(gap, span), RECORD)
+def read_records(index: DataFrame, gap: int = GAP, span: int = SPAN, share: int = SHARE) -> DataFrame:
+    """The records of the given index rows, each checked; revisits have a null payload.
+
+    A task reads about ``share`` bytes of archive: index rows are few bytes, so their
+    number of partitions is set by the bytes they name. Runs a job over the index.
+    """
+    wanted = index.select("file", "offset", "length", "page_id", "url", "refers_to")
+    named = wanted.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    ordered = wanted.repartitionByRange(max(1, -(-named // share)), "file", "offset")
+    return ordered.sortWithinPartitions("file", "offset").mapInArrow(_reader(gap, span), RECORD)
 
 
 def described(records: DataFrame) -> DataFrame:

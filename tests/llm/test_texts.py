@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -305,3 +306,29 @@ def test_long_words_and_pieces():
     parts = [w for _, _, w in words.pieces(texts)]
     assert [p.text(i).decode() for p in parts for i in range(len(p.start))] == ["é" * 10, "a", "b", "3.5,7", "x", "longword" * 5]
     assert pa.array(parts[0].hashes()).null_count == 0
+
+
+def found_kinds(spark, texts, items):
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    return {(r["doc_id"], r["kind"]) for r in decontaminate.leaks(docs, items).collect()}
+
+
+def test_one_short_window_of_a_dense_item_is_no_hit(spark):
+    items = spark.createDataFrame([(1, "12 15 18 21 24 27 30 33 36 39 42 45 in the box")], "item_id long, text string")
+    texts = [
+        (1, "There were 7 8 in the box when we came home, and 9 of them were green."),
+        (2, "Somebody wrote 12 15 18 21 24 27 30 33 36 39 42 45 in the box of the form."),
+    ]
+    assert found_kinds(spark, texts, items) == {(2, "verbatim")}
+
+
+def test_reading_tasks_follow_archive_bytes(spark, tmp_path):
+    draw = random.Random(3)
+    pages = [(k, f"http://a.test/é {k}", "".join(draw.choices("abcdefghijklmnop", k=4000))) for k in range(200)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    index = warc.write_archives(table, f"{tmp_path}/w")
+    named = sum(r["length"] for r in index.collect())
+    records = warc.read_records(index, share=named // 8)
+    per_task = Counter(r["t"] for r in records.select(F.spark_partition_id().alias("t")).collect())
+    assert 6 <= len(per_task) <= 9 and max(per_task.values()) < 60
+    assert {(r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in records.collect()} == set(pages)
