@@ -9,7 +9,7 @@ value of the document, along one alignment; windows of equal values always count
 
 An item is found in a document when at least ``share`` of its windows are: of all, or of
 those that a template form can match; in the latter case the windows found must also cover
-that share of the item's words, or ``RUN`` of them, so that the one short window of an item
+that share of the item's words, or two windows' length, so that the one short window of an item
 dense in numbers is no hit. A template window needs ``LITERAL`` plain words, or tables of
 numbers would match. A run of verbatim windows of ``RUN`` words is also enough.
 Items of fewer than ``WINDOW`` words are found by one plain window of their own length.
@@ -240,7 +240,7 @@ def leaks(
         F.count_if(F.col("spot.forms") > 0).alias("typed"), F.count_if(F.col("spot.forms") > 1).alias("opened"),
         _covered(F.collect_set("spot.item_pos"), window).alias("covered"),
     )
-    wide = F.col("covered") >= F.least(F.lit(float(run)), share * (F.col("n_all") + window - 1))
+    wide = F.col("covered") >= F.least(F.lit(2.0 * window), share * (F.col("n_all") + window - 1))
 
     def reaches(n: str, of: str) -> Column:
         return (F.col(n) > 0) & (F.col(n) >= share * F.col(of))
