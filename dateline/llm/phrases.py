@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
+from dateline.llm.batches import rows_per_batch
 from dateline.session import cut
 
 LEAST = 100  # occurrences of a candidate
@@ -51,6 +52,7 @@ SHARD = 1_000_000  # phrases of a trie at most
 CHUNK = 1 << 20  # bytes of text that become a row
 HELD = 16 * CHUNK  # bytes held for all languages together
 FLUSH = 1 << 19  # windows counted before they leave a task
+TEXTS, ROWS = 512, 8  # texts, and rows of codes, that go to Python at a time
 SENT = 1 << 16  # rows that leave a task at a time
 WINDOW = 256  # children of a state, and the room of a large one
 WIDE = 16  # children from which a state gets a room of its own
@@ -140,7 +142,8 @@ def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows(lang, names, codes), words(lang, word, id, n))``, ids without collisions. Runs jobs."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     for seed in count():
-        rows = cut(texts.mapInArrow(_encode(seed), _ROWS), "ids")
+        with rows_per_batch(docs.sparkSession, TEXTS):
+            rows = cut(texts.mapInArrow(_encode(seed), _ROWS), "ids")
         words = rows.where("word is not null").groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
         words = cut(words, "words")
         if words.groupBy("id").agg((F.min("word") < F.max("word")).alias("two")).where("two").isEmpty():
@@ -353,7 +356,8 @@ def _longer(rows: DataFrame, phrases: DataFrame, words: int, least: int) -> Data
         counts = rows.mapInArrow(_grown(shared, words, only), "phrase long, last long, n long")
         enough = counts.groupBy("phrase", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         key = F.concat("key", _key(F.col("last"))).alias("key")
-        found.append(cut(enough.join(names, "phrase").select("lang", key), "grown"))
+        with rows_per_batch(rows.sparkSession, ROWS):
+            found.append(cut(enough.join(names, "phrase").select("lang", key), "grown"))
         shared.unpersist()
     return reduce(DataFrame.unionByName, found) if found else phrases.limit(0)
 
@@ -369,7 +373,8 @@ def counted(rows: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
     for trie, names, _ in _tries(phrases):
         shared = rows.sparkSession.sparkContext.broadcast(trie)
         sums = rows.mapInArrow(_counted(shared, longest), "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("a"))
-        found.append(cut(sums.join(names, "phrase").select("lang", "key", "a"), "counts"))
+        with rows_per_batch(rows.sparkSession, ROWS):
+            found.append(cut(sums.join(names, "phrase").select("lang", "key", "a"), "counts"))
         shared.unpersist()
     return reduce(DataFrame.unionByName, found) if found else phrases.withColumn("a", F.lit(0).cast("long")).limit(0)
 

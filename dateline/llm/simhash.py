@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from dateline.llm.batches import rows_per_batch
 from dateline.llm.words import mix
 from dateline.session import broadcast_within, cut
 
@@ -50,6 +51,7 @@ BAND = 5  # minima of a key
 PROOF = 8  # words of the fingerprint that judges candidates
 SIMILARITY = 0.8
 SLACK = 3.0  # standard errors that the bits of a pair as similar as asked may differ more
+TEXTS = 512  # texts, or pairs of them, that go to Python at a time
 CHUNK = 1 << 20  # bytes of a text whose words are held at a time
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -336,18 +338,19 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     text is a node, named by its smallest row number. Rows are numbered in a table written
     to the shared folder, so that of repeated rows just one stays. Runs jobs.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.select(
-        F.struct(*docs.columns).alias("doc"), sketch(F.col("text")).alias("sketch"), F.unhex(F.sha2(text, 256)).alias("name")
-    )
-    table = cut(marked.withColumn("row", F.monotonically_increasing_id()), "rows")
-    prints = table.select(F.col("doc.doc_id").alias("doc_id"), "sketch", "name", "row")
-    grouped = prints.groupBy("name").agg(
-        F.min("row").alias("node"), F.min("sketch").alias("sketch"),
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"),
-    )
-    nodes = cut(grouped.select("node", "first", "sketch.*"), "nodes")
-    roots = components(similar(nodes, table.select("row", F.col("doc.text").alias("text")), similarity))
+    with rows_per_batch(docs.sparkSession, TEXTS):
+        text = F.coalesce(F.col("text"), F.lit(""))
+        marked = docs.select(
+            F.struct(*docs.columns).alias("doc"), sketch(F.col("text")).alias("sketch"), F.unhex(F.sha2(text, 256)).alias("name")
+        )
+        table = cut(marked.withColumn("row", F.monotonically_increasing_id()), "rows")
+        prints = table.select(F.col("doc.doc_id").alias("doc_id"), "sketch", "name", "row")
+        grouped = prints.groupBy("name").agg(
+            F.min("row").alias("node"), F.min("sketch").alias("sketch"),
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"),
+        )
+        nodes = cut(grouped.select("node", "first", "sketch.*"), "nodes")
+        roots = components(similar(nodes, table.select("row", F.col("doc.text").alias("text")), similarity))
     rooted = nodes.select("node", "first").join(roots, "node", "left")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     gone = cut(prints.select("row").join(kept.select("first.row"), "row", "left_anti"), "gone")
