@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dateline.functions.vectors import cosine, unit
 from dateline.operators.embed import mean_pool
 from dateline.operators.ranking import first_per_group
-from dateline.session import broadcast_within
+from dateline.session import broadcast_within, cut
 
 SEED = 42
 
@@ -49,8 +49,8 @@ def kmeans_topics(
 
 
 def cluster_members(vectors: DataFrame, cluster: str, vector: str = "vector") -> DataFrame:
-    """Each row with its cluster's ``size`` and its cosine ``distance`` to the mean."""
-    means = mean_pool(vectors, cluster, vector).withColumnRenamed("n", "size")
+    """Each row with its cluster's ``size`` and its cosine ``distance`` to the mean. Runs a job."""
+    means = cut(mean_pool(vectors, cluster, vector).withColumnRenamed("n", "size"), "means")
     means = broadcast_within(means, F.size("mean") * 8 + 32)
     return vectors.join(means, cluster).withColumn(
         "distance", 1 - cosine(F.col(vector), F.col("mean"))

@@ -44,6 +44,7 @@ def border_edges(features: DataFrame, radius: float) -> DataFrame:
     following = F.get(F.col("ring"), (F.col("edge") + 1) % n)
     vertices = outer_rings(features).select("*", F.posexplode("ring").alias("edge", "a"))
     edges = vertices.select(
+        "file",
         "feature_idx",
         "part",
         "edge",

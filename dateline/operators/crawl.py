@@ -27,8 +27,9 @@ def frontier(links: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """Pages reached from ``roots(site, url)`` over ``links(site, src, dst)``.
 
     Returns ``(site, url, depth)`` with the least depth, levels 0 to ``max_depth``.
-    Each round joins only the newest level and runs one job.
+    The links are written once; each round joins only the newest level and runs one job.
     """
+    links = cut(links.select("site", "src", "dst"), "links")
     level = cut(roots.select("site", "url").distinct().withColumn("depth", F.lit(0)), "level")
     reached = level
     for depth in range(1, max_depth + 1):

@@ -94,6 +94,7 @@ class _Tree:
 
     def __init__(self) -> None:
         self.parent: list[int] = []
+        self.last: list[int] = []
         self.tag: list[str] = []
         self.attrs: list[list[tuple[str, str]]] = []
         self.lo: list[int] = []
@@ -129,6 +130,7 @@ class _Tree:
             self._gap()
         index = len(self.tag)
         self.parent.append(self.open[-1] if self.open else -1)
+        self.last.append(index)
         self.tag.append(tag)
         self.attrs.append(attrs)
         self.lo.append(self.size)
@@ -146,6 +148,7 @@ class _Tree:
         index = self.open.pop()
         self.after_block.pop()
         self.hi[index] = self.size
+        self.last[index] = len(self.tag) - 1
         tag = self.tag[index]
         self.preserving -= tag in PRESERVED
         self.count[tag] -= 1
@@ -276,6 +279,7 @@ def _dom(html: pa.Array) -> pa.Array:
     texts: list[str | None] = []
     el_ends, attr_ends = [0], [0]
     parent: list[int] = []
+    last: list[int] = []
     tag: list[str] = []
     lo: list[int] = []
     hi: list[int] = []
@@ -285,6 +289,7 @@ def _dom(html: pa.Array) -> pa.Array:
         tree = read_tree(page)
         texts.append("".join(tree.chunks))
         parent += tree.parent
+        last += tree.last
         tag += tree.tag
         lo += tree.lo
         hi += tree.hi
@@ -301,12 +306,13 @@ def _dom(html: pa.Array) -> pa.Array:
     elements = pa.StructArray.from_arrays(
         [
             pa.array(parent, pa.int32()),
+            pa.array(last, pa.int32()),
             pa.array(tag, pa.string()),
             attrs,
             pa.array(lo, pa.int32()),
             pa.array(hi, pa.int32()),
         ],
-        names=["parent", "tag", "attrs", "lo", "hi"],
+        names=["parent", "last", "tag", "attrs", "lo", "hi"],
     )
     return pa.StructArray.from_arrays(
         [

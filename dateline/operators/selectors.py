@@ -2,8 +2,14 @@
 
 Supported: ``tag``, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]``, ``[a!=v]``,
 ``[a^=v]``, ``[a$=v]``, ``[a*=v]``, ``[a~=regex]`` (values quoted or not), several of
-them on one element, and child chains ``x > y``. Anything else is refused: ``css``
-raises, ``compiled`` gives null.
+them on one element, children ``x > y``, descendants ``x y``, chains of both, and groups
+``x, y`` of such chains. Anything else is refused: ``css`` raises, ``compiled`` gives null.
+
+A chain is cut at its descents into links of child steps. A link's elements are found by
+climbing from the innermost step. What lies below the elements of the link before is read
+off their intervals, ``idx`` to ``last``: the outermost ones are disjoint and in document
+order, so the elements below them are visited once, and an element's chain lies below
+exactly when its top comes after the outermost element. Groups are a union in document order.
 
 A literal selector becomes plain Column tests. A column of selectors, joined in from
 a site table, is compiled to rows of steps and matched by the same tests as data.
@@ -21,7 +27,7 @@ from pyspark.sql import types as T
 
 from dateline.functions.text import java_trim
 from dateline.operators.markup import element_text
-from dateline.schemas import STEP
+from dateline.schemas import SELECTOR
 
 _BRACKET = re.compile(
     r"\[\s*([A-Za-z_][\w:.-]*)\s*"
@@ -30,9 +36,12 @@ _BRACKET = re.compile(
 _NAME = re.compile(r"[.#]([\w-]+)")
 _TAG = re.compile(r"[A-Za-z][\w-]*|\*")
 _CHILD = re.compile(r"\s*>\s*")
+_GROUP = re.compile(r"\s*,\s*")
+_BELOW = re.compile(r"\s+")
 
 Pred = tuple[str, str, str]
 Step = tuple[str | None, list[Pred]]
+Link = list[Step]
 
 
 def _bracket(attr: str, op: str | None, value: str | None) -> Pred:
@@ -47,16 +56,17 @@ def _bracket(attr: str, op: str | None, value: str | None) -> Pred:
     return attr.lower(), op, value if quoted and op in ("^=", "$=") else value.strip()
 
 
-def parse_selector(selector: str) -> list[Step] | None:
-    """Steps from the outermost element to the matched one; None when unsupported."""
+def parse_selector(selector: str) -> list[list[Link]] | None:
+    """Groups of links of steps, from the outermost element inwards; None when unsupported."""
     try:
         return _parsed(selector)
     except re.error:
         return None
 
 
-def _parsed(selector: str) -> list[Step] | None:
-    text, at, steps = selector.strip(), 0, []
+def _parsed(selector: str) -> list[list[Link]] | None:
+    text, at = selector.strip(), 0
+    groups: list[list[Link]] = [[[]]]
     while True:
         start = at
         tag = None
@@ -73,47 +83,45 @@ def _parsed(selector: str) -> list[Step] | None:
             at = found.end()
         if at == start:
             return None
-        steps.append((None if tag == "*" else tag, preds))
+        groups[-1][-1].append((None if tag == "*" else tag, preds))
         if at == len(text):
-            return steps
-        found = _CHILD.match(text, at)
-        if not found:
-            return None
+            return groups
+        if found := _GROUP.match(text, at):
+            groups.append([[]])
+        elif not (found := _CHILD.match(text, at)):
+            if not (found := _BELOW.match(text, at)):
+                return None
+            groups[-1].append([])
         at = found.end()
 
 
-_STEPS = pa.list_(
-    pa.struct(
-        [
-            ("tag", pa.string()),
-            (
-                "preds",
-                pa.list_(pa.struct([(name, pa.string()) for name in ("attr", "op", "value")])),
-            ),
-        ]
-    )
-)
+_PREDS = pa.list_(pa.struct([(name, pa.string()) for name in ("attr", "op", "value")]))
+_LINKS = pa.list_(pa.list_(pa.struct([("tag", pa.string()), ("preds", _PREDS)])))
 
 
-def _step_rows(selector: str | None) -> list[dict] | None:
-    steps = parse_selector(selector) if selector is not None else None
-    return steps and [
+def _link_rows(link: Link) -> list[dict]:
+    return [
         {"tag": tag, "preds": [{"attr": a, "op": op, "value": v} for a, op, v in preds]}
-        for tag, preds in steps
+        for tag, preds in link
     ]
 
 
-@F.arrow_udf(T.ArrayType(T.ArrayType(STEP)))
+def _selector_rows(selector: str | None) -> list[list[list[dict]]] | None:
+    groups = parse_selector(selector) if selector is not None else None
+    return groups and [[_link_rows(link) for link in links] for links in groups]
+
+
+@F.arrow_udf(T.ArrayType(SELECTOR))
 def _compile(selectors: pa.Array) -> pa.Array:
     rows = [
-        None if texts is None else [_step_rows(text) for text in texts]
+        None if texts is None else [_selector_rows(text) for text in texts]
         for texts in selectors.to_pylist()
     ]
-    return pa.array(rows, pa.list_(_STEPS))
+    return pa.array(rows, pa.list_(pa.list_(_LINKS)))
 
 
 def compiled(selectors: Column) -> Column:
-    """An array of selectors to an array of steps; meant for a site table."""
+    """An array of selectors to an array of what ``schemas.SELECTOR`` holds; meant for a site table."""
     return _compile(selectors)
 
 
@@ -121,14 +129,14 @@ def compiled(selectors: Column) -> Column:
 class Css:
     """A literal selector, already parsed."""
 
-    steps: list[Step]
+    groups: list[list[Link]]
 
 
 def css(selector: str) -> Css:
-    steps = parse_selector(selector)
-    if steps is None:
+    groups = parse_selector(selector)
+    if groups is None:
         raise ValueError(f"unsupported selector: {selector!r}")
-    return Css(steps)
+    return Css(groups)
 
 
 def _value(element: Column, name: Column | str) -> Column:
@@ -168,60 +176,116 @@ def _fits(element: Column, step: Column | Step) -> Column:
     return result
 
 
-def _chain_holds(els: Column, element: Column, steps: Column | Css) -> Column:
-    """The parents fit the steps before the last one."""
-    if isinstance(steps, Css):
-        result, at = F.lit(True), element["parent"]
-        for step in reversed(steps.steps[:-1]):
+def _top(els: Column, index: Column, link: Column | Link) -> Column:
+    """Where a link that ends at this element begins, -2 when it does not hold."""
+    if isinstance(link, list):
+        element = F.get(els, index)
+        result, at, holds = index, element["parent"], _fits(element, link[-1])
+        for step in reversed(link[:-1]):
             above = F.get(els, at)
-            result, at = result & (at >= 0) & _fits(above, step), above["parent"]
-        return result
-    before = F.reverse(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))))
+            holds = holds & (at >= 0) & _fits(above, step)
+            result, at = at, above["parent"]
+        return F.when(holds, result).otherwise(-2)
+    before = F.reverse(F.slice(link, 1, F.greatest(F.size(link) - 1, F.lit(0))))
     # Climb from the element towards the root; -2 means a step failed.
-    top = F.aggregate(
+    climbed = F.aggregate(
         before,
-        element["parent"],
+        index,
         lambda at, step: F.when(
-            (at >= 0) & _fits(F.get(els, at), step), F.get(els, at)["parent"]
+            (at >= 0) & (F.get(els, at)["parent"] >= 0) & _fits(F.get(els, F.get(els, at)["parent"]), step),
+            F.get(els, at)["parent"],
         ).otherwise(-2),
     )
-    return top > -2
+    return F.when(_fits(F.get(els, index), F.element_at(link, -1)), climbed).otherwise(-2)
 
 
-def matched(dom: Column, steps: Column | Css) -> Column:
-    """Indexes of the selected elements, in document order."""
-    els = dom["els"]
-    last = steps.steps[-1] if isinstance(steps, Css) else F.element_at(steps, -1)
+_NONE = "cast(array() as array<int>)"
 
-    def test(index: Column) -> Column:
-        element = F.get(els, index)
-        return F.when(_fits(element, last), _chain_holds(els, element, steps)).otherwise(False)
 
-    none = F.expr("cast(array() as array<int>)")
-    return F.when(F.size(els) > 0, F.filter(F.sequence(F.lit(0), F.size(els) - 1), test)).otherwise(
-        none
+def _last(els: Column, index: Column) -> Column:
+    return F.get(els, index)["last"]
+
+
+def _outermost(els: Column, found: Column) -> Column:
+    """Those of the elements, in document order, that lie below no other of them.
+
+    Beginnings and ends are sorted together; the place of a beginning tells how many
+    elements begun before it have ended, so whether one is still open.
+    """
+    marks = F.array_sort(
+        F.concat(
+            F.transform(found, lambda e, k: F.struct(e.alias("at"), F.lit(0).alias("end"), k.alias("k"))),
+            F.transform(found, lambda e, k: F.struct(_last(els, e).alias("at"), F.lit(1).alias("end"), k.alias("k"))),
+        )
+    )
+    placed = F.transform(marks, lambda m, at: F.struct(m["at"].alias("at"), m["end"].alias("end"), (2 * m["k"] - at).alias("open")))
+    return F.transform(F.filter(placed, lambda m: (m["end"] == 0) & (m["open"] == 0)), lambda m: m["at"])
+
+
+def _first_link(els: Column, link: Column | Link) -> Column:
+    everything = F.sequence(F.lit(0), F.size(els) - 1)
+    return F.when(F.size(els) > 0, F.filter(everything, lambda i: _top(els, i, link) >= 0)).otherwise(F.expr(_NONE))
+
+
+def _below(els: Column, found: Column, link: Column | Link) -> Column:
+    """Elements at which the link ends, all of it below the elements found before."""
+
+    def within(e: Column) -> Column:
+        inside = F.sequence(e + 1, _last(els, e))
+        return F.when(_last(els, e) > e, F.filter(inside, lambda i: _top(els, i, link) > e)).otherwise(F.expr(_NONE))
+
+    return F.flatten(F.transform(_outermost(els, found), within))
+
+
+def _chain(els: Column, links: Column | list[Link]) -> Column:
+    """Indexes of the elements one group selects, in document order."""
+    if isinstance(links, list):
+        found = _first_link(els, links[0])
+        for link in links[1:]:
+            found = _below(els, found, link)
+        return found
+    first = _first_link(els, F.get(links, F.lit(0)))
+    rest = F.slice(links, 2, F.greatest(F.size(links) - 1, F.lit(0)))
+    return F.when(F.size(links) == 1, first).otherwise(
+        F.aggregate(rest, first, lambda found, link: _below(els, found, link))
+    )
+
+
+def _union(several: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(several)))
+
+
+def matched(dom: Column, selector: Column | Css) -> Column:
+    """Indexes of the selected elements, in document order."""
+    els = dom["els"]
+    if isinstance(selector, Css):
+        groups = [_chain(els, links) for links in selector.groups]
+        return groups[0] if len(groups) == 1 else _union(F.array(*groups))
+    only = F.size(selector) == 1
+    return F.when(only, _chain(els, F.get(selector, F.lit(0)))).otherwise(
+        _union(F.transform(selector, lambda links: _chain(els, links)))
     )
 
 
-def select_texts(dom: Column, steps: Column | Css) -> Column:
+def select_texts(dom: Column, selector: Column | Css) -> Column:
     """Texts of all selected elements."""
-    return F.transform(matched(dom, steps), lambda i: element_text(dom, F.get(dom["els"], i)))
+    return F.transform(matched(dom, selector), lambda i: element_text(dom, F.get(dom["els"], i)))
 
 
-def select_text(dom: Column, steps: Column | Css) -> Column:
+def select_text(dom: Column, selector: Column | Css) -> Column:
     """Texts of all selected elements joined by one blank."""
-    return F.array_join(F.filter(select_texts(dom, steps), lambda t: t != ""), " ")
+    return F.array_join(F.filter(select_texts(dom, selector), lambda t: t != ""), " ")
 
 
-def select_first(dom: Column, steps: Column | Css) -> Column:
+def select_first(dom: Column, selector: Column | Css) -> Column:
     """The first selected element, null when nothing is selected."""
-    return F.get(dom["els"], F.get(matched(dom, steps), 0))
+    return F.get(dom["els"], F.get(matched(dom, selector), 0))
 
 
-def select_attr(dom: Column, steps: Column | Css, name: str) -> Column:
+def select_attr(dom: Column, selector: Column | Css, name: str) -> Column:
     """``(elem_idx, value)`` of an attribute over the selected elements; null if absent."""
     return F.transform(
-        matched(dom, steps),
+        matched(dom, selector),
         lambda i: F.struct(
             i.alias("elem_idx"), _value(F.get(dom["els"], i), name).alias("value")
         ),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from dateline.functions.text import article_id, display_name, embedding_id, file_suffix, time_text
 from dateline.operators.articles import headline_view, latest, live
 from dateline.plans import inputs
+from dateline.schemas import ARTICLE
 from dateline.session import scratch_path
 from dateline.sources.articles import (
     read_articles,
@@ -137,13 +139,18 @@ def stream_articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Written as JSON lines, read back as the loader does (blank bodies drop out)."""
-    path = scratch_path(spark, "jsonl")
-    rows = _articles(spark, folder)
-    write_jsonl(rows.withColumn("title", F.when(F.col("doc_id") % 7 != 0, F.col("title"))), path, ("source",))
-    # The sink's files end in .json; the loader reads any name given by its pattern.
-    lines = read_articles(spark, [path])
-    return lines.select("id", "title", "crawledAt", F.sha2("body", 256).alias("body_hash"), F.size("attrs").alias("n_attrs"))
+    """Written as JSON lines, read back as the loader does (blank bodies drop out), beside
+    files with repeated, blank and malformed lines."""
+    path, other = scratch_path(spark, "jsonl"), scratch_path(spark, "lines")
+    rows = _articles(spark, folder).withColumn("title", F.when(F.col("doc_id") % 7 != 0, F.col("title")))
+    write_jsonl(rows, path, ("source",))
+    line = F.to_json(F.struct(*[c for c in ARTICLE.fieldNames() if c != "source"]), {"ignoreNullFields": "false"})
+    kind = F.col("doc_id") % 5
+    lines = F.when(kind == 0, line).when(kind == 1, F.lit(" \t")).when(kind == 2, F.substring(line, 1, 40))
+    rows.where("doc_id % 5 < 3").select(lines.alias("value")).write.option("compression", "none").text(other)
+    # The sinks' files end in .json and .txt; the loader reads any name given by its pattern.
+    read = read_articles(spark, path).unionByName(read_articles(spark, other, suffix="*.txt"))
+    return read.select("id", "title", "crawledAt", F.sha2("body", 256).alias("body_hash"), F.size("attrs").alias("n_attrs"))
 
 
 def parquet_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,8 +166,9 @@ def parquet_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 def json_by_id_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "by-id")
     write_json_by_id(_articles(spark, folder), path)
-    back = spark.read.schema("id string, title string, prefix string").json(path)
-    return back.groupBy("prefix").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    back = spark.read.schema(StructType([*ARTICLE.fields, StructField("prefix", StringType())])).json(path)
+    body = F.sha2("body", 256).alias("body_hash")
+    return back.select("prefix", "id", "url", "title", body, "source", "publishTime", "crawledAt")
 
 
 QUERIES = {
@@ -236,9 +244,10 @@ FROM documents""",
     "jsonl_roundtrip": f"""
 WITH {_ART}
 SELECT id, CASE WHEN doc_id % 7 <> 0 THEN title END AS title, "crawledAt", sha256(body) AS body_hash,
-       5 AS n_attrs FROM cleaned""",
+       5 AS n_attrs FROM cleaned, range(2) copies(k) WHERE k = 0 OR doc_id % 5 = 0""",
     "parquet_roundtrip": f"""
 WITH {_ART} SELECT id, url, source, "crawledAt" FROM articles WHERE source IN ('src1', 'src2', 'src3')""",
     "json_by_id_roundtrip": f"""
-WITH {_ART} SELECT substr(id, 1, 2) AS prefix, count(*) AS n, min(id) AS first_id FROM articles GROUP BY 1""",
+WITH {_ART} SELECT substr(id, 1, 2) AS prefix, id, url, title, sha256(body) AS body_hash, source, "publishTime", "crawledAt"
+FROM articles""",
 }

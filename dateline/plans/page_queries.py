@@ -10,9 +10,9 @@ from dateline.operators import crawl as walks
 from dateline.operators.extract import explode_links, parse_articles, with_links
 from dateline.operators.markup import elements, with_dom
 from dateline.operators.ranking import first_per_group
-from dateline.operators.selectors import css, matched
+from dateline.operators.selectors import compiled, css, matched
 from dateline.plans import inputs
-from dateline.session import cut, scratch_path, spread
+from dateline.session import broadcast_within, cut, scratch_path, spread
 from dateline.sources.configs import read_site_configs, site_table
 from dateline.sources.pages import failed
 from dateline.sources.robots import allowed, robots_rules
@@ -29,6 +29,10 @@ FORMS = {
     "chain": "html > body > article > p",
     "links": TOPICS,
     "class": "div.ad",
+    "descendant": "article b",
+    "group": "h1, li",
+    "mixed": "body nav > ul li a[href]",
+    "overlap": "p, article > p, nav a",
 }
 
 
@@ -95,20 +99,29 @@ def site_article_cap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def selector_match(spark: SparkSession, folder: str) -> DataFrame:
-    pages = with_dom(inputs.pages(spark, folder))
+    """How many elements each form selects, as a literal and as data joined in by host."""
+    pages = inputs.pages(spark, folder).withColumn("host", host_of(F.col("url")))
+    texts = F.array(*[F.lit(text) for text in FORMS.values()])
+    by_host = cut(inputs.hosts(pages).select("host", compiled(texts).alias("selectors")), "selectors")
+    size = F.lit(256 * len(FORMS))
+    keyed = with_dom(pages.join(broadcast_within(by_host, size), "host"))
+    dom = F.col("dom")
     counts = F.array(
         *[
-            F.struct(F.lit(form).alias("form"), F.size(matched(F.col("dom"), css(text))).cast("long").alias("n"))
-            for form, text in FORMS.items()
+            F.struct(
+                F.lit(form).alias("form"),
+                F.size(matched(dom, css(text))).cast("long").alias("n"),
+                F.size(matched(dom, F.get("selectors", F.lit(k)))).cast("long").alias("n_data"),
+            )
+            for k, (form, text) in enumerate(FORMS.items())
         ]
     )
-    return pages.select("page_id", F.inline(counts))
+    return keyed.select("page_id", F.inline(counts))
 
 
 def element_counts(spark: SparkSession, folder: str) -> DataFrame:
     rows = elements(with_dom(inputs.pages(spark, folder)), "page_id")
-    # All tags but b: unclosed, it goes on in later blocks, which SQL cannot restate.
-    return rows.where("tag <> 'b'").groupBy("page_id", "tag").agg(
+    return rows.groupBy("page_id", "tag").agg(
         F.count("*").alias("n"), F.count_if(F.size("attrs") > 0).alias("n_attrs")
     )
 
@@ -261,6 +274,14 @@ def _count(pattern: str) -> str:
     return f"len(regexp_extract_all(html, '{pattern}'))"
 
 
+# An unclosed b goes on in every later block that holds text, three of them at most: of a
+# paragraph's elements the b opened before it, and its own.
+_OPENED = "regexp_extract_all(html, '<p>|<b>')"
+_ALL_B = "len(list_filter(marks, lambda m: m = '<b>'))"
+_ARTICLE_B = """coalesce(list_sum(list_transform(marks, lambda m, i: CASE WHEN m = '<b>' THEN 1
+    ELSE least(len(list_filter(marks[1:i - 1], lambda x: x = '<b>')), 3) END)), 0)::BIGINT"""
+
+
 SQL = {
     "page_articles": f"""
 SELECT sha256(url) AS id, url, {_TITLE} AS title, {_BODY} AS body, {_HOST} AS source,
@@ -297,6 +318,8 @@ SELECT * FROM (
   SELECT host AS site, row_number() OVER (PARTITION BY host ORDER BY url, pos, dst)::INTEGER AS rank, url AS src, dst
   FROM firsts WHERE k = 1) WHERE rank <= 5""",
     "selector_match": f"""
+WITH marked AS (SELECT page_id, html, {_OPENED} AS marks FROM pages),
+counted AS (
 SELECT page_id, unnest([
   {{'form': 'tag', 'n': {_count('<li>')}}},
   {{'form': 'has', 'n': {_count('<meta charset=')}}},
@@ -307,12 +330,20 @@ SELECT page_id, unnest([
   {{'form': 'several', 'n': {_count('<a href="/[tT][^"]*[eE]')}}},
   {{'form': 'chain', 'n': {_count('<p>')}}},
   {{'form': 'links', 'n': {_count('<a href="')}}},
-  {{'form': 'class', 'n': {_count('<div class="ad">')}}}], recursive := true)
-FROM pages""",
-    "element_counts": """
-WITH opened AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]')) AS m FROM pages)
+  {{'form': 'class', 'n': {_count('<div class="ad">')}}},
+  {{'form': 'descendant', 'n': {_ARTICLE_B}}},
+  {{'form': 'group', 'n': {_count('<h1>')} + {_count('<li>')}}},
+  {{'form': 'mixed', 'n': {_count('<a href="')}}},
+  {{'form': 'overlap', 'n': {_count('<p>')} + {_count('<a href="')}}}], recursive := true)
+FROM marked)
+SELECT page_id, form, n, n AS n_data FROM counted""",
+    "element_counts": f"""
+WITH opened AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]')) AS m FROM pages),
+marked AS (SELECT page_id, {_OPENED} AS marks FROM pages)
 SELECT page_id, m[2:-2] AS tag, count(*) AS n, count(*) FILTER (m[-1] = ' ') AS n_attrs FROM opened
-WHERE m[2:-2] <> 'b' GROUP BY ALL""",
+WHERE m[2:-2] <> 'b' GROUP BY ALL
+UNION ALL
+SELECT page_id, 'b', {_ARTICLE_B} + least({_ALL_B}, 3), 0 FROM marked WHERE {_ALL_B} > 0""",
     "robots_allowed": f"""
 WITH {_LINKS}
 SELECT page_id, dst, CASE

@@ -20,6 +20,12 @@ from dateline.session import scratch_path
 from dateline.sources.geojson import read_features
 
 ORDER = ("timestamp", "event_id")
+#: Features that the reader leaves out: no geometry, another one, and one without coordinates.
+NO_SHAPE = (
+    ',{"type":"Feature","properties":{"name_en":"none"},"geometry":null}'
+    ',{"type":"Feature","properties":{"name_en":"spot"},"geometry":{"type":"Point","coordinates":[1.5,2.5]}}'
+    ',{"type":"Feature","properties":{"name_en":"bare"},"geometry":{"type":"Polygon"}}'
+)
 
 
 def _order() -> list[Column]:
@@ -108,7 +114,7 @@ def geojson_scan(spark: SparkSession, folder: str) -> DataFrame:
         borders.join(nations, "n_nationkey")
         .groupBy("n_regionkey")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("feature_idx", "feature"))), lambda f: f["feature"]), ",").alias("features"))
-        .select("n_regionkey", F.concat(F.lit('{"type":"FeatureCollection","features":['), "features", F.lit("]}")).alias("value"))
+        .select("n_regionkey", F.concat(F.lit('{"type":"FeatureCollection","features":['), "features", F.lit(NO_SHAPE + "]}")).alias("value"))
     )
     files.repartition("n_regionkey").write.partitionBy("n_regionkey").text(path)
     features = read_features(spark, path)
@@ -217,7 +223,7 @@ SELECT event_id, greatest(-2.5::DOUBLE, least(15.0::DOUBLE, value - 10)) AS clam
        floor((value - 10) / 8 * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS rounded FROM events""",
     "ring_edges": f"""
 WITH {inputs.SQL_EDGES}
-SELECT feature_idx, part::INTEGER AS part, edge::INTEGER AS edge, lon_a, lat_a, lon_b, lat_b, {_round(f'sqrt({_EDGE})')} AS length FROM edges""",
+SELECT '' AS file, feature_idx, part::INTEGER AS part, edge::INTEGER AS edge, lon_a, lat_a, lon_b, lat_b, {_round(f'sqrt({_EDGE})')} AS length FROM edges""",
     "country_lookup": f"WITH {_COUNTRY} SELECT event_id, country FROM placed",
     "country_counts": f"WITH {_COUNTRY} SELECT country, count(*) AS n FROM placed WHERE country IS NOT NULL GROUP BY country",
     "country_filter": f"""

@@ -27,11 +27,13 @@ ATTRS = T.ArrayType(
 )
 
 # One row per page holds its whole element tree. `parent` is a 0-based index into
-# `els` (-1 at the root); `lo`/`hi` cut an element's text out of the page text, so
-# the text is stored once whatever the nesting.
+# `els` (-1 at the root), `last` that of the last element below (itself when there is
+# none); `lo`/`hi` cut an element's text out of the page text, so the text is stored
+# once whatever the nesting.
 ELEMENT = T.StructType(
     [
         T.StructField("parent", T.IntegerType()),
+        T.StructField("last", T.IntegerType()),
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", ATTRS),
         T.StructField("lo", T.IntegerType()),
@@ -42,7 +44,8 @@ DOM = T.StructType(
     [T.StructField("text", T.StringType()), T.StructField("els", T.ArrayType(ELEMENT))]
 )
 
-# A compiled selector: child steps from the outermost element to the matched one.
+# A compiled selector: its groups, each a list of links joined by descent, each link child
+# steps from the outermost element to the innermost.
 PREDICATE = T.StructType(
     [
         T.StructField("attr", T.StringType()),
@@ -54,6 +57,9 @@ STEP = T.StructType(
     [T.StructField("tag", T.StringType()), T.StructField("preds", T.ArrayType(PREDICATE))]
 )
 
+LINKS = T.ArrayType(T.ArrayType(STEP))
+SELECTOR = T.ArrayType(LINKS)
+
 ROBOTS_RULE = T.StructType(
     [
         T.StructField("allow", T.BooleanType()),

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from dateline.functions.text import batch_name, clean_body, domain_label, file_suffix, has_body, strip
 from dateline.schemas import ARTICLE
-from dateline.sources.json_rows import with_parsed
 
 _FIELDS = ARTICLE.fieldNames()
 SUFFIX = "*.{jsonl,json}"  # what others and what Spark's own writer call JSON lines
@@ -20,7 +19,14 @@ def _lines(spark: SparkSession, paths: str | list[str], suffix: str) -> DataFram
 
 
 def _parsed(spark: SparkSession, paths: str | list[str], strict: bool, suffix: str) -> DataFrame:
-    return with_parsed(_lines(spark, paths, suffix), "value", ARTICLE, strict)
+    """Lines with ``keys``, a map of all their keys to text, null for a malformed line.
+
+    The map comes out of a generator, below which no later filter goes, so that each line
+    is parsed once.
+    """
+    mode = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
+    keys = F.from_json("value", T.MapType(T.StringType(), T.StringType()), mode)
+    return _lines(spark, paths, suffix).select("value", "file", F.inline_outer(F.array(F.struct(keys.alias("keys")))))
 
 
 def read_articles(
@@ -32,15 +38,11 @@ def read_articles(
     ``strict`` fails on a malformed line; otherwise such lines are left to
     ``rejected_articles``.
     """
-    parsed = _parsed(spark, paths, strict, suffix)
-    if not strict:
-        parsed = parsed.where("_corrupt_record is null")
-    attrs = F.map_filter(
-        F.from_json("value", T.MapType(T.StringType(), T.StringType())), lambda k, v: k != "body"
-    )
+    parsed = _parsed(spark, paths, strict, suffix).where("keys is not null")
+    attrs = F.map_filter("keys", lambda k, v: k != "body")
     return with_clean_body(
         parsed.select(
-            *_FIELDS,
+            *[F.col("keys")[name].alias(name) for name in _FIELDS],
             F.transform_values(attrs, lambda k, v: F.coalesce(v, F.lit("null"))).alias("attrs"),
             "file",
         )
@@ -52,7 +54,7 @@ def rejected_articles(
 ) -> DataFrame:
     """Malformed lines with the file they are in."""
     parsed = _parsed(spark, paths, False, suffix)
-    return parsed.where("_corrupt_record is not null").select("file", F.col("value").alias("line"))
+    return parsed.where("keys is null").select("file", F.col("value").alias("line"))
 
 
 def with_clean_body(articles: DataFrame) -> DataFrame:

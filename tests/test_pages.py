@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +101,17 @@ SELECTORS = {
     "#top > time[datetime]": ["June", "then"],
     "section > i": [],
     "dl > a": [],
+    "nav a[href]": ["Herbs", "Roots"],
+    "body section i": ["snap", "Runner > bush bean"],
+    "html   nav > span a": ["Herbs", "Roots", "Mark"],
+    "nav > a": [],
+    "span span": [],
+    "table td": ["v"],
+    "body > table tr > td, th": ["k", "v"],
+    "time[datetime] , dt,dd[title=march]": ["Sown", "early", "Picked", "June", "then"],
+    "a[rel=bulk], #top a[href*=lot], a": ["Herbs", "Roots", "Mark", "Lot A", "Lot B"],
+    "p, section p , section > p": ["Sugar snap", "Runner > bush bean"],
+    "a[href^='/lot, /x']": [],
 }
 
 
@@ -115,13 +130,79 @@ def test_selectors_literal_and_as_data(page, selector):
     assert data.select(F.size(matched(F.col("dom"), F.col("s")))).first()[0] == len(want)
 
 
-@pytest.mark.parametrize("selector", ["a b", "a,b", "p:first-child", "", "> a", "a >", "a + b", "[a=", "a[b=c]]"])
+@pytest.mark.parametrize("selector", ["p:first-child", "", "> a", "a >", "a + b", "[a=", "a[b=c]]", ",a", "a,", "a,,b", "a > > b", "a, > b"])
 def test_unsupported_selectors_are_refused(selector):
     assert parse_selector(selector) is None
     with pytest.raises(ValueError, match="unsupported"):
         css(selector)
 
 
+def plain_matches(tree, selector):
+    """Elements by trying every ancestor for every step; steps are a tag and classes."""
+    found = set()
+    for group in selector.split(","):
+        parts = re.findall(r">|[^\s>]+", group)
+
+        def fits(i, part):
+            tag, *classes = part.split(".")
+            own = dict(tree.attrs[i]).get("class", "").split()
+            return tag in ("*", "", tree.tag[i]) and all(c in own for c in classes)
+
+        def holds(i, at):
+            if not fits(i, parts[at]):
+                return False
+            if at == 0:
+                return True
+            up, child = tree.parent[i], parts[at - 1] == ">"
+            while up >= 0:
+                if holds(up, at - 2 if child else at - 1):
+                    return True
+                up = -1 if child else tree.parent[up]
+            return False
+
+        found |= {i for i in range(len(tree.tag)) if holds(i, len(parts) - 1)}
+    return sorted(found)
+
+
+def test_chains_and_groups_against_all_ancestors(spark):
+    draw = random.Random(8)
+    tags = ["div", "span", "section", "article"]
+
+    def markup(depth):
+        inner = "".join(markup(depth - 1) for _ in range(draw.randrange(4))) if depth else "x"
+        kinds = f' class="{draw.choice("uvw")} {draw.choice("uvw")}"' if draw.random() < 0.5 else ""
+        tag = draw.choice(tags)
+        return f"<{tag}{kinds}>{inner}</{tag}>"
+
+    def chain():
+        steps = [draw.choice([*tags, "*", "div.u", ".v", "span.w"]) for _ in range(draw.randint(1, 4))]
+        return steps[0] + "".join(draw.choice([" > ", " ", " "]) + step for step in steps[1:])
+
+    pages = [markup(6) for _ in range(12)] + ["<div>" * 40 + "<span>x", "", "text"]
+    selectors = [chain() for _ in range(24)] + [f"{chain()}, {chain()}" for _ in range(8)] + ["div div div > span", "div > div span"]
+    table = with_dom(spark.createDataFrame(list(enumerate(pages)), "page int, html string"))
+    literal = F.array(*[matched(F.col("dom"), css(x)) for x in selectors])
+    rows = table.select("page", literal.alias("literal"), "dom", compiled(F.array(*map(F.lit, selectors))).alias("data"))
+    data = F.transform("data", lambda s: matched(F.col("dom"), s))
+    found = 0
+    for row in rows.select("page", "literal", data.alias("data")).collect():
+        want = [plain_matches(read_tree(pages[row["page"]]), x) for x in selectors]
+        assert row["literal"] == want
+        assert row["data"] == want
+        found += sum(map(len, want))
+    assert found > 500
+
+
+def test_descent_on_large_pages_is_linear(spark):
+    pages = ["<div>" * 4000 + "<span>x", "<div><span>x</span></div>" * 20_000]
+    table = with_dom(spark.createDataFrame(list(enumerate(pages)), "page int, html string")).cache()
+    table.count()
+    start = time.perf_counter()
+    sizes = table.select("page", F.size(matched(F.col("dom"), css("div span"))).alias("n")).collect()
+    assert sorted(map(tuple, sizes)) == [(0, 1), (1, 20_000)]
+    assert time.perf_counter() - start < 20
+
+
 def test_links_follow_the_base_element(page):
     rows = explode_links(page, [css("span > a[href]"), css("a")], "topic").collect()
     assert [(r["selector_idx"], r["dst"].removeprefix("https://seeds.test/")) for r in rows] == [
