@@ -7,10 +7,10 @@
    linear program over configurations of these few sizes is solved by column
    generation.
 3. Pieces are dealt into groups of about ``GROUP`` by a hash of their row, so a group
-   looks like the whole. In each, every configuration is filled with actual pieces,
-   the large ones left over go where they fit best, and then the small ones. Rounding
-   makes some configurations loose; a group leaves out those less full than a bound,
-   tries several bounds, and keeps the packing with the fewest sequences.
+   looks like the whole. In each, every configuration is filled with actual pieces:
+   whole uses first, then the fractional ones while large pieces wait. A slot may take
+   a longer piece than its size where the others leave room. Large pieces left over go
+   where they fit best, and then the small ones.
 
 Pieces as long as a sequence stand alone. Null and empty texts are the end id alone.
 Repeated rows are packed like any other; a row is known by its place in a written table.
@@ -34,7 +34,6 @@ CAPACITY = 2048
 END_ID = 0
 SMALL = CAPACITY // 8
 CLASSES = 96
-FULLNESS = (0.0, 0.9, 0.97, 0.995, 2.0)  # tried in every group: how full a configuration must be to be used
 GROUP = 16_384
 SPECIAL = "<|endoftext|>"
 
@@ -180,49 +179,86 @@ class _Bins:
 def pack_group(
     lengths: np.ndarray, bounds: np.ndarray, found: np.ndarray, share: np.ndarray, capacity: int, small: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """``(sequence, offset)`` of every piece, the best over the bounds of ``FULLNESS``."""
-    full = found @ bounds if len(bounds) else np.zeros(0)
+    """``(sequence, offset)`` of every piece; ``share`` is this group's part of each configuration.
+
+    Configurations are filled in three orders (loosest, most used, largest size first), and
+    the fewest sequences win; in each every large piece comes through a configuration.
+    """
+    if not len(bounds):
+        return _pack(lengths, [], capacity, small)[:2]
+    slots = [np.repeat(bounds[::-1], row[::-1]).tolist() for row in found]
+    largest = np.array([max(row, default=0) for row in slots])
+    orders = [np.argsort(key, kind="stable") for key in (found @ bounds, -share, -largest)]
+    whole = np.floor(share + 1e-9)
+    part = [j for j in np.argsort(whole - share, kind="stable") if share[j] - whole[j] > 1e-6]
     tried = (
-        _pack(lengths, bounds, found, np.where(full >= least * capacity, share, 0), capacity, small)
-        for least in FULLNESS
+        _pack(lengths, [slots[j] for j in [*np.repeat(order, whole[order].astype(int)), *part]], capacity, small)
+        for order in orders
     )
-    return min(tried, key=lambda packed: packed[0].max(initial=-1))
+    return min(tried, key=lambda packed: packed[0].max(initial=-1))[:2]
+
+
+class _Waiting:
+    """Large pieces by length; the longest within a room is found through one bit set."""
+
+    def __init__(self, lengths: np.ndarray, small: int, capacity: int) -> None:
+        self.of, self.mask = [[] for _ in range(capacity + 1)], 0
+        for item in np.flatnonzero(lengths > small)[::-1].tolist():
+            self.of[lengths[item]].append(item)
+            self.mask |= 1 << int(lengths[item])
+
+    def longest(self, room: int) -> int | None:
+        fits = self.mask & ((2 << room) - 1)
+        if not fits:
+            return None
+        length = fits.bit_length() - 1
+        item = self.of[length].pop()
+        if not self.of[length]:
+            self.mask &= ~(1 << length)
+        return item
 
 
 def _pack(
-    lengths: np.ndarray, bounds: np.ndarray, found: np.ndarray, share: np.ndarray, capacity: int, small: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """``(sequence, offset)`` of every piece; ``share`` is this group's part of each configuration."""
+    lengths: np.ndarray, planned: list[list[int]], capacity: int, small: int
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(sequence, offset, large pieces placed by configurations)``.
+
+    ``planned`` are the sequences' slots, largest first. A slot takes the longest piece that
+    leaves the later slots their room, so what rounding gave away is used again; what room is
+    left after the last slot takes large pieces while any fits.
+    """
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    bins = _Bins(capacity)
+    bins, waiting, through = _Bins(capacity), _Waiting(lengths, small, capacity), 0
 
     def place(item: int, number: int) -> None:
         sequence[item], offset[item] = number, bins.used[number]
         bins.used[number] += int(lengths[item])
 
+    for slots in planned:
+        if not waiting.mask:
+            break
+        room, later, picked = capacity, sum(slots), []
+        for size in slots:
+            later -= size
+            item = waiting.longest(room - later)
+            if item is not None:
+                picked.append(item)
+                room -= int(lengths[item])
+        while (item := waiting.longest(room)) is not None:
+            picked.append(item)
+            room -= int(lengths[item])
+        number = bins.open()
+        for item in picked:
+            place(item, number)
+        bins.put_back(number)
+        through += len(picked)
     order = np.argsort(-lengths, kind="stable")
-    big = order[lengths[order] > small]
-    of = np.searchsorted(bounds, lengths[big]) if len(bounds) else np.zeros(0, np.int64)
-    waiting = [big[of == c].tolist()[::-1] for c in range(len(bounds))]  # the longest is last
-    for j in np.argsort(-share, kind="stable") if len(share) else []:
-        for _ in range(int(share[j])):
-            picked = []
-            for c in np.flatnonzero(found[j])[::-1]:
-                for _ in range(int(found[j][c])):
-                    if waiting[c]:
-                        picked.append(waiting[c].pop())
-            if not picked:
-                break
-            number = bins.open()
-            for item in picked:
-                place(item, number)
-            bins.put_back(number)
-    rest = sorted((i for held in waiting for i in held), key=lambda i: -lengths[i])
+    rest = sorted((i for held in waiting.of for i in held), key=lambda i: -lengths[i])
     for item in [*rest, *order[lengths[order] <= small].tolist()]:
         number = bins.best(int(lengths[item]))
         place(item, number)
         bins.put_back(number)
-    return sequence, offset
+    return sequence, offset, through
 
 
 def pack(
@@ -242,7 +278,7 @@ def pack(
     histogram[counts.column("length").to_numpy()] = counts.column("n").to_numpy()
     bounds, found, amounts = plan(histogram, capacity, small, classes)
     groups = max(1, -(-int(histogram.sum()) // group))
-    share = np.floor(amounts / groups + 1e-9)
+    share = amounts / groups
 
     def pack_one(rows: pa.Table) -> pa.Table:
         number, offset = pack_group(rows.column("length").to_numpy(), bounds, found, share, capacity, small)

@@ -64,15 +64,30 @@ def test_pack_nothing(nothing):
 def test_few_sequences(low, high):
     lengths = np.random.default_rng(3).integers(low, high, 4000)
     bounds, found, amounts = packing.plan(np.bincount(lengths, minlength=2049), 2048, 256, 48)
-    sequence, _ = packing.pack_group(lengths, bounds, found, np.floor(amounts + 1e-9), 2048, 256)
-    none = np.zeros(0, np.int64)
-    plain = packing._pack(lengths, none, np.zeros((0, 0), np.int64), none, 2048, 2048)[0]
+    sequence, _ = packing.pack_group(lengths, bounds, found, amounts, 2048, 256)
+    plain = packing._pack(lengths, [], 2048, 2048)[0]
     assert np.bincount(sequence, lengths).max() <= 2048
     assert sequence.max() <= plain.max()
     if (low, high) == (500, 900):
         assert sequence.max() < 0.95 * plain.max()
 
 
+@pytest.mark.parametrize("groups", [1, 4])
+def test_large_pieces_come_through_configurations(groups):
+    rng = np.random.default_rng(11)
+    lengths = np.concatenate([rng.lognormal(6.5, 0.8, 9_000), rng.integers(10, 250, 1_000)]).astype(int).clip(1, 2047)
+    bounds, found, amounts = packing.plan(np.bincount(lengths, minlength=2049), 2048, 256, 48)
+    slots = [np.repeat(bounds[::-1], row[::-1]).tolist() for row in found]
+    for part in range(groups):
+        mine = lengths[part::groups]
+        share = amounts / groups
+        sequence, _ = packing.pack_group(mine, bounds, found, share, 2048, 256)
+        least = -(-mine.sum() // 2048)
+        assert sequence.max() + 1 <= 1.002 * least + 1
+        planned = [slots[j] for j in np.argsort(-share) for _ in range(int(np.ceil(share[j])))]
+        assert packing._pack(mine, planned, 2048, 256)[2] >= 0.9 * (mine > 256).sum()
+
+
 # -- sharding -------------------------------------------------------------------------
 
 
