@@ -8,7 +8,8 @@ mandatory trigrams is searched for in every text.
 
 A rule's matches are leftmost and do not overlap. Where they lie follows from the
 lengths of the matches and of what is between them, in code points. Work per text is
-that of the expressions, plus a term in the square of its number of matches.
+that of the expressions, plus copies of references, as many as its number of matches
+times the root of that number.
 
 Null counts as empty. Rows of equal id and text share their postings; every row gets
 its result. Other columns are not used.
@@ -158,24 +159,40 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     return texts.select("doc_id", "mark", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def _spans(rule: Rule) -> Column:
-    """Matches of one rule in ``text`` as ``array<struct<start, stop>>``."""
-    text, pattern = F.col("text"), F.lit(rule.pattern)
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
-    whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.char_length)
-    part = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.char_length) if rule.group else whole
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, stop: int>>)").alias("out"))
+def _running(matches: Column, least: int) -> Column:
+    """Spans of the matches from their lengths and the gaps before them.
+
+    Appending to an array copies it, so the matches go in slices of about the root of
+    their number; each slice starts where the one before it ended.
+    """
+    none = F.expr("cast(array() as array<struct<start: int, stop: int>>)")
+    width = F.greatest(F.ceil(F.sqrt(F.size(matches))), F.lit(1)).cast("int")
+    last = F.ceil(F.size(matches) / width).cast("int")
 
     def step(held: Column, m: Column) -> Column:
         begin = held["at"] + m["gap"]
         end = begin + m["whole"]
         kept = F.concat(held["out"], F.array(F.struct(begin.alias("start"), end.alias("stop"))))
-        return F.struct(
-            end.alias("at"), F.when(m["part"] >= rule.least, kept).otherwise(held["out"]).alias("out")
-        )
+        return F.struct(end.alias("at"), F.when(m["part"] >= least, kept).otherwise(held["out"]).alias("out"))
 
+    def next_slice(done: Column, k: Column) -> Column:
+        start = F.struct(F.element_at(done, -1)["at"].alias("at"), none.alias("out"))
+        return F.concat(done, F.array(F.aggregate(F.slice(matches, (k - 1) * width + 1, width), start, step)))
+
+    nothing = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    slices = F.aggregate(F.sequence(F.lit(1), last), F.array(nothing), next_slice)
+    return F.when(last > 0, F.flatten(F.transform(slices, lambda s: s["out"]))).otherwise(none)
+
+
+def _spans(rule: Rule) -> Column:
+    """Matches of one rule in ``text`` as ``array<struct<start, stop>>``."""
+    text, pattern = F.col("text"), F.lit(rule.pattern)
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
+    whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.char_length)
+    part = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.char_length) if rule.group else whole
     matches = F.arrays_zip(whole.alias("whole"), part.alias("part"), F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"))
-    return F.aggregate(matches, start, step, lambda held: held["out"])
+    # As an element of an array the matches are found once, not again for every slice.
+    return F.transform(F.array(matches), lambda m: _running(m, rule.least))[0]
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

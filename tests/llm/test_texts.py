@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -142,6 +143,16 @@ def test_secrets_against_search(spark, messy, nothing):
     assert secrets.scan(nothing).collect() == []
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    lines = [f"{'é' * (k % 3)}{k:032x}" + (f" token=abc{k}" if k % 2 else " token=x") for k in range(200_000)]
+    text = "\n".join(lines)
+    started = time.monotonic()
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    spans = got.select(secrets.spelled(F.col("spans"))).first()[0]
+    assert time.monotonic() - started < 60
+    assert spans == plain_spans(text)
+
+
 def test_trigram_queries_never_miss():
     assert secrets.trigram_query("[0-9a-f]{24,}") == []
     assert secrets.trigram_query("ab?c") == []
