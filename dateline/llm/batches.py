@@ -7,6 +7,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+#: Whole texts in a batch where a job of their own reads them.
+TEXTS = 512
+
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

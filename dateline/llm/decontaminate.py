@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dateline.llm.batches import TEXTS, rows_per_batch
 from dateline.llm.words import Words, mix, pieces
 from dateline.session import broadcast_within, cut
 
@@ -259,7 +260,8 @@ def leaks(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """Documents in which no item is found; all columns stay. Runs jobs."""
-    bad = cut(leaks(docs, benchmark, **options).select("doc_id", "mark").distinct(), "leaks").toDF("_id", "_of")
+    with rows_per_batch(docs.sparkSession, TEXTS):
+        bad = cut(leaks(docs, benchmark, **options).select("doc_id", "mark").distinct(), "leaks").toDF("_id", "_of")
     small = broadcast_within(bad, F.lit(48))
     same = docs["doc_id"].eqNullSafe(small["_id"]) & (F.xxhash64(docs["text"]) == small["_of"])
     return docs.join(small, same, "left_anti")

@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dateline.llm.batches import TEXTS, rows_per_batch
 from dateline.session import cut
 
 CAPACITY = 2048
@@ -40,18 +42,23 @@ SPECIAL = "<|endoftext|>"
 _held: dict[str, Callable] = {}
 
 
+@cache
+def _whole(tokenizer: str) -> object:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer)
+
+
 def encoder(tokenizer: str, ranks: str | None = None) -> Callable[[str], list[int]]:
     """Texts to ids by the tokenizer file; loaded once in a process.
 
     ``ranks``, the same vocabulary as ranks, gives the same ids several times faster.
-    Texts that spell a special token always go to the tokenizer itself.
+    Texts that spell a special token always go to the tokenizer itself, which is only then
+    loaded.
     """
     key = f"{tokenizer} {ranks}"
     if key not in _held:
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(tokenizer)
-        own = lambda text: whole.encode(text, add_special_tokens=False).ids
+        own = lambda text: _whole(tokenizer).encode(text, add_special_tokens=False).ids
         if ranks:
             import tiktoken
 
@@ -272,7 +279,8 @@ def pack(
     """
     rows = docs.select("doc_id", pieces(F.col("text"), tokenizer, ranks, capacity, end_id).alias("p"))
     flat = rows.select("doc_id", F.inline_outer("p")).where("piece is not null")
-    table = cut(flat.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    with rows_per_batch(docs.sparkSession, TEXTS):
+        table = cut(flat.withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = table.where(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).toArrow()
     histogram = np.zeros(capacity + 1, np.int64)
     histogram[counts.column("length").to_numpy()] = counts.column("n").to_numpy()

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dateline.llm.batches import TEXTS, rows_per_batch
 from dateline.llm.words import Words, pieces
 
 STEM = 5  # bytes of a word's beginning that make a feature of their own
@@ -27,6 +28,7 @@ SAMPLE_DOCS = 12_000  # labelled documents, of each class, that a fit reads at m
 SAMPLE_BYTES = 20 << 20  # and their text, of both classes together
 BITS = 20
 UNTAUGHT = -20.0
+BLOCK = 1 << 20  # word places summed at a time
 THRESHOLD = 0.7  # documents at or above it are predicted toxic
 ROUNDS = 200
 RIDGE = 0.002
@@ -75,12 +77,16 @@ def fit_arrays(
     seen = np.full(size + 2, 1e-3)
     slope = np.empty(size + 2)
     for _ in range(ROUNDS):
-        z = np.bincount(sentence, w[cells], len(owner)) + offset
+        z = np.full(len(owner), offset)
+        for k in range(0, len(cells), BLOCK):
+            z += np.bincount(sentence[k : k + BLOCK], w[cells[k : k + BLOCK]], len(owner))
         total = np.bincount(owner, _softplus(z), n) + _softplus(np.float64(document))
         p = -np.expm1(-total)
         pull = np.where(label == 1, -np.minimum(np.exp(-total) / np.maximum(p, 1e-12), 50.0), 1.0)
         by_sentence = _sigmoid(z) * pull[owner]
-        slope[:size] = np.bincount(cells, by_sentence[sentence], size) + RIDGE * w
+        slope[:size] = RIDGE * w
+        for k in range(0, len(cells), BLOCK):
+            slope[:size] += np.bincount(cells[k : k + BLOCK], by_sentence[sentence[k : k + BLOCK]], size)
         slope[size] = by_sentence.sum()
         slope[size + 1] = _sigmoid(np.float64(document)) * pull.sum()
         seen = np.maximum(0.97 * seen, slope * slope)
@@ -126,7 +132,7 @@ def _fit(bits: int, most_bytes: int) -> Callable:
         cells.clear(), sentences.clear()
         used = cell > 0
         w, offset, document = fit_arrays(
-            cell[used].astype(np.int64), sentence[used].astype(np.int64), np.concatenate(owners), np.array(labels), len(names)
+            cell[used], sentence[used], np.concatenate(owners), np.array(labels), len(names)
         )
         keep = np.flatnonzero(np.abs(w) > 1e-3)
         yield pa.record_batch(
@@ -159,7 +165,8 @@ def fit(
         "text", "toxic", F.xxhash64("doc_id", "text").alias("h")
     )
     one = rows.dropDuplicates(["h", "toxic"]).repartition(1).sortWithinPartitions("h", "toxic").select("text", "toxic")
-    found = one.mapInArrow(_fit(bits, sample_bytes), "feature long, weight double").toArrow()
+    with rows_per_batch(docs.sparkSession, TEXTS):
+        found = one.mapInArrow(_fit(bits, sample_bytes), "feature long, weight double").toArrow()
     names, values = found.column("feature").to_numpy(), found.column("weight").to_numpy()
     weights = np.zeros(1 << bits, np.float32)
     weights[names[names > 0]] = values[names > 0]
@@ -182,10 +189,11 @@ def score(model: Model, text: Column) -> Column:
 
     def scores(texts: pa.Array) -> pa.Array:
         out = np.empty(len(texts))
-        for a, b, words in pieces(texts.to_pylist()):
-            at, z = _logits(words, model)
-            total = np.bincount(words.doc[at], _softplus(z), b - a) + _softplus(np.float64(model.document))
-            out[a:b] = -np.expm1(-total)
+        for base in range(0, len(texts), TEXTS):
+            for a, b, words in pieces(texts[base : base + TEXTS].to_pylist()):
+                at, z = _logits(words, model)
+                total = np.bincount(words.doc[at], _softplus(z), b - a) + _softplus(np.float64(model.document))
+                out[base + a : base + b] = -np.expm1(-total)
         return pa.array(np.clip(out, 0.0, 1.0))
 
     return F.arrow_udf(scores, "double")(text)
