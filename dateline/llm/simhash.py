@@ -229,7 +229,7 @@ def _side(entries: DataFrame, name: str) -> DataFrame:
 
 
 def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: links that join the alike texts of ``nodes(node, size, proof, keys)``.
+    """``node, root`` of every row of ``nodes(node, size, proof, keys)``: alike texts have one root.
 
     ``texts(row, text)`` has the text of each node, by its number; both are written tables.
 
@@ -249,12 +249,11 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     stars = keyed.withColumnRenamed("node", "b").join(centers, "key").where("a < b").select("a", "b").distinct()
     both = cut(stars, "stars").join(narrow.drop("keys").toDF("a", "size_a", *[f"p{k}_a" for k in range(PROOF)]), "a")
     both = both.join(narrow.drop("keys").toDF("b", "size_b", *[f"p{k}_b" for k in range(PROOF)]), "b")
-    links = cut(_verified(both.where(_near("a", "b", similarity)).select("a", "b"), texts, similarity), "links")
+    judged = cut(_verified(cut(both.where(_near("a", "b", similarity)).select("a", "b"), "likely"), texts, similarity), "links")
+    rooted = narrow.join(components(judged), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(rooted, "rooted")
 
-    judged = links
     for nearest in (True, False):
-        rooted = narrow.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = cut(rooted, "rooted")
         slim = entries(rooted.select("node", "keys", "root"))
         several = slim.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         # A node takes part when one of its keys holds another component too.
@@ -266,16 +265,24 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
             apart = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(PROOF)), F.lit(0))
             best = F.min(F.struct(apart.alias("bits"), "a", "b"))
             pairs = pairs.groupBy("a", "root_b").agg(best.alias("p")).select("p.a", "p.b")
-        pairs = pairs.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti")
-        tried = cut(pairs, "tried")
+        tried = cut(pairs.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), "tried")
+        if tried.isEmpty():
+            continue
         judged = judged.unionByName(tried)
-        links = links.unionByName(cut(_verified(tried, texts, similarity), "links"))
-    return links
+        rooted = cut(_regrouped(rooted, _verified(tried, texts, similarity)), "rooted")
+    return rooted.select("node", "root")
+
+
+def _regrouped(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """``rooted(node, root, ...)`` after the components that ``links(a, b)`` join are one. Runs jobs."""
+    roots = rooted.select("node", "root")
+    bridges = links.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").select("root_a", "root_b")
+    joined = components(bridges.toDF("a", "b"), "bridges").toDF("root", "top")
+    return rooted.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 
 def _verified(likely: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``likely(a, b)`` whose texts are alike. Runs jobs."""
-    likely = cut(likely, "likely")
+    """Those of the pairs ``likely(a, b)``, a written table, whose texts are alike. Runs jobs."""
     needed = likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))).distinct()
     held = cut(texts.join(broadcast_within(cut(needed, "needed"), F.lit(24)), "row"), "texts")
     one, other = held.select(F.col("row").alias("a"), F.col("text").alias("one")), held.select(
@@ -288,27 +295,26 @@ def _verified(likely: DataFrame, texts: DataFrame, similarity: float) -> DataFra
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """``node, root`` of every node of ``edges(a, b)``, the root the smallest node.
 
-    Rounds of large and small stars; each runs a job and is cut by a table.
+    Rounds of large and small stars, each cut by one table, until every node but a root
+    hangs from just one other, a root. Runs jobs.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name)
-    seen = None
     while True:
+        ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            edges.select(F.col("a").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        state = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if state.where("up + down > 1").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(lowest, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        large = cut(large, name)
         floor = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(floor, "b")
         small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").unionByName(
             joined.select(F.col("m").alias("a"), "b")
         )
         edges = cut(small.distinct(), name)
-        state = edges.agg(
-            F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)), F.countDistinct("b")
-        ).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
     roots = edges.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root"))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
 
@@ -350,9 +356,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"),
         )
         nodes = cut(grouped.select("node", "first", "sketch.*"), "nodes")
-        roots = components(similar(nodes, table.select("row", F.col("doc.text").alias("text")), similarity))
-    rooted = nodes.select("node", "first").join(roots, "node", "left")
-    kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+        roots = similar(nodes, table.select("row", F.col("doc.text").alias("text")), similarity)
+    rooted = nodes.select("node", "first").join(roots, "node")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     gone = cut(prints.select("row").join(kept.select("first.row"), "row", "left_anti"), "gone")
     return table.join(broadcast_within(gone, F.lit(24)), "row", "left_anti").select("doc.*")
 
