@@ -72,7 +72,7 @@ PAGES = [
 CONFIGS = [
     ("https://a.com", ["a[class='t']"], ["a.s[href]"], "h1", "time", "p", 2),
     ("https://c.com", ["a"], ["a"], "h1", "time", "p", 3),
-    ("https://e.com", ["a b"], ["a"], "h1", "time", "p", 3),
+    ("https://e.com", ["a:hover"], ["a"], "h1", "time", "p", 3),
 ]
 
 
