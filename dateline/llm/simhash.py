@@ -20,11 +20,13 @@ Null and empty texts have no words and the fingerprint zero, linked like any oth
 Rows without ``doc_id`` take part; a component of such rows alone has a null id.
 
 ``one_of_each`` filters a corpus by another rule: texts whose five-word shingles are at
-least 0.8 alike. Such texts differ in a seventh of a fingerprint's bits, too many for any
-segment long enough to keep unlike texts apart, so one-wildcard variants cannot find them:
-candidates are found by ``BANDS`` keys, each a hash of ``BAND`` minima of the shingle set under
-different orders (two texts 0.8 alike share one with a probability of 0.9996), and judged by
-a fingerprint of ``64 * PROOF`` bits over the set, then by the shingles of the whole texts.
+least 0.8 alike. It too links fingerprints, of the sets of five-word shingles, by segments and
+one-wildcard variants, verifies each link by the shingles of the whole texts and contracts
+stars. Texts just 0.8 alike differ in a seventh of a fingerprint's bits, too many for any
+segment long enough to keep unlike texts apart, so those that the fingerprints leave apart are
+searched further: by ``BANDS`` keys, each a hash of ``BAND`` minima of the shingle set under
+different orders (two texts 0.8 alike share one with a probability of 0.9996), judged by
+a fingerprint of ``64 * PROOF`` bits over the set, then verified in the same way.
 """
 
 from __future__ import annotations
@@ -223,6 +225,17 @@ def _near(one: str, other: str, similarity: float) -> Column:
     return sizes & (bits <= _most_bits(similarity))
 
 
+def _linked(narrow: DataFrame) -> DataFrame:
+    """``a, b`` (``a`` < ``b``) of texts whose fingerprints, the first words of their proofs, are
+    linked. The smallest text of a fingerprint stands for the others, which meet it. Runs jobs."""
+    texts = narrow.select("node", F.col("p0").alias("fp"))
+    prints = cut(texts.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    ends = links(prints.select("fp")).join(prints.toDF("a", "one"), "a").join(prints.toDF("b", "other"), "b")
+    between = ends.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
+    within = texts.join(prints, "fp").where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return cut(between.unionByName(within).distinct(), "linked")
+
+
 def _side(entries: DataFrame, name: str) -> DataFrame:
     """``key`` and the other columns renamed for one side of a join."""
     return entries.select("key", *[F.col(c).alias(name if c == "node" else f"{c}_{name}") for c in entries.columns if c != "key"])
@@ -233,11 +246,13 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
     ``texts(row, text)`` has the text of each node, by its number; both are written tables.
 
-    Texts that share a key are candidates. First each meets the smallest text of its keys
-    only, and those alike are joined to components. Then, in keys that hold several
-    components, texts of different components meet inside a join that lets only likely
-    pairs out: first each text with its nearest of every other component, then, once
-    those are joined, all that are still apart. Runs jobs.
+    Texts whose fingerprints are linked, and texts that share a key, are candidates. First
+    each meets the smallest text that its fingerprint is linked to and the smallest of its
+    keys, and those alike are joined to components. Then all links of fingerprints between
+    different components are tried; and in keys that hold several components, texts of
+    different components meet inside a join that lets only likely pairs out: first each
+    text with its nearest of every other component, then, once those are joined, all that
+    are still apart. Runs jobs.
     """
     narrow = nodes.select("node", "size", "keys", *[F.get("proof", F.lit(k)).alias(f"p{k}") for k in range(PROOF)])
 
@@ -249,7 +264,10 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     stars = keyed.withColumnRenamed("node", "b").join(centers, "key").where("a < b").select("a", "b").distinct()
     both = cut(stars, "stars").join(narrow.drop("keys").toDF("a", "size_a", *[f"p{k}_a" for k in range(PROOF)]), "a")
     both = both.join(narrow.drop("keys").toDF("b", "size_b", *[f"p{k}_b" for k in range(PROOF)]), "b")
-    judged = cut(_verified(cut(both.where(_near("a", "b", similarity)).select("a", "b"), "likely"), texts, similarity), "links")
+    linked = _linked(narrow)
+    smallest = linked.groupBy("b").agg(F.min("a").alias("a"))
+    likely = both.where(_near("a", "b", similarity)).select("a", "b").unionByName(smallest.select("a", "b")).distinct()
+    judged = cut(_verified(cut(likely, "likely"), texts, similarity), "links")
     rooted = narrow.join(components(judged), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut(rooted, "rooted")
 
@@ -265,6 +283,9 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
             apart = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(PROOF)), F.lit(0))
             best = F.min(F.struct(apart.alias("bits"), "a", "b"))
             pairs = pairs.groupBy("a", "root_b").agg(best.alias("p")).select("p.a", "p.b")
+            roots = rooted.select("node", "root")
+            between = linked.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b")
+            pairs = pairs.unionByName(between.where("root_a <> root_b").select("a", "b"))
         tried = cut(pairs.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), "tried")
         if tried.isEmpty():
             continue

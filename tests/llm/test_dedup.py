@@ -264,3 +264,20 @@ def test_copies_around_a_base_join_it(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
     assert kept == want and {51, 52} <= kept and 53 not in kept
+
+
+def test_near_copies_are_found_by_their_fingerprints(spark):
+    """Links of fingerprints are candidates of their own: here no two texts share a key."""
+    words = [f"w{i}" for i in range(400)]
+    apart = lambda one, other: int(simhash.sketch_of(one)[1][0] ^ simhash.sketch_of(other)[1][0]).bit_count()
+    base = " ".join(words)
+    ended = [t for t in (f"{base} end{i}" for i in range(200)) if 1 <= apart(base, t) <= simhash.BITS_APART]
+    texts = [base, ended[0], "  ".join(words), ended[1], " ".join(f"x{i}" for i in range(400))]
+    proofs = [simhash.sketch_of(t) for t in texts]
+    nodes = [(k, size, [int(x) for x in proof.view("int64")], [k]) for k, (size, proof, _) in enumerate(proofs)]
+    # The last node has the first one's fingerprint but an unlike text, so it stays apart.
+    nodes.append((5, 396, nodes[0][2], [5]))
+    table = spark.createDataFrame(nodes, "node long, size long, proof array<long>, keys array<long>")
+    rows = [*enumerate(texts), (5, " ".join(f"y{i}" for i in range(400)))]
+    roots = simhash.similar(table, spark.createDataFrame(rows, "row long, text string"))
+    assert {r["node"]: r["root"] for r in roots.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5}
