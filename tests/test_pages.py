@@ -1,12 +1,14 @@
 import random
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dateline.operators.extract import explode_links, parse_articles
-from dateline.operators.markup import elements, read_tree, with_dom
+from dateline.operators.markup import _dom, elements, read_tree, with_dom
 from dateline.operators.selectors import compiled, css, matched, parse_selector, select_text
 
 # A page of a seed shop, with one case for every form of selector.
@@ -229,3 +231,21 @@ def test_pages_are_parsed_once(spark, page):
         assert plan.count("ArrowEvalPython") == 1
     rows = elements(pages, "url").where("tag in ('th', 'td')").select("text").collect()
     assert [r["text"] for r in rows] == ["k", "v"] * 3
+
+
+def test_trees_of_a_batch_are_not_held_together():
+    """A batch four times as long needs as many Python objects at a time, and gives the same trees."""
+    pages = [PAGE.replace("Peas", f"Peas {i}") for i in range(600)] + [None, ""]
+
+    def peak(count):
+        batch = pa.array(pages * count, pa.string())
+        tracemalloc.start()
+        found = _dom.func(batch)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, found
+
+    (one, few), (four, many) = peak(1), peak(4)
+    assert four < 1.3 * one
+    assert len(many) == 4 * len(pages) and many[len(pages) : 2 * len(pages)].equals(few)
+    assert few[:1].equals(_dom.func(pa.array(pages[:1]))) and few[-2].as_py() == {"text": "", "els": []}
