@@ -7,7 +7,11 @@
    equal tasks; a task returns k rows per query, never its pairs.
 4. The k-th distance found bounds the search: by the triangle inequality a cell farther
    off than that (less its radius) cannot hold a nearer vector. The other cells are
-   searched the same way, which makes the result exact.
+   searched the same way, which makes the result exact. Neighbouring cells share a block,
+   so a query is sent once to a block and says which of its cells it asks for.
+
+Blocks grow with the table, an eighth of it each, until they reach ``BLOCK_BYTES``: up to
+there a vector is sent a bounded number of times, and beyond a task's memory stays bounded.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from dateline.operators.ranking import first_per_group
 from dateline.session import cut
 
 BLOCK = 4096
+BLOCK_BYTES = 32 << 20  # vectors of a block that grows with the table
+BLOCKS = 8  # blocks of a table until they reach that
+PAIRS = 1 << 21  # distances of a task held at a time
 PIVOT_BYTES = 64 << 20
 _DIGITS = 9
 _SLACK = 1e-7
@@ -66,26 +73,44 @@ def _nearest_pivot(pivots: np.ndarray):
     return assign
 
 
-def _open_cells(pivots: np.ndarray, radius: np.ndarray):
-    """Cells besides its own that may hold something nearer than a query's bound."""
-    shared = _broadcast((pivots, radius))
+def _open_cells(pivots: np.ndarray, radius: np.ndarray, chunk: np.ndarray):
+    """Cells besides its own that may hold something nearer than a query's bound, by chunk."""
+    shared = _broadcast((pivots, radius, chunk))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<struct<chunk int, asks array<int>>>")
     def cells(vectors: pa.Array, own: pa.Array, bound: pa.Array) -> pa.Array:
-        pivots, radius = shared.value
-        out: list[list[int]] = []
+        pivots, radius, chunk = shared.value
+        parts = [pa.array([], pa.list_(pa.struct([("chunk", pa.int32()), ("asks", pa.list_(pa.int32()))])))]
         for start in range(0, len(vectors), 1024):
             gap = _gaps(_matrix(vectors.slice(start, 1024)), pivots)
             limit = bound.slice(start, 1024).to_numpy(zero_copy_only=False)
             keep = gap - radius <= limit[:, None] + _SLACK
             keep[np.arange(len(gap)), own.slice(start, 1024).to_numpy(zero_copy_only=False)] = False
             keep &= radius >= 0
-            out += [row.nonzero()[0].astype(np.int32) for row in keep]
-        return pa.array(out, pa.list_(pa.int32()))
+            row, cell = keep.nonzero()  # by row, then cell; chunks are runs of cells
+            first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(chunk[cell], prepend=-1))
+            asks = pa.ListArray.from_arrays(
+                pa.array(np.append(first, len(cell)).astype(np.int32)), pa.array(cell.astype(np.int32))
+            )
+            groups = pa.StructArray.from_arrays([pa.array(chunk[cell[first]].astype(np.int32)), asks], ["chunk", "asks"])
+            ends = np.searchsorted(row[first], np.arange(len(gap) + 1))
+            parts.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), groups))
+        return pa.concat_arrays(parts)
 
     return cells
 
 
+def _chunks(sizes: np.ndarray, block: int) -> np.ndarray:
+    """The chunk of each cell: runs of cells of ``block`` vectors at most, or one larger cell."""
+    chunk, at, held = np.zeros(len(sizes), np.int64), 0, 0
+    for cell, n in enumerate(sizes):
+        if held and held + n > block:
+            at, held = at + 1, 0
+        chunk[cell] = at
+        held += n
+    return chunk
+
+
 def _broadcast(value: object) -> Broadcast:
     return SparkSession.active().sparkContext.broadcast(value)
 
@@ -96,24 +121,45 @@ def _nearest_in_block(k: int):
         is_query = table.column("is_query").to_numpy()
         base = table.filter(pa.array(~is_query)).sort_by("rep")
         queries = table.filter(pa.array(is_query))
+        del table
         if not len(base) or not len(queries):
             return
         b = _matrix(base.column("u").combine_chunks())
         names = base.column("rep").combine_chunks()
+        cell_of = base.column("cell").to_numpy()
+        rows_of = {int(c): np.flatnonzero(cell_of == c) for c in np.unique(cell_of)}
+        vectors_of = {c: b[rows] for c, rows in rows_of.items()}
         n = len(b)
-        take = min(k, n)
-        for start in range(0, len(queries), 512):
-            part = queries.slice(start, 512)
+        del b
+        part_size = max(1, min(1024, PAIRS // max(len(rows) for rows in rows_of.values())))
+        for start in range(0, len(queries), part_size):
+            part = queries.slice(start, part_size)
             q = _matrix(part.column("u").combine_chunks())
-            distance = 1.0 - q @ b.T
-            # One integer orders by distance, then by id (the column: base is sorted).
-            key = np.rint(np.maximum(distance, 0.0) * 10**_DIGITS).astype(np.int64) * n + np.arange(n)
-            best = np.sort(np.partition(key, take - 1, axis=1)[:, :take], axis=1) % n
+            asks = part.column("asks").combine_chunks()
+            asking = np.repeat(np.arange(len(q)), asks.value_lengths().to_numpy())
+            asked = asks.flatten().to_numpy()
+            found = []
+            for c in np.unique(asked):
+                if c not in rows_of:
+                    continue
+                who, rows = asking[asked == c], rows_of[c]
+                distance = 1.0 - q[who] @ vectors_of[c].T
+                # One integer orders by distance, then by id (the place in base, which is sorted).
+                key = np.rint(np.maximum(distance, 0.0) * 10**_DIGITS).astype(np.int64) * n + rows
+                take = min(k, len(rows))
+                at = np.argpartition(key, take - 1, axis=1)[:, :take]
+                found.append((np.repeat(who, take), *(np.take_along_axis(x, at, axis=1).ravel() for x in (key, distance))))
+            if not found:
+                continue
+            who, key, distance = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((key, who))
+            who, key, distance = who[order], key[order], distance[order]
+            kept = np.arange(len(who)) - np.searchsorted(who, who) < k
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("rep").combine_chunks().take(pa.array(np.repeat(np.arange(len(q)), take))),
-                    names.take(pa.array(best.ravel())),
-                    pa.array(np.take_along_axis(distance, best, axis=1).ravel()),
+                    part.column("rep").combine_chunks().take(pa.array(who[kept])),
+                    names.take(pa.array(key[kept] % n)),
+                    pa.array(distance[kept]),
                 ],
                 names=["rep", "near", "distance"],
             )
@@ -124,39 +170,41 @@ def _nearest_in_block(k: int):
 def _probe(queries: DataFrame, base: DataFrame, sizes: DataFrame, k: int, block: int) -> DataFrame:
     """Nearest ``k`` of each query within the cells it asks for, block by block.
 
-    ``queries(rep, u, cell)``, ``base(rep, u, cell)``; ``sizes(cell, n)`` has at most
-    one row per pivot, which bounds the broadcast.
+    ``queries(rep, u, chunk, asks)``, ``base(rep, u, chunk, cell)``; ``sizes(chunk, n)`` has
+    at most one row per pivot, which bounds the broadcast.
     """
-    asked = queries.groupBy("cell").agg(F.count("*").alias("asked"))
-    blocks = asked.join(F.broadcast(sizes), "cell").select(
-        "cell",
+    asked = queries.groupBy("chunk").agg(F.count("*").alias("asked"))
+    blocks = asked.join(F.broadcast(sizes), "chunk").select(
+        "chunk",
         F.ceil(F.col("asked") / block).cast("int").alias("q_blocks"),
         F.ceil(F.col("n") / block).cast("int").alias("b_blocks"),
     )
     blocks = cut(blocks, "blocks")
 
-    def cell_key(n: str, seed: int) -> Column:
+    def block_key(n: str, seed: int) -> Column:
         return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     asking = (
-        queries.join(F.broadcast(blocks), "cell")
-        .withColumn("qb", cell_key("q_blocks", 1))
+        queries.join(F.broadcast(blocks), "chunk")
+        .withColumn("qb", block_key("q_blocks", 1))
         .withColumn("bb", every("b_blocks"))
-        .select("cell", "qb", "bb", "rep", "u", F.lit(True).alias("is_query"))
+        .select("chunk", "qb", "bb", "rep", "u", F.lit(-1).alias("cell"), "asks", F.lit(True).alias("is_query"))
     )
     asked_of = (
-        base.join(F.broadcast(blocks), "cell")
-        .withColumn("bb", cell_key("b_blocks", 2))
+        base.join(F.broadcast(blocks), "chunk")
+        .withColumn("bb", block_key("b_blocks", 2))
         .withColumn("qb", every("q_blocks"))
-        .select("cell", "qb", "bb", "rep", "u", F.lit(False).alias("is_query"))
+        .select(
+            "chunk", "qb", "bb", "rep", "u", "cell", F.lit(None).cast("array<int>").alias("asks"), F.lit(False).alias("is_query")
+        )
     )
     kind = dict(base.dtypes)["rep"]
     return (
         asking.unionByName(asked_of)
-        .groupBy("cell", "qb", "bb")
+        .groupBy("chunk", "qb", "bb")
         .applyInArrow(_nearest_in_block(k), f"rep {kind}, near {kind}, distance double")
     )
 
@@ -170,14 +218,16 @@ def neighbours(
     k: int = 5,
     ident: str = "id",
     vector: str = "vector",
-    block: int = BLOCK,
+    block: int | None = None,
     pivots: int | None = None,
 ) -> DataFrame:
     """``(id, rank, neighbour, distance)``; the point itself is its first neighbour.
 
-    Ties go to the smaller id. Zero vectors have no direction and are left out. Runs
+    ``block`` is how many vectors a task compares with as many queries; by default it
+    grows with the table, from ``BLOCK`` to ``BLOCK_BYTES``. Ties go to the smaller id. Zero vectors have no direction and are left out. Runs
     several jobs; intermediate tables go to the shared folder.
     """
+    spark = vectors.sparkSession
     units = cut(
         vectors.select(F.col(ident).alias("id"), F.explode_outer(F.array(unit(F.col(vector)))).alias("u"))
         .where("u is not null"),
@@ -198,15 +248,18 @@ def neighbours(
         members = cut(units.join(base, "u").select("id", "rep"), "members")
     width = base.select(F.size("u")).first()[0]
     if pivots is None:
-        pivots = 1 if total <= block else math.ceil(math.sqrt(total))
+        pivots = 1 if total <= (block or BLOCK) else math.ceil(math.sqrt(total))
+    if block is None:
+        block = max(BLOCK, min(math.ceil(total / BLOCKS), BLOCK_BYTES // (8 * width)))
     centers = _pivots(base, max(1, min(pivots, PIVOT_BYTES // (8 * width))))
     placed = cut(
         base.withColumn("p", _nearest_pivot(centers)(F.col("u"))).select("rep", "u", "p.cell", "p.gap"),
         "cells",
     )
     sizes = cut(placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")), "sizes")
+    alone = placed.select("rep", "u", "cell", F.col("cell").alias("chunk"))
     own = first_per_group(
-        _probe(placed.select("rep", "u", "cell"), placed.select("rep", "u", "cell"), sizes, k, block),
+        _probe(alone.withColumn("asks", F.array("cell")), alone, sizes.withColumnRenamed("cell", "chunk"), k, block),
         ["rep"],
         _by_distance(),
         k,
@@ -214,17 +267,19 @@ def neighbours(
     found = own
     if len(centers) > 1:
         own = cut(own, "own-cell")
-        radius = np.full(len(centers), -1.0)
+        radius, counts = np.full(len(centers), -1.0), np.zeros(len(centers), np.int64)
         for row in sizes.collect():  # one row per pivot
-            radius[row["cell"]] = row["radius"]
+            radius[row["cell"]], counts[row["cell"]] = row["radius"], row["n"]
+        chunk = _chunks(counts, block)
+        named = spark.createDataFrame([(c, int(at)) for c, at in enumerate(chunk)], "cell int, chunk int")
         bound = own.groupBy("rep").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
         limit = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 * F.col("d")))).otherwise(4.0)
-        open_cells = _open_cells(centers, radius)
-        queries = placed.join(bound, "rep").select(
-            "rep", "u", F.explode_outer(open_cells(F.col("u"), F.col("cell"), limit)).alias("cell")
-        )
-        queries = cut(queries.where("cell is not null"), "queries")
-        more = _probe(queries, placed.select("rep", "u", "cell"), sizes, k, block)
+        open_cells = _open_cells(centers, radius, chunk)
+        queries = placed.join(bound, "rep").select("rep", "u", open_cells(F.col("u"), F.col("cell"), limit).alias("open"))
+        queries = cut(queries.select("rep", "u", F.inline_outer("open")).where("chunk is not null"), "queries")
+        together = placed.select("rep", "u", "cell").join(F.broadcast(named), "cell")
+        held = sizes.join(F.broadcast(named), "cell").groupBy("chunk").agg(F.sum("n").alias("n"))
+        more = _probe(queries, together, held, k, block)
         found = first_per_group(own.unionByName(more), ["rep"], _by_distance(), k)
     copies = first_per_group(members, ["rep"], [F.col("id")], k)
     entries = (

@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from dateline.functions.vectors import cosine, unit
+from dateline.operators import neighbours as searches
 from dateline.operators.clusters import central_rows, cluster_members, cluster_summary, kmeans_topics, pca_3d
 from dateline.operators.embed import encoded, hashed_words, mean_pool, shape
 from dateline.operators.fuzzy import fuzzy_graph, local_scale
 from dateline.operators.neighbours import neighbours
+from dateline.session import cut
 from dateline.sources.vectors import attrs_of, points_with_text, read_store, write_store
 
 SCHEMA = "id long, vector array<float>"
@@ -56,6 +58,29 @@ def test_neighbours_are_exact(hot, options):
     assert got == brute_force(rows, 4)
 
 
+def test_vectors_are_sent_once_to_a_block_of_cells(spark, monkeypatch):
+    """Without structure nearly every cell is asked for, but a query goes to a block once."""
+    vectors = np.random.default_rng(3).normal(size=(400, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    sent = {}
+
+    def counted(df, name="cut"):
+        table = cut(df, name)
+        sent[name] = table.count()
+        return table
+
+    monkeypatch.setattr(searches, "cut", counted)
+    got: dict[int, list[int]] = {}
+    for r in neighbours(spark.createDataFrame(rows, SCHEMA), 4, block=130, pivots=24).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got == brute_force(rows, 4)
+    assert 0 < sent["queries"] <= 6 * len(rows)
+
+
+def test_chunks_are_runs_of_cells():
+    assert searches._chunks(np.array([5, 0, 5, 1, 30, 2, 8, 0]), 10).tolist() == [0, 0, 0, 1, 2, 3, 3, 3]
+
+
 def test_fewer_points_than_k_and_none(spark):
     few = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 1.0])], "id string, vector array<float>")
     rows = neighbours(few, 5).orderBy("id", "rank").collect()
