@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dateline.operators.extract import explode_links, parse_articles
+from dateline.operators import markup
 from dateline.operators.markup import _dom, elements, read_tree, with_dom
 from dateline.operators.selectors import compiled, css, matched, parse_selector, select_text
 
@@ -249,3 +250,29 @@ def test_trees_of_a_batch_are_not_held_together():
     assert four < 1.3 * one
     assert len(many) == 4 * len(pages) and many[len(pages) : 2 * len(pages)].equals(few)
     assert few[:1].equals(_dom.func(pa.array(pages[:1]))) and few[-2].as_py() == {"text": "", "els": []}
+
+
+def test_trees_go_back_piece_by_piece(monkeypatch):
+    """A batch four times as long holds no more Arrow memory, and gives the same trees."""
+    monkeypatch.setattr(markup, "HELD", 1 << 14)
+
+    def batch(count):
+        return pa.array([PAGE.replace("Peas", f"Peas {i}") for i in range(count)] + [None, ""], pa.string())
+
+    def most(html):
+        before = pa.total_allocated_bytes()
+        return max(pa.total_allocated_bytes() - before for _ in markup._streamed.func(iter([html])))
+
+    assert most(batch(800)) < 1.5 * most(batch(200))
+    several = [batch(100), batch(0), batch(100)[:0], batch(7)]
+    found = pa.concat_arrays(list(markup._streamed.func(iter(several))))
+    assert found.equals(_dom.func(pa.concat_arrays(several)))
+
+
+def test_pieces_keep_to_their_pages(spark):
+    """Batches of one task that go back in several pieces each, next to columns that stay in the JVM."""
+    html = F.replace(F.lit(PAGE), F.lit("Peas"), F.concat(F.lit("Peas "), F.col("id").cast("string")))
+    pages = spark.range(0, 24000, 1, 1).where("id % 7 <> 3").select("id", html.alias("html"))
+    named = F.col("dom.text").startswith(F.concat(F.lit("Peas "), F.col("id").cast("string"), F.lit(" ")))
+    found = with_dom(pages).agg(F.count("*"), F.count_if(named)).first()
+    assert found[0] == found[1] == pages.count()
