@@ -77,6 +77,26 @@ def test_vectors_are_sent_once_to_a_block_of_cells(spark, monkeypatch):
     assert 0 < sent["queries"] <= 6 * len(rows)
 
 
+def test_what_is_sent_grows_with_the_table(spark, monkeypatch):
+    """With blocks that grow, a vector is sent as often in a table five times as long."""
+    sent = {}
+
+    def counted(df, name="cut"):
+        table = cut(df, name)
+        sent[name] = table.count()
+        return table
+
+    monkeypatch.setattr(searches, "cut", counted)
+    monkeypatch.setattr(searches, "BLOCK", 32)
+    vectors = np.random.default_rng(4).normal(size=(2000, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    each = []
+    for n in (400, 2000):
+        neighbours(spark.createDataFrame(rows[:n], SCHEMA), 4).count()
+        each.append(sent["queries"] / n)
+    assert 1 < each[1] < 1.3 * each[0]
+
+
 def test_chunks_are_runs_of_cells():
     assert searches._chunks(np.array([5, 0, 5, 1, 30, 2, 8, 0]), 10).tolist() == [0, 0, 0, 1, 2, 3, 3, 3]
 
