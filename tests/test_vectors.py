@@ -97,6 +97,52 @@ def test_what_is_sent_grows_with_the_table(spark, monkeypatch):
     assert 1 < each[1] < 1.3 * each[0]
 
 
+def test_what_is_sent_is_small(spark, monkeypatch):
+    """A vector goes to at most five blocks, and one of floats goes as floats."""
+    sent = {}
+
+    def counted(df, name="cut"):
+        table = cut(df, name)
+        sent[name] = table.count(), [kind for _, kind in table.dtypes]
+        return table
+
+    monkeypatch.setattr(searches, "cut", counted)
+    monkeypatch.setattr(searches, "BLOCK", 32)
+    vectors = np.random.default_rng(6).normal(size=(1200, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got: dict[int, list[int]] = {}
+    for r in neighbours(spark.createDataFrame(rows, SCHEMA), 4, pivots=24).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got == brute_force(rows, 4)
+    count, kinds = sent["queries"]
+    assert len(rows) < count <= 5 * len(rows)
+    assert "array<float>" in kinds and "array<double>" not in kinds
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_ties_and_copies_of_other_lengths(spark, monkeypatch, kind):
+    """Whole-number vectors: many distances are equal, many rows differ in length only."""
+    monkeypatch.setattr(searches, "PAIRS", 3000)  # several slices of a cell
+    vectors = np.random.default_rng(8).integers(-1, 2, size=(500, 5)) * np.random.default_rng(9).choice([1, 2, 4], (500, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors.astype(float))]
+    for options in ({"block": 60, "pivots": 7}, {}):
+        got: dict[int, list[int]] = {}
+        frame = spark.createDataFrame(rows, f"id long, vector array<{kind}>")
+        for r in neighbours(frame, 6, **options).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append(r["neighbour"])
+        assert got == brute_force(rows, 6)
+
+
+def test_vectors_that_are_no_numbers_are_left_out(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(10).normal(size=(60, 4)))]
+    odd = [(100, [1.0, math.nan, 0.0, 0.0]), (101, [math.inf, 1.0, 0.0, 0.0]), (102, None), (103, [1.0, None, 0.0, 0.0])]
+    got: dict[int, list[int]] = {}
+    frame = spark.createDataFrame(rows + odd, "id long, vector array<double>")
+    for r in neighbours(frame, 3, block=20, pivots=4).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got == brute_force(rows, 3)
+
+
 def test_chunks_are_runs_of_cells():
     assert searches._chunks(np.array([5, 0, 5, 1, 30, 2, 8, 0]), 10).tolist() == [0, 0, 0, 1, 2, 3, 3, 3]
 
